@@ -8,17 +8,62 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import langid, media, simhash, tokens, toxicity
+from maskwright.llm import decontam, langid, media, mixing, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    shards = F.transform("draws", lambda d: d["shard"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.report(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), bi AS (
+  SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0
+), bw AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS win
+  FROM bi, unnest(range(1, len(w) - n + 2)) AS t(i)
+), dw AS (
+  SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS win
+  FROM d, (SELECT DISTINCT n FROM bw), unnest(range(1, len(w) - n + 2)) AS t(i)
+), m AS (
+  SELECT r, i, n, item_id FROM dw JOIN bw USING (n, win)
+), h AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, i, n FROM m), unnest(range(i, i + n)) AS t(p) GROUP BY r
+), q AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT r, item_id FROM m WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN q USING (r)
+"""
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.select("doc_id", "text", "lang"))
@@ -57,8 +102,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media, op6_langid, op7_simhash, op8_tokens, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_media, op5_decontam, op6_langid, op7_simhash, op8_tokens, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontam": OP5_SQL}
