@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import decontam, langid, media, mixing, simhash, tokens, toxicity
+from maskwright.llm import decontam, langid, lines, media, mixing, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,17 @@ def op8_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -
     return counted.withColumn("over_limit", F.col("n_tokens") > tokens.LIMIT)
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id",
+        F.col("lines").cast("long").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_removed"),
+        F.array_join("gone", ",").alias("removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -102,7 +113,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_media, op5_decontam, op6_langid, op7_simhash, op8_tokens, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_media, op5_decontam, op6_langid, op7_simhash, op8_tokens, op9_lines, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
