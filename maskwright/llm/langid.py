@@ -231,6 +231,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     language was learned. Ties go to the first language by name. Empty tables stay empty; other
     columns stay as they are, unless they have the names of these three.
     """
+    told = _told(docs, model)
+    return told.withColumns({x: F.col(f"__told.{x}") for x in _OUT.names}).drop("__told")
+
+
+def _told(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(_OUT)
@@ -238,8 +243,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in texts:
             yield pd.DataFrame(shared.value.predict(batch.tolist()), columns=_OUT.names)
 
-    found = docs.withColumn("__found", code(F.col("text")))
-    return found.withColumns({x: F.col(f"__found.{x}") for x in _OUT.names}).drop("__found")
+    return docs.withColumn("__told", code(F.col("text")))
 
 
 def accept(docs: DataFrame, model: Model) -> DataFrame:
@@ -248,7 +252,5 @@ def accept(docs: DataFrame, model: Model) -> DataFrame:
     Rejected are texts without a letter and texts for which even the best tree needs eight bits a
     byte or more, no fewer than no model at all.
     """
-    columns = docs.columns
-    told = predict(docs.select("*", F.lit(0).alias("__row")), model)
-    fits = (F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") < 8.0)
-    return told.where(fits).select(*columns)
+    fits = (F.col("__told.lang_pred") != UNKNOWN) & (F.col("__told.bits_per_byte") < 8.0)
+    return _told(docs, model).where(fits).drop("__told")

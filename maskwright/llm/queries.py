@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import decontam, langid, lines, media, mixing, simhash, tokens, toxicity
+from maskwright.llm import chat, decontam, langid, lines, media, mixing, pii, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,50 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *pii.counts(F.col("base")),
+        F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = chat.rotate(_table(spark, sf_dir, "conversations"))
+    marks = F.transform("masks", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string")))
+    return turned.withColumn("masks", F.array_join(marks, ","))
+
+
+OP4_SQL = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn,
+    replace(replace(coalesce(role, 'unknown'), '<|', '<\|'), '"', '\"') AS role,
+    replace(coalesce(text, ''), '<|', '<\|') AS text
+  FROM conversations
+), s AS (
+  SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
+), p AS (
+  SELECT t.conv_id, perspective, CAST(floor(turn / 256.0) AS BIGINT) AS part, turn, role, text, role = perspective AS own,
+    CASE WHEN role = perspective THEN '<|assistant|>' || chr(10)
+         WHEN role = 'system' THEN '<|system|>' || chr(10)
+         ELSE '<|user name="' || role || '"|>' || chr(10) END AS head,
+    text || '<|end|>' || chr(10) AS body
+  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+), o AS (
+  SELECT *, sum(length(head) + length(body)) OVER (
+    PARTITION BY conv_id, perspective, part ORDER BY turn, role, text) AS upto
+  FROM p
+)
+SELECT conv_id, perspective, part, count(*) AS n_turns,
+  string_agg(head || body, '' ORDER BY turn, role, text) AS rendered,
+  coalesce(string_agg(CASE WHEN own THEN CAST(CAST(upto - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto AS BIGINT) AS VARCHAR) END, ','
+    ORDER BY turn, role, text), '') AS masks
+FROM o GROUP BY conv_id, perspective, part
+"""
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.report(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -113,8 +157,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_media, op5_decontam, op6_langid, op7_simhash, op8_tokens, op9_lines, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_media, op3_pii, op4_chat, op5_decontam, op6_langid, op7_simhash, op8_tokens, op9_lines, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontam": OP5_SQL}
+    return {"op4_chat": OP4_SQL, "op5_decontam": OP5_SQL}
