@@ -5,15 +5,466 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from maskwright.functions import arrays as A
+from maskwright.functions import barcode, dates
+from maskwright.functions import boxes as B
+from maskwright.functions import text as T
+from maskwright.operators import candidates as C
+from maskwright.operators import leak, location, matching, replace, values
+from maskwright.plans import report
+from maskwright.plans.deidentify import deidentified
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deidentified(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# SQL for the normal form; upper() of the engine keeps ß, so it is written out first.
+_NORM = "regexp_replace(upper(replace({0}, 'ß', 'SS')), '[^0-9A-ZÄÖÜß]', '', 'g')"
+_DIGITS = "regexp_replace({0}, '[^0-9]', '', 'g')"
+_HASH = "CAST(('0x' || substr(md5(concat_ws(chr(31), {0})), 1, 8)) AS BIGINT)"
+_TOKENS = "SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS w FROM documents"
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("w"))
+
+
+# -- candidates -----------------------------------------------------------------------------------
+
+
+@query("""
+WITH m AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+')) AS text FROM documents
+) SELECT doc_id, text, count(*) AS n FROM m GROUP BY ALL
+""")
+def candidate_emails(spark, sf_dir):
+    """E-mail candidates with their counts, from the recognizers' spans."""
+    spans = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(C.recognized(F.col("text"))).alias("s"))
+    found = spans.where("s.entity = 'EMAIL_ADDRESS'").select("doc_id", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("text"))
+    return found.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH e AS (
+  SELECT DISTINCT lang, doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+')) AS v, 'EMAIL_ADDRESS' AS entity FROM documents
+), p AS (
+  SELECT DISTINCT lang, doc_id, unnest(regexp_extract_all(text, '\\+[0-9][ ().0-9-]{7,20}[0-9]')) AS v, 'PHONE_NUMBER' AS entity FROM documents
+) SELECT lang, entity, count(*) AS n FROM (
+  SELECT * FROM e UNION ALL SELECT * FROM p WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 10 AND 15
+) GROUP BY ALL
+""")
+def candidates_by_language(spark, sf_dir):
+    """Distinct e-mail and phone candidates of each document, by language."""
+    docs = table(spark, sf_dir, "documents")
+    found = C.find(docs.select("doc_id", "lang", "text"), ["doc_id", "lang"])
+    return found.where(F.col("entity").isin("EMAIL_ADDRESS", "PHONE_NUMBER")).groupBy("lang", "entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FOUND_SQL = """
+WITH f AS (
+  SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+')) AS text FROM documents
+), v AS (
+  SELECT f.doc_id, split_part(f.text, '@', 1) AS text FROM f JOIN labels USING (doc_id) WHERE quality = 1
+) SELECT doc_id, text FROM f WHERE {0} EXISTS (
+  SELECT 1 FROM v WHERE v.doc_id = f.doc_id AND contains(upper(regexp_replace(f.text, '[^0-9A-Za-z]', '', 'g')), upper(regexp_replace(v.text, '[^0-9A-Za-z]', '', 'g'))))
+"""
+
+
+def _covering(spark, sf_dir, join):
+    found = C.find(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]).where("entity = 'EMAIL_ADDRESS'")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    known = found.join(good, "doc_id").select("doc_id", F.substring_index("text", "@", 1).alias("text"))
+    return join(found, known, ["doc_id"]).select("doc_id", "text")
+
+
+@query(_FOUND_SQL.format("NOT"))
+def candidates_unconfirmed(spark, sf_dir):
+    return _covering(spark, sf_dir, C.unconfirmed)
+
+
+@query(_FOUND_SQL.format(""))
+def candidates_confirmed(spark, sf_dir):
+    return _covering(spark, sf_dir, C.confirmed)
+
+
+# -- text functions -------------------------------------------------------------------------------
+
+
+@query(f"SELECT {_NORM.format('w')} AS norm, count(*) AS n FROM ({_TOKENS}) GROUP BY ALL")
+def normal_forms(spark, sf_dir):
+    return _tokens(spark, sf_dir).groupBy(T.norm(F.col("w")).alias("norm")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+SELECT doc_id, w, {_DIGITS.format('w')} AS digits,
+  regexp_replace(CASE WHEN regexp_matches(w, '[0-9]') THEN translate(w, 'OoIlZzSBG', '001122586') ELSE w END, '[^0-9]', '', 'g') AS folded, count(*) AS n
+FROM ({_TOKENS}) WHERE regexp_matches(w, '[0-9]') GROUP BY ALL
+""")
+def folded_digits(spark, sf_dir):
+    own = _tokens(spark, sf_dir).where(F.col("w").rlike("[0-9]"))
+    own = own.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    return own.select("doc_id", "w", T.digits(F.col("w")).alias("digits"), T.folded_digits(F.col("w")).alias("folded"), "n")
+
+
+_MONEY = "replace(replace(replace(format('{:,.2f}', o_totalprice), ',', '#'), '.', ','), '#', '.')"
+
+
+@query(f"""
+SELECT o_orderkey, {_MONEY} || ' EUR' AS amount, true AS with_unit, true AS bare, false AS key_only FROM orders
+""")
+def amounts(spark, sf_dir):
+    """Prices in German form are amounts, with a unit and without; order numbers aren't."""
+    money = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
+    unit = F.concat(money, F.lit(" EUR"))
+    own = table(spark, sf_dir, "orders").select("o_orderkey", unit.alias("amount"), money.alias("m"))
+    return own.select(
+        "o_orderkey", "amount", T.is_amount(F.col("amount")).alias("with_unit"), T.is_amount(F.col("m")).alias("bare"), T.is_amount(F.col("o_orderkey").cast("string")).alias("key_only")
+    )
+
+
+@query("""
+WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[0-9]{16}\\b')) AS number FROM documents),
+c AS (SELECT doc_id, number, list_sum([CASE WHEN i % 2 = 1 THEN CASE WHEN 2 * CAST(number[i] AS INT) > 9 THEN 2 * CAST(number[i] AS INT) - 9 ELSE 2 * CAST(number[i] AS INT) END
+  ELSE CAST(number[i] AS INT) END FOR i IN range(1, 17)]) AS total FROM m)
+SELECT doc_id, number, total % 10 = 0 AS valid, count(*) AS n FROM c GROUP BY ALL
+""")
+def card_checks(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[0-9]{16}\b"), F.lit(0))).alias("number"))
+    return found.groupBy("doc_id", "number", T.luhn_ok(F.col("number")).alias("valid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT c_custkey, 'DE' || lpad(CAST(98 - CAST(lpad(CAST(c_custkey AS VARCHAR), 18, '0') || '131400' AS HUGEINT) % 97 AS VARCHAR), 2, '0')
+  || lpad(CAST(c_custkey AS VARCHAR), 18, '0') AS iban FROM customer
+""")
+def iban_checks(spark, sf_dir):
+    bban = F.lpad(F.col("c_custkey").cast("string"), 18, "0")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("DE"), T.iban_check(F.lit("DE"), bban), bban).alias("iban"))
+
+
+@query("""
+SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(p_name || ' ' || p_brand, '[0-9]', '9', 'g'), '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g') AS shape,
+  length(p_name || ' ' || p_brand) AS n FROM part
+""")
+def same_shapes(spark, sf_dir):
+    """The layout of invented codes is the layout of the old."""
+    old = F.concat_ws(" ", "p_name", "p_brand")
+    own = table(spark, sf_dir, "part").select("p_partkey", T.same_shape(old, F.col("p_partkey")).alias("new"))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("new", "[0-9]", "9"), "[A-Z]", "A"), "[a-z]", "a")
+    return own.select("p_partkey", shape.alias("shape"), F.length("new").cast("long").alias("n"))
+
+
+@query("""
+SELECT doc_id, list_sort(list_distinct(list_filter(list_concat(
+    [regexp_replace(upper(replace(w, 'ß', 'SS')), '[^0-9A-ZÄÖÜß]', '', 'g')],
+    list_transform(regexp_extract_all(w, '[A-Za-zÄÖÜäöüß]{4,}'), lambda x: regexp_replace(upper(replace(x, 'ß', 'SS')), '[^0-9A-ZÄÖÜß]', '', 'g')),
+    regexp_extract_all(regexp_replace(w, '[.\\- ]', '', 'g'), '[0-9]{4,}')), lambda p: length(p) >= 4))) AS pieces
+FROM (SELECT doc_id, substr(text, 1, 40) AS w FROM documents)
+""")
+def leak_pieces(spark, sf_dir):
+    """The pieces of the first forty characters of a text, taken for a name."""
+    head = F.substring("text", 1, 40)
+    return table(spark, sf_dir, "documents").select("doc_id", T.pieces(head, F.lit("person")).alias("pieces"))
+
+
+@query("""
+WITH k AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 8, '1') AS a, lpad(CAST(o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 11 ELSE 1 END AS VARCHAR), 8, '1') AS b FROM orders)
+SELECT o_orderkey, levenshtein(a, b) <= 1 AS slip FROM k
+""")
+def one_slips(spark, sf_dir):
+    key = F.col("o_orderkey")
+    other = key + F.when(key % 3 == 0, 11).otherwise(1)
+    padded = lambda c: F.lpad(c.cast("string"), 8, "1")
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.one_slip(padded(key), padded(other)).alias("slip"))
+
+
+# -- dates ----------------------------------------------------------------------------------------
+
+# English month names; May is short in all styles that share it, so what comes after it is short as well.
+_EN = "['January','February','March','April','May','June','July','August','September','October','November','December']"
+
+_STYLE = "CASE WHEN month({0}) = 5 THEN substr({1}, 1, 3) ELSE {1} END"
+
+
+@query(f"""
+SELECT o_orderkey, strftime(o_orderdate + INTERVAL 20 DAY, '%d.%m.%Y') AS dot, strftime(o_orderdate + INTERVAL 20 DAY, '%Y-%m-%d') AS iso,
+  strftime(o_orderdate + INTERVAL 20 DAY, '%d/%m/%y') AS slash,
+  CAST(day(o_orderdate + INTERVAL 20 DAY) AS VARCHAR) || ' ' || {_STYLE.format('o_orderdate', _EN + '[month(o_orderdate + INTERVAL 20 DAY)]')} || ' ' || CAST(year(o_orderdate + INTERVAL 20 DAY) AS VARCHAR) AS named
+FROM orders
+""")
+def dates_shifted(spark, sf_dir):
+    """Dates in four written forms, moved as text; the SQL moves the dates themselves."""
+    d = F.col("o_orderdate")
+    own = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.date_format(d, "dd.MM.yyyy").alias("dot"),
+        F.date_format(d, "yyyy-MM-dd").alias("iso"),
+        # Two-digit years are of this century; the SQL prints two digits as well.
+        F.date_format(d, "dd/MM/yy").alias("slash"),
+        F.date_format(d, "d MMMM yyyy").alias("named"),
+    )
+    moved = own.select("o_orderkey", *[dates.shift(F.col(c), 20).alias(c) for c in ("dot", "iso", "slash", "named")])
+    # A single-digit day keeps no padding, which only the day of the month decides.
+    return moved.withColumn("named", F.regexp_replace("named", "^0", ""))
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, {_STYLE.format('l_shipdate', _EN + "[month(date_trunc('month', l_shipdate) + INTERVAL 2 MONTH)]")} || ' ' || CAST(year(date_trunc('month', l_shipdate) + INTERVAL 2 MONTH) AS VARCHAR) AS shipped FROM lineitem
+""")
+def months_shifted(spark, sf_dir):
+    written = F.date_format("l_shipdate", "MMMM yyyy")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", dates.shift(written, 60).alias("shipped"))
+
+
+@query("""
+SELECT event_id, strftime(ts - INTERVAL 95 MINUTE, '%H:%M:%S') AS moved FROM events
+""")
+def times_shifted(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", dates.shift_times(F.date_format("ts", "HH:mm:ss"), -95).alias("moved"))
+
+
+# -- replacement and leaks ------------------------------------------------------------------------
+
+_POOLS = {
+    "first": str(list(replace.FIRST)),
+    "last": str(list(replace.LAST)),
+}
+
+
+@query(f"""
+WITH o AS (SELECT c_nationkey AS doc, c_custkey AS pos, c_mktsegment AS owner, c_name AS text FROM customer),
+r AS (SELECT doc, owner, row_number() OVER (PARTITION BY doc ORDER BY min(pos)) - 1 AS rank FROM o GROUP BY doc, owner),
+s AS (SELECT unnest([1, 2]) AS seed),
+i AS (SELECT doc, seed, owner, {_POOLS['first']}[{_HASH.format("doc, seed, owner, 'first'")} % 12 + 1] || ' ' || {_POOLS['last']}[({_HASH.format("doc, seed, 'last'")} + rank) % 10 + 1] AS name FROM r, s)
+SELECT o.doc, o.pos, seed, i.owner, name AS new FROM o JOIN i USING (doc, owner)
+""")
+def replacements(spark, sf_dir):
+    """Two copies of customers' names, one owner for each market segment of a nation."""
+    own = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("doc"), F.lit(0).alias("page"), F.col("c_custkey").alias("pos"), F.col("c_mktsegment").alias("owner"), F.lit("person").alias("type"), F.concat(F.lit("Mr "), "c_name").alias("text")
+    )
+    copies = spark.range(1, 3).select(F.col("id").cast("int").alias("seed"))
+    return replace.changes(own, copies, ["doc"]).select("doc", "pos", "seed", "owner", "new")
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, {_NORM.format('text')} AS page FROM documents),
+v AS (SELECT doc_id, {_NORM.format('head')} AS piece FROM (SELECT doc_id, regexp_extract(text, '[A-Za-z]{{6,}}') AS head FROM documents) WHERE head <> '')
+SELECT v.doc_id, [piece] AS pieces FROM v JOIN p USING (doc_id) WHERE contains(page, piece)
+""")
+def leaks_of_words(spark, sf_dir):
+    """The first long word of every text, searched for on its own page."""
+    docs = table(spark, sf_dir, "documents")
+    pages = docs.select("doc_id", "text", F.lit("").alias("context"))
+    word = F.regexp_extract("text", "[A-Za-z]{6,}", 0)
+    old = docs.select("doc_id", F.lit("person").alias("type"), word.alias("text")).where("text <> ''")
+    return leak.leaks(pages, old, ["doc_id"]).select("doc_id", "pieces")
+
+
+@query()
+def deidentified_documents(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query("""
+WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+')) AS v FROM documents)
+SELECT d.doc_id, coalesce(bool_or(contains(d.text, v)), false) AS had, false AS has FROM documents d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id
+""")
+def emails_gone(spark, sf_dir):
+    """Whether a text had e-mail addresses, and whether one of them is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("old"))
+    new = flagship(spark, sf_dir).select("doc_id", "text")
+    mails = F.regexp_extract_all("old", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), F.lit(0))
+    both = docs.join(new, "doc_id").withColumn("mails", mails)
+    return both.select("doc_id", (F.size("mails") > 0).alias("had"), F.exists("mails", lambda m: F.contains("text", m)).alias("has"))
+
+
+# -- values and matching --------------------------------------------------------------------------
+
+
+@query("""
+SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) IS NOT NULL AS some, 1 AS n FROM events
+""")
+def json_salvage(spark, sf_dir):
+    """Objects out of answers that are cut off after the first."""
+    cut_off = F.concat(F.lit("[ "), "props", F.lit(', {"cut'))
+    own = table(spark, sf_dir, "events").select("event_id", values.json_objects(cut_off).alias("o"))
+    return own.select("event_id", (F.length(F.get("o", F.lit(0))) > 2).alias("some"), F.size("o").alias("n"))
+
+
+@query("""
+SELECT o_orderkey, unnest(['id', 'date', 'time']) AS type, unnest([CAST(o_orderkey + 100 AS VARCHAR), strftime(o_orderdate, '%d.%m.%Y'), strftime(o_orderdate, '%H:%M')]) AS text FROM orders
+""")
+def compound_values(spark, sf_dir):
+    line = F.concat_ws(" ", (F.col("o_orderkey") + 100).cast("string"), F.date_format("o_orderdate", "dd.MM.yyyy"), F.date_format("o_orderdate", "HH:mm"), F.lit("A1"))
+    own = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(0).alias("pos"), line.alias("text"), F.lit("id").alias("type"))
+    return values.normalise(own, ["o_orderkey"]).select("o_orderkey", "type", "text")
+
+
+@query()
+def values_in_lines(spark, sf_dir):
+    """Every document's first three words, found in all of its lines by similarity."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    lines = lines.select("doc_id", "line", F.filter(F.split("t", r"\s+"), lambda w: w != "").alias("words"))
+    head = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 3), " ")
+    wanted = docs.select("doc_id", head.alias("value")).where("value <> ''")
+    found = matching.find_all(wanted, lines, ["doc_id"])
+    return found.withColumn("score", F.round("score", 9))
+
+
+# -- arrays, boxes, barcodes ----------------------------------------------------------------------
+
+_FLAGS = "SELECT vec_id, unnest(embedding) > 0 AS f, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings"
+
+
+@query(f"""
+WITH t AS (SELECT vec_id, i, lag(i) OVER w AS p FROM ({_FLAGS}) WHERE f WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+g AS (SELECT *, sum(CASE WHEN p IS NULL OR i - p - 1 >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY i) AS b FROM t)
+SELECT vec_id, CAST(min(i) AS INT) AS start, CAST(max(i) + 1 AS INT) AS "end" FROM g GROUP BY vec_id, b
+""")
+def bands(spark, sf_dir):
+    flags = F.transform("embedding", lambda x: x > 0)
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(A.bands(flags, 2)).alias("b"))
+    return own.select("vec_id", "b.start", "b.end")
+
+
+@query(f"""
+WITH g AS (SELECT vec_id, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS k FROM ({_FLAGS}) WHERE f),
+r AS (SELECT vec_id, k, count(*) AS n FROM g GROUP BY ALL)
+SELECT e.vec_id, CAST(coalesce(max(n), 0) AS INT) AS longest, CAST(coalesce(2 * count(n) - 1, 0) AS INT) AS n_runs FROM embeddings e LEFT JOIN r USING (vec_id) GROUP BY e.vec_id
+""")
+def flag_runs(spark, sf_dir):
+    flags = F.transform("embedding", lambda x: x > 0)
+    return table(spark, sf_dir, "embeddings").select("vec_id", A.longest_true_run(flags).alias("longest"), F.size(A.runs(flags)).alias("n_runs"))
+
+
+@query("""
+WITH g AS (SELECT vec_id, list_sort(list_transform(embedding, lambda x: CAST(floor(abs(x) * 100) AS INT))) AS v FROM embeddings)
+SELECT vec_id, v[least(len(v), CAST(floor(0.9 * len(v)) AS INT) + 1)] AS paper, v[len(v) // 2 + 1] AS upper_median,
+  greatest(4, CAST(floor(median_of) AS INT)) AS line_height
+FROM (SELECT *, list_median(list_filter(v, lambda x: x > 0)) AS median_of FROM (SELECT *, NULL AS z FROM g))
+""".replace("list_median(list_filter(v, lambda x: x > 0))", "list_aggregate(list_filter(v, lambda x: x > 0), 'median')"))
+def order_statistics(spark, sf_dir):
+    grays = F.transform("embedding", lambda x: F.floor(F.abs(x) * F.lit(100).cast("float")).cast("int"))
+    own = table(spark, sf_dir, "embeddings").select("vec_id", grays.alias("g"))
+    return own.select("vec_id", A.paper_level(F.col("g")).alias("paper"), A.upper_median(F.col("g")).alias("upper_median"), A.line_height(F.col("g")).alias("line_height"))
+
+
+def _part_boxes(spark, sf_dir):
+    key = F.col("p_partkey")
+    x, y = key * 37 % 210, key * 53 % 290
+    return table(spark, sf_dir, "part").select((key % 20).alias("page"), key.alias("id"), B.box(x, y, x + 20 + F.col("p_size"), y + 12).alias("box"))
+
+
+_BOXES = "SELECT p_partkey % 20 AS page, p_partkey AS id, p_partkey * 37 % 210 AS x0, p_partkey * 53 % 290 AS y0, p_partkey * 37 % 210 + 20 + p_size AS x1, p_partkey * 53 % 290 + 12 AS y1 FROM part"
+
+
+@query(f"""
+WITH b AS ({_BOXES}), j AS (
+  SELECT a.page, a.id AS a, b.id AS b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS w, (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS h,
+    least((a.x1 - a.x0) * 12, (b.x1 - b.x0) * 12) AS smaller
+  FROM b a JOIN b ON a.page = b.page AND a.id < b.id)
+SELECT page, a, b FROM j WHERE w > 0 AND h > 0 AND w * h >= 0.3 * smaller
+""")
+def overlapping_boxes(spark, sf_dir):
+    boxes = _part_boxes(spark, sf_dir)
+    left = boxes.select("page", F.col("id").alias("i"), F.col("box").alias("a"))
+    right = boxes.select("page", F.col("id").alias("j"), F.col("box").alias("b"))
+    met = location.overlapping(left, right, ["page"]).where("i < j")
+    return met.select("page", F.col("i").alias("a"), F.col("j").alias("b"))
+
+
+@query(f"""
+WITH b AS ({_BOXES})
+SELECT u.page, u.id AS upper, l.id AS lower FROM b u JOIN b l ON u.page = l.page AND u.id < l.id
+WHERE l.y0 - u.y1 BETWEEN -6 AND 12 AND l.x0 < u.x1 AND u.x0 < l.x1
+""")
+def next_lines(spark, sf_dir):
+    lines = _part_boxes(spark, sf_dir).withColumnRenamed("id", "line")
+    return location.next_lines(lines, ["page"], 12)
+
+
+@query(f"""
+WITH b AS ({_BOXES}), d AS (
+  SELECT v.page, v.id AS value, b.id AS line, row_number() OVER (PARTITION BY v.page, v.id
+    ORDER BY sqrt(((v.x0 + v.x1) / 2.0 - (b.x0 + b.x1) / 2.0) ** 2 + ((v.y0 + v.y1) / 2.0 - (b.y0 + b.y1) / 2.0) ** 2), b.id) AS rank
+  FROM b v JOIN b ON v.page = b.page WHERE v.id % 10 = 0)
+SELECT page, value, line, rank FROM d WHERE rank <= 12
+""")
+def nearest_lines(spark, sf_dir):
+    boxes = _part_boxes(spark, sf_dir)
+    hints = boxes.where("id % 10 = 0").select("page", F.col("id").alias("value"), F.col("box").alias("hint"))
+    found = location.nearest_lines(hints, boxes.withColumnRenamed("id", "line"), ["page"])
+    return found.select("page", "value", "line", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+WITH d AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS n FROM orders),
+s AS (SELECT o_orderkey, [105] || list_transform([1, 3, 5, 7], lambda i: CAST(n[i : i + 1] AS INT)) AS b FROM d)
+SELECT o_orderkey, b || [CAST((105 + b[2] + 2 * b[3] + 3 * b[4] + 4 * b[5]) % 103 AS INT)] AS symbols, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS back FROM s
+""")
+def barcodes(spark, sf_dir):
+    number = F.lpad(F.col("o_orderkey").cast("string"), 8, "0")
+    own = table(spark, sf_dir, "orders").select("o_orderkey", barcode.symbols(number).alias("symbols"), barcode.widths(number).alias("w"))
+    return own.select("o_orderkey", "symbols", barcode.decode(F.col("w")).alias("back"))
+
+
+# -- reports --------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH a AS (SELECT DISTINCT 'all' AS doc, {_NORM.format('w')} AS v FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM benchmark)),
+b AS (SELECT DISTINCT 'all' AS doc, {_NORM.format('w')} AS v FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM conversations))
+SELECT doc, count(*) FILTER (x) AS n_a, count(*) FILTER (y) AS n_b, count(*) FILTER (x AND y) AS n_both, count(*) FILTER (x AND NOT y) AS n_only_a, count(*) FILTER (y AND NOT x) AS n_only_b
+FROM (SELECT coalesce(a.doc, b.doc) AS doc, a.v IS NOT NULL AS x, b.v IS NOT NULL AS y FROM a FULL JOIN b ON a.doc = b.doc AND a.v = b.v) GROUP BY doc
+""")
+def agreement(spark, sf_dir):
+    """How far the words of benchmark and conversations agree: intersection and differences."""
+    words = lambda name: table(spark, sf_dir, name).select(F.lit("all").alias("doc"), F.explode(F.split("text", r"\s+")).alias("text"))
+    return report.agreement(words("benchmark"), words("conversations"))
+
+
+@query("""
+WITH c AS (SELECT 'sim' AS set, l_orderkey % 50 AS doc, l_linenumber AS page, l_quantity > 10 AS located, l_quantity > 20 AS edited, l_returnflag = 'N' AS ok, l_returnflag AS flag FROM lineitem),
+p AS (SELECT set, doc, page, count(*) AS bars, bool_or(flag = 'R') AS leaked FROM c GROUP BY ALL),
+q AS (SELECT set, doc, count(*) AS n_pages, CAST(sum(bars) AS BIGINT) AS n_barcodes, CASE WHEN bool_or(leaked) THEN 'failed: id' ELSE 'passed' END AS leak_check FROM p GROUP BY ALL)
+SELECT q.*, n_values, n_located, n_edited, n_read_back FROM q JOIN (
+  SELECT set, doc, count(*) AS n_values, count(*) FILTER (located) AS n_located, count(*) FILTER (edited) AS n_edited, count(*) FILTER (edited AND ok) AS n_read_back FROM c GROUP BY ALL) USING (set, doc)
+""")
+def evaluation(spark, sf_dir):
+    own = table(spark, sf_dir, "lineitem").select(
+        F.lit("sim").alias("set"), (F.col("l_orderkey") % 50).alias("doc"), F.col("l_linenumber").alias("page"), (F.col("l_quantity") > 10).alias("located"),
+        F.when(F.col("l_quantity") > 20, 1).otherwise(0).alias("places"), (F.col("l_returnflag") == "N").alias("read_back_ok"), "l_returnflag",
+    )
+    leaked = F.when(F.bool_or(F.col("l_returnflag") == "R"), F.array(F.lit("id"))).otherwise(F.array().cast("array<string>"))
+    pages = own.groupBy("set", "doc", "page").agg(F.count(F.lit(1)).alias("barcodes_scrambled"), leaked.alias("leaked_types"))
+    return report.evaluation(own.drop("l_returnflag"), pages)
