@@ -134,7 +134,7 @@ def op8_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return done.select(
         "doc_id",
         F.col("lines").cast("long").alias("n_lines"),
