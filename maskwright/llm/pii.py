@@ -3,7 +3,7 @@
 Four kinds of identifiers are found by their form; these are the seeds. Whatever looks like an
 identifier, a run of tokens with a digit or ``@``, is an instance, and the one or two words before
 it are a lexical pattern. Patterns and instances form a graph with weights: a pattern is as good as
-the share of its instances that are known, times the share of its uses in the corpus that are
+the share of its instances that are known, times the share of its uses in distinct texts that are
 followed by an instance at all; an instance is known as far as good patterns say so. After some
 rounds, patterns of high confidence add the instances behind them that no form has found.
 """
@@ -136,14 +136,18 @@ def instances(docs: DataFrame) -> DataFrame:
 
 
 def _uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, uses): how often in the corpus anything follows each of ``patterns``."""
+    """(pattern, uses): how often in the distinct texts anything follows each of ``patterns``."""
     hashes = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w))
-    own = docs.where("text is not null").select(hashes.alias("h"))
+    own = docs.where("text is not null").select(text_key(F.col("text")).alias("key"), hashes.alias("h"))
+    # Each of a text's n copies counts as one nth; only the keys of copied texts are brought together.
+    copies = own.groupBy(F.col("key").alias("copied")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = own.join(small(cut(copies)), F.col("key") == F.col("copied"), "left").select("h", (1 / F.coalesce("n", F.lit(1))).alias("part"))
     n = F.greatest(F.size("h") - 1, F.lit(0))
-    own = own.select(F.slice("h", 1, n).alias("one"), F.zip_with(F.slice("h", 1, n), F.slice("h", 2, n), lambda a, b: F.xxhash64(a, b)).alias("two"))
+    own = own.select("part", F.slice("h", 1, n).alias("one"), F.zip_with(F.slice("h", 1, n), F.slice("h", 2, n), lambda a, b: F.xxhash64(a, b)).alias("two"))
     two = F.slice("two", 1, F.greatest(F.size("two") - 1, F.lit(0)))
-    rows = own.select(F.explode_outer(F.concat("one", two)).alias("pattern")).where("pattern is not null")
-    return rows.join(small(patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("uses"))
+    rows = own.select("part", F.explode_outer(F.concat("one", two)).alias("pattern")).where("pattern is not null")
+    met = rows.join(small(patterns), "pattern", "left_semi")
+    return met.groupBy("pattern").agg(F.round(F.sum("part")).cast("long").alias("uses"))
 
 
 def patterns(docs: DataFrame, found: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
@@ -154,7 +158,7 @@ def patterns(docs: DataFrame, found: DataFrame, confidence: float = CONFIDENCE,
     if wide.isEmpty():
         return slots.select("pattern", "kind", F.lit(0.0).alias("confidence")).limit(0)
     uses = _uses(docs, wide.select("pattern"))
-    # A text that occurs often is one text among the instances but not among the uses: cap the share at one.
+    # Both count distinct texts. Words over _NEAR characters are cut among the instances only: cap the share at one.
     share = F.least(F.lit(1.0), F.col("seen") / F.col("uses"))
     wide = cut(wide.join(uses, "pattern").select("pattern", "n", share.alias("share")).where(F.col("share") >= confidence))
     edges = cut(slots.join(small(wide.select("pattern")), "pattern", "left_semi").select("pattern", "s").distinct())

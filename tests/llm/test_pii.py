@@ -87,6 +87,14 @@ def test_patterns_find_unseen_identifiers_and_nothing_else(spark):
     assert sum(len(r.spans) - len(r.base) for r in rows) == 6
 
 
+def test_copies_of_a_text_do_not_hide_its_patterns(spark):
+    docs = bootstrap_corpus()
+    docs += [(1000 + i, docs[0][1], "k", "s") for i in range(1000)]
+    rows = pii.find(spark.createDataFrame(docs, DOCS)).collect()
+    assert len(rows) == len(docs)
+    assert sum(len(r.spans) - len(r.base) for r in rows) == 6
+
+
 def test_masked_text_and_digest(spark):
     text = "mail a@b.cd or +1 (988) 555-2485, 4111 1111 1111 1111."
     frame = spark.createDataFrame([(1, text, "k", "s")], DOCS)
