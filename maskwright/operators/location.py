@@ -63,11 +63,45 @@ def nearest_blank(cuts: DataFrame, blanks: DataFrame, keys: list[str]) -> DataFr
 
 
 def nearest_lines(values: DataFrame, lines: DataFrame, keys: list[str], most: int = 2 * SEARCH_LINES) -> DataFrame:
-    """The ``most`` lines of a page whose centres are nearest to each value's hint."""
-    d = B.centre_distance(F.col("hint"), F.col("box"))
-    both = values.select(*keys, "value", "hint").join(lines.select(*keys, "line", "box"), keys).withColumn("distance", d)
+    """The ``most`` lines of a page whose centres are nearest to each value's hint.
+
+    Of lines with one centre only the first ``most`` can count. The rest lies in grid cells, sized by
+    how close a page's lines are; rings of cells around a hint are widened until enough lines are
+    certain, and where they never are, on sparse pages, the whole page is tried.
+    """
+    middle = lambda b: F.struct((b["x0"] + b["x1"]).alias("x"), (b["y0"] + b["y1"]).alias("y"))
+    same = F.row_number().over(Window.partitionBy(*keys, "mid").orderBy("line"))
+    own = lines.select(*keys, "line", "box", middle(F.col("box")).alias("mid"))
+    own = own.withColumn("__n", same).where(F.col("__n") <= most).drop("__n")
+    x, y = F.col("mid.x"), F.col("mid.y")
+    # Centres are kept doubled, so they are whole numbers; sides are in the same unit.
+    area = (F.max(x) - F.min(x) + 1).cast("double") * (F.max(y) - F.min(y) + 1)
+    sides = own.groupBy(*keys).agg(F.greatest(F.ceil(F.sqrt(area * most / F.count(F.lit(1)))), F.lit(1)).alias("side"))
+    cell = lambda c, n: F.floor(F.col(f"{c}.{n}") / F.col("side")).alias(f"c{n}")
+    placed = own.join(sides, keys).select(*keys, "line", "box", cell("mid", "x"), cell("mid", "y"))
+    # Equal hints of one value are looked up once for each row, as a join does.
+    left = values.select(*keys, "value", "hint").withColumn("__row", F.struct(*keys, "value", "hint"))
+    left = left.groupBy("__row").agg(F.count(F.lit(1)).alias("__times")).select("__row.*", "__times")
+    left = left.withColumn("mid", middle(F.col("hint"))).join(sides, keys)
+    found, d = [], B.centre_distance(F.col("hint"), F.col("box"))
+    for reach in (1, 3, None):
+        if reach is None:
+            both = left.join(placed.select(*keys, "line", "box"), keys)
+        else:
+            around = lambda c: F.explode(F.sequence(c - reach, c + reach))  # noqa: B023, E731
+            near = left.withColumn("cx", around(F.floor(F.col("mid.x") / F.col("side")))).withColumn("cy", around(F.floor(F.col("mid.y") / F.col("side"))))
+            both = near.join(placed, [*keys, "cx", "cy"])
+        both = both.withColumn("distance", d)
+        if reach is not None:
+            # Whatever is no farther than so many sides lies in the cells; a hair less for rounding.
+            sure = F.count(F.when(F.col("distance") * 2 < F.col("side") * (reach - 1e-9), 1)) >= most
+            enough = both.groupBy(*keys, "value", "hint").agg(sure.alias("sure")).where("sure").drop("sure")
+            both = both.join(enough, [*keys, "value", "hint"], "left_semi")
+            left = left.join(enough, [*keys, "value", "hint"], "left_anti")
+        found.append(both.select(*keys, "value", "line", "box", "distance", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))).alias("__copy")))
     rank = F.row_number().over(Window.partitionBy(*keys, "value").orderBy("distance", "line"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= most).drop("hint")
+    met = found[0].union(found[1]).union(found[2]).drop("__copy")
+    return met.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
 def wrapped(values: DataFrame, lines: DataFrame, keys: list[str], line_height: int) -> DataFrame:

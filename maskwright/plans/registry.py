@@ -427,6 +427,15 @@ def nearest_lines(spark, sf_dir):
     return found.select("page", "value", "line", F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def nearest_lines_of_boxes(spark, sf_dir):
+    """The nearest lines of every box."""
+    boxes = _part_boxes(spark, sf_dir)
+    hints = boxes.select("page", F.col("id").alias("value"), F.col("box").alias("hint"))
+    found = location.nearest_lines(hints, boxes.withColumnRenamed("id", "line"), ["page"])
+    return found.select("page", "value", "line", F.col("rank").cast("long").alias("rank"))
+
+
 @query("""
 WITH d AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS n FROM orders),
 s AS (SELECT o_orderkey, [105] || list_transform([1, 3, 5, 7], lambda i: CAST(n[i : i + 1] AS INT)) AS b FROM d)

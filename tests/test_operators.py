@@ -1,11 +1,12 @@
 import difflib
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from maskwright.operators import candidates as C
 from maskwright.operators import leak, location, matching, replace, values
-from maskwright.plans import report
+from maskwright.plans import registry, report
 from maskwright.plans.deidentify import deidentified
 
 
@@ -182,3 +183,25 @@ def test_deidentified_documents_pass_an_independent_search(spark):
     assert len(set(re.findall(r"\S+@example\.com", new[-1].text.replace(",", " ")))) in (1, 2)
     old = {r.doc_id: r.text for r in both.collect()}
     assert all(new[k].text == old[k] for k in new if new[k].n_found == 0)
+
+
+def test_nearest_lines_equal_brute_force(spark):
+    rng = random.Random(2)
+    box = "struct<x0:int,y0:int,x1:int,y1:int>"
+
+    def made(page):
+        x, y = (rng.randrange(210), rng.randrange(290)) if page < 3 else (rng.choice([0, 1, 5000]), rng.choice([0, 9000]))
+        return (page, 0, (x, y, x + rng.randrange(20, 70), y + 12))
+
+    rows = [(p, k, b) for k, (p, _, b) in enumerate(made(p) for p, n in ((1, 400), (2, 7), (3, 90)) for _ in range(n))]
+    rows += [(1, 1000 + k, rows[0][2]) for k in range(30)]
+    boxes = spark.createDataFrame(rows, f"page int, line int, box {box}")
+    hints = boxes.select("page", F.col("line").alias("value"), F.col("box").alias("hint"))
+    got = {(r.page, r.value, r["rank"]): r.line for r in location.nearest_lines(hints, boxes, ["page"]).collect()}
+    want = {}
+    for p, v, a in rows:
+        far = lambda b: ((a[0] + a[2] - b[0] - b[2]) ** 2 + (a[1] + a[3] - b[1] - b[3]) ** 2)  # noqa: B023, E731
+        near = sorted((far(b), k) for q, k, b in rows if q == p)[:12]
+        want |= {(p, v, i + 1): k for i, (_, k) in enumerate(near)}
+    assert got == want
+    assert "nearest_lines_of_boxes" in registry.queries()
