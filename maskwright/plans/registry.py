@@ -289,6 +289,15 @@ def leaks_of_words(spark, sf_dir):
     return leak.leaks(pages, old, ["doc_id"]).select("doc_id", "pieces")
 
 
+@query()
+def leaks_of_values(spark, sf_dir):
+    """All values that are recognized in a document, searched for in its de-identified text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = C.find(docs, ["doc_id"]).select("doc_id", C.value_type(F.col("entity")).alias("type"), "text")
+    pages = flagship(spark, sf_dir).select("doc_id", "text", F.lit("").alias("context"))
+    return leak.leaks(pages, old, ["doc_id"])
+
+
 @query()
 def deidentified_documents(spark, sf_dir):
     return flagship(spark, sf_dir)
@@ -331,12 +340,11 @@ def compound_values(spark, sf_dir):
 
 @query()
 def values_in_lines(spark, sf_dir):
-    """Every document's first three words, found in all of its lines by similarity."""
+    """Every value that is recognized in a document, found in all of its lines by similarity."""
     docs = table(spark, sf_dir, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     lines = lines.select("doc_id", "line", F.filter(F.split("t", r"\s+"), lambda w: w != "").alias("words"))
-    head = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 3), " ")
-    wanted = docs.select("doc_id", head.alias("value")).where("value <> ''")
+    wanted = C.find(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", F.col("text").alias("value")).distinct()
     found = matching.find_all(wanted, lines, ["doc_id"])
     return found.withColumn("score", F.round("score", 9))
 

@@ -2,6 +2,7 @@ import difflib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskwright.operators import candidates as C
@@ -205,3 +206,30 @@ def test_nearest_lines_equal_brute_force(spark):
         want |= {(p, v, i + 1): k for i, (_, k) in enumerate(near)}
     assert got == want
     assert "nearest_lines_of_boxes" in registry.queries()
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("docs"))
+    filler = "one two three four five and more words before it"
+    rows = [
+        (1, f"{filler}\nwrite to anna.schmidt@web.example now\nor to ben@web.example, not to Frau Schmidt\nanna.schmidt@web.example"),
+        (2, f"{filler}\ncall +49 30 5550147 on 12.07.2026"),
+        (3, filler),
+        (4, None),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+def test_all_values_are_found_in_all_lines(spark, folder):
+    got = {(r.doc_id, r.value, r.line, r["first"]) for r in registry.queries()["values_in_lines"](spark, folder).collect() if r.score == 1}
+    assert got == {
+        (1, "anna.schmidt@web.example", 1, 2), (1, "anna.schmidt@web.example", 3, 0), (1, "ben@web.example", 2, 2),
+        (2, "+49 30 5550147", 1, 1), (2, "12.07.2026", 1, 5),
+    }
+
+
+def test_leaks_of_all_values(spark, folder):
+    got = [(r.doc_id, r.type, r.text, r.pieces) for r in registry.queries()["leaks_of_values"](spark, folder).collect()]
+    assert got == [(1, "email", "anna.schmidt@web.example", ["SCHMIDT"])]
