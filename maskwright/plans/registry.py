@@ -195,6 +195,12 @@ def leak_pieces(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.pieces(head, F.lit("person")).alias("pieces"))
 
 
+@query()
+def leak_pieces_of_texts(spark, sf_dir):
+    """The pieces of whole texts, taken for names."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.pieces(F.col("text"), F.lit("person")).alias("pieces"))
+
+
 @query("""
 WITH k AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 8, '1') AS a, lpad(CAST(o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 11 ELSE 1 END AS VARCHAR), 8, '1') AS b FROM orders)
 SELECT o_orderkey, levenshtein(a, b) <= 1 AS slip FROM k

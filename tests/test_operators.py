@@ -233,3 +233,14 @@ def test_all_values_are_found_in_all_lines(spark, folder):
 def test_leaks_of_all_values(spark, folder):
     got = [(r.doc_id, r.type, r.text, r.pieces) for r in registry.queries()["leaks_of_values"](spark, folder).collect()]
     assert got == [(1, "email", "anna.schmidt@web.example", ["SCHMIDT"])]
+
+
+def test_leak_pieces_of_whole_texts_equal_brute_force(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    got = {r.doc_id: r.pieces for r in registry.queries()["leak_pieces_of_texts"](spark, folder).collect()}
+    for r in docs:
+        if r.text is not None:
+            words = [norm(w) for w in re.findall("[A-Za-zÄÖÜäöüß]{4,}", r.text)]
+            runs = re.findall("[0-9]{4,}", re.sub(r"[.\- ]", "", r.text))
+            assert got[r.doc_id] == sorted({p for p in [norm(r.text), *words, *runs] if len(p) >= 4})
+    assert "SCHMIDT" in got[1] and "49305550147" in got[2]
