@@ -244,3 +244,9 @@ def test_leak_pieces_of_whole_texts_equal_brute_force(spark, folder):
             runs = re.findall("[0-9]{4,}", re.sub(r"[.\- ]", "", r.text))
             assert got[r.doc_id] == sorted({p for p in [norm(r.text), *words, *runs] if len(p) >= 4})
     assert "SCHMIDT" in got[1] and "49305550147" in got[2]
+
+
+def test_too_many_copies_are_an_error(spark):
+    frame = spark.createDataFrame([("d", 1, 0, "customer", "person", "Ana Lima")], "doc string, page int, pos int, owner string, type string, text string")
+    with pytest.raises(ValueError, match="copies"):
+        replace.changes(frame, spark.range(replace.COPIES + 1).withColumnRenamed("id", "seed"), ["doc"])
