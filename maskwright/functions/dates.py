@@ -1,11 +1,18 @@
-"""Dates and times within text, moved while their written form is kept."""
+"""Dates and times within text, moved while their written form is kept.
+
+A written date is read as its tokens: numbers, a month's name, and what stands between. Its first
+token tells the order of day, month and year; moving a date writes new numbers and names into the
+same places, so padding, punctuation and length of the year stay what they were.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import rewrite
+from maskwright.functions.text import once, rewrite
 
 # Month names, in German and English, whole and short.
 MONTHS = (
@@ -14,98 +21,108 @@ MONTHS = (
     ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"),
     ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"),
 )
-# A name that several styles share belongs to the last of them.
-_KNOWN = {name.lower(): (style, k + 1) for style, names in enumerate(MONTHS) for k, name in enumerate(names)}
-_KNOWN |= {"maerz": (0, 3), "sept": (3, 9)}
-_NAME = "(?:" + "|".join(sorted(_KNOWN, key=lambda x: (-len(x), x))) + ")"
-_ISO = "[0-9]{4}-[0-9]{2}-[0-9]{2}"
-_DOT = r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.(?:[0-9]{4}|[0-9]{2}(?![0-9]))?(?![0-9]|,[0-9])"
-_SLASH = r"(?<![0-9])[0-9]{1,2}/[0-9]{1,2}/(?:[0-9]{4}|[0-9]{2})(?![0-9])"
-_DAY_MONTH = rf"(?<![0-9])[0-9]{{1,2}}\.?\s+{_NAME}\.?(?:\s+[0-9]{{4}})?"
-_MONTH_DAY = rf"{_NAME}\.?\s+[0-9]{{1,2}},?\s+[0-9]{{4}}"
-_MONTH_YEAR = rf"{_NAME}\s+[0-9]{{4}}"
-PATTERN = f"(?iu)(?:{'|'.join((_ISO, _DOT, _SLASH, _DAY_MONTH, _MONTH_DAY, _MONTH_YEAR))})"
+# Other spellings, by language (row of MONTHS) and month.
+SPELLINGS = (("Maerz", 0, 3), ("Sept", 3, 9))
+# The written forms: D, M and Y are numbers, YYYY, MM and DD have so many digits, NAME is a month's name,
+# a space is any white space, and what stands in brackets may be missing.
+FORMS = ("YYYY-MM-DD", "D.M.[Y]", "D/M/Y", "D[.] NAME[.][ YYYY]", "NAME[.] D[,] YYYY", "NAME YYYY")
+LEAP = 2000
+_LAST = 9999
+
+
+def _names() -> dict[str, tuple[int, int]]:
+    """Lower-case name: its row of ``MONTHS`` and its month. Later rows win, so shared names are English."""
+    rows = [(name, row, k) for row, names in enumerate(MONTHS) for k, name in enumerate(names, 1)]
+    return {name.lower(): (row, month) for name, row, month in (*rows, *SPELLINGS)}
+
+
+_BY_NAME = _names()
+_SYMBOLS = {
+    "YYYY": "[0-9]{4}",
+    "NAME": "(?:" + "|".join(sorted(_BY_NAME, key=len, reverse=True)) + ")",
+    "MM": "[0-9]{2}",
+    "DD": "[0-9]{2}",
+    "D": "[0-9]{1,2}",
+    "M": "[0-9]{1,2}",
+    "Y": "(?:[0-9]{4}|[0-9]{2})",
+    " ": r"\s+",
+    "[": "(?:",
+    "]": ")?",
+}
+
+
+def _compiled(form: str) -> str:
+    """A form as a pattern. Numbers of open length don't begin or end within a longer number."""
+    out, rest = "", form
+    while rest:
+        symbol = next((x for x in _SYMBOLS if rest.startswith(x)), rest[0])
+        out += _SYMBOLS.get(symbol, "\\" + symbol)
+        rest = rest[len(symbol) :]
+    if form.startswith("D."):
+        # Points join numbers to other things than dates: versions before, amounts after.
+        return rf"(?<![0-9.]){out.replace('[0-9]{2})', '[0-9]{2}(?![0-9]))')}(?![0-9]|,[0-9])"
+    return (r"(?<![0-9])" if form.startswith("D") else "") + out + ("(?![0-9])" if form.endswith("/Y") else "")
+
+
+PATTERN = f"(?iu)(?:{'|'.join(map(_compiled, FORMS))})"
+_TOKEN = r"[0-9]+|\p{L}+|[^0-9\p{L}]+"
 _TIME = r"\b[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\b"
-_LEAP = "2000"
 
 
-def _date(year: Column, month: Column, day: Column) -> Column:
-    """The date, null if there is none such."""
-    whole = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.try_to_timestamp(whole, F.lit("yyyy-MM-dd")).cast("date")
+def _month(name: Column) -> Column:
+    """(row, month) of a name, null if it is none."""
+    known = F.map_from_arrays(F.array(*map(F.lit, _BY_NAME)), F.array(*[F.struct(F.lit(r).alias("row"), F.lit(m).alias("month")) for r, m in _BY_NAME.values()]))
+    return F.try_element_at(known, F.lower(name))
 
 
-def _padded(n: Column, like: Column) -> Column:
-    return F.when(F.length(like) == 2, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
+def _like(n: Column, old: Column) -> Column:
+    """A number in as many digits as the old, where that was two or four."""
+    text = n.cast("string")
+    return F.when(F.length(old) == 4, F.lpad(text, 4, "0")).when(F.length(old) == 2, F.lpad(F.right(text, F.lit(2)), 2, "0")).otherwise(text)
 
 
-def _full(year: Column) -> Column:
-    return F.when(year == "", F.lit(_LEAP)).when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+def _moved(written: Column, days: Column) -> Column:
+    """One matched date, moved; itself if there is no such date or none to move to."""
+    return once(F.regexp_extract_all(written, F.lit(_TOKEN), F.lit(0)), lambda tokens: once(_read(tokens, days), lambda r: _written(tokens, r, written)))
 
 
-def _year(date: Column, like: Column) -> Column:
-    four = F.when(F.year(date) <= 9999, F.lpad(F.year(date).cast("string"), 4, "0"))
-    return F.when(like == "", F.lit("")).when(F.length(like) == 2, F.substring(four, 3, 2)).otherwise(four)
+def _read(tokens: Column, days: Column) -> Column:
+    """Where day, month and year stand among the tokens (-1 is nowhere), the month's name, and the new date."""
+    number = lambda s: s.try_cast("int")
+    first = F.get(tokens, F.lit(0))
+    named_first = ~first.rlike("^[0-9]")
+    alone = named_first & (F.size(tokens) < 5)
+    orders = ((alone, (-1, 0, 2)), (named_first, (2, 0, 4)), (F.length(first) == 4, (4, 2, 0)))
+    at = [reduce(lambda other, x: F.when(x[0], x[1][k]).otherwise(other), reversed(orders), F.lit((0, 2, 4)[k])) for k in range(3)]  # noqa: B023
+    day, month, year = (F.get(tokens, x) for x in at)
+    name = _month(month)
+    y = F.when(year.isNull(), LEAP).when(F.length(year) == 2, number(year) + 2000).otherwise(number(year))
+    # As text, since a cast of what is no date gives null.
+    begin = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.coalesce(name["month"], number(month)), F.coalesce(number(day), F.lit(1))).try_cast("date")
+    # A month alone moves by whole months, by one at least.
+    months = F.rint(days / 30.44).cast("int")
+    months = F.when(days > 0, F.greatest(months, F.lit(1))).otherwise(F.least(months, F.lit(-1)))
+    to = F.when(alone, F.add_months(begin, months)).otherwise(F.date_add(begin, days))
+    return F.struct(*[x.alias(n) for n, x in zip("dmy", at, strict=True)], name["row"].alias("row"), to.alias("to"))
 
 
-def _known(name: Column, which: int) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for k, v in _KNOWN.items() for x in (k, v[which])]), F.lower(name))
+def _written(tokens: Column, r: Column, otherwise: Column) -> Column:
+    """The new date in the old one's form."""
+    styles = F.array(*[F.array(*map(F.lit, names)) for names in MONTHS])
+    old = F.get(tokens, r["m"])
+    name = F.get(F.get(styles, r["row"]), F.month(r["to"]) - 1)
+    upper = (F.length(old) > 1) & (F.upper(old) == old)
+    name = F.when(upper, F.upper(name)).when(F.lower(old) == old, F.lower(name)).otherwise(name)
 
+    def put(t: Column, i: Column) -> Column:
+        return (
+            F.when(i == r["d"], _like(F.day(r["to"]), t))
+            .when(i == r["m"], F.when(r["row"].isNull(), _like(F.month(r["to"]), t)).otherwise(name))
+            .when(i == r["y"], _like(F.year(r["to"]), t))
+            .otherwise(F.regexp_replace(t, r"\s+", " "))
+        )
 
-def _named(month: Column, like: Column) -> Column:
-    """The month's name in the style and case of ``like``."""
-    styles = F.array(*[F.array(*map(F.lit, names)) for names in MONTHS])
-    name = F.get(F.get(styles, _known(like, 0)), month - 1)
-    upper = (F.upper(like) == like) & (F.length(like) > 1)
-    return F.when(upper, F.upper(name)).when(F.lower(like) == like, F.lower(name)).otherwise(name)
-
-
-def _moved(m: Column, days: Column) -> Column:
-    """One matched date, moved; the match itself if there is no such date or none to move to."""
-    part = lambda pattern, k: F.regexp_extract(m, "(?iu)" + pattern, k)
-    shifted = lambda y, mo, d: F.date_add(_date(y, mo, d), days)
-
-    to = shifted(F.substring(m, 1, 4), F.substring(m, 6, 2), F.substring(m, 9, 2))
-    iso = F.when(F.year(to) <= 9999, F.date_format(to, "yyyy-MM-dd"))
-
-    dot = r"^([0-9]+)\.([0-9]+)\.([0-9]*)$"
-    d, mo, y = (part(dot, k) for k in (1, 2, 3))
-    to = shifted(_full(y), mo, d)
-    dotted = F.concat(_padded(F.day(to), d), F.lit("."), _padded(F.month(to), mo), F.lit("."), _year(to, y))
-
-    slash = "^([0-9]+)/([0-9]+)/([0-9]+)$"
-    d, mo, y = (part(slash, k) for k in (1, 2, 3))
-    to = shifted(_full(y), mo, d)
-    slashed = F.concat(_padded(F.day(to), d), F.lit("/"), _padded(F.month(to), mo), F.lit("/"), _year(to, y))
-
-    day_month = rf"^([0-9]+)(\.?)\s+({_NAME})(\.?)(?:\s+([0-9]{{4}}))?$"
-    d, dot_d, name, dot_m, y = (part(day_month, k) for k in range(1, 6))
-    to = shifted(_full(y), _known(name, 1).cast("string"), d)
-    tail = F.when(y == "", F.lit("")).otherwise(F.concat(F.lit(" "), _year(to, y)))
-    dmy = F.concat(_padded(F.day(to), d), dot_d, F.lit(" "), _named(F.month(to), name), dot_m, tail)
-
-    month_day = rf"^({_NAME})(\.?)\s+([0-9]+)(,?)\s+([0-9]{{4}})$"
-    name, dot_m, d, comma, y = (part(month_day, k) for k in range(1, 6))
-    to = shifted(y, _known(name, 1).cast("string"), d)
-    mdy = F.concat(_named(F.month(to), name), dot_m, F.lit(" "), _padded(F.day(to), d), comma, F.lit(" "), _year(to, y))
-
-    month_year = rf"^({_NAME})\s+([0-9]{{4}})$"
-    name, y = part(month_year, 1), part(month_year, 2)
-    whole = F.rint(days / 30.44).cast("int")
-    months = F.when(days > 0, F.greatest(F.lit(1), whole)).otherwise(F.least(F.lit(-1), whole))
-    index = y.try_cast("int") * 12 + _known(name, 1) - 1 + months
-    to_year = F.when(index < 120_000, F.floor(index / 12).cast("string"))
-    my = F.concat(_named((index % 12 + 1).cast("int"), name), F.lit(" "), to_year)
-
-    new = (
-        F.when(m.rlike(f"^{_ISO}$"), iso)
-        .when(m.rlike(dot), dotted)
-        .when(m.rlike(slash), slashed)
-        .when(m.rlike("(?iu)" + day_month), dmy)
-        .when(m.rlike("(?iu)" + month_day), mdy)
-        .otherwise(my)
-    )
-    return F.coalesce(new, m)
+    return F.when(F.year(r["to"]) <= _LAST, F.array_join(F.transform(tokens, put), "")).otherwise(otherwise)
 
 
 def shift(text: Column, days: Column | int) -> Column:
@@ -114,7 +131,9 @@ def shift(text: Column, days: Column | int) -> Column:
     What isn't a date stays, and so does a date that would leave the years up to 9999.
     """
     days = F.lit(days) if isinstance(days, int) else days
-    return F.when(text.rlike(PATTERN), rewrite(text, PATTERN, lambda m: _moved(m, days))).otherwise(text)
+    # A text that is one date and nothing else, as values are, needs no search.
+    whole = (text != "") & (F.regexp_extract(text, PATTERN, 0) == text)
+    return F.when(whole, _moved(text, days)).when(text.rlike(PATTERN), rewrite(text, PATTERN, lambda m: _moved(m, days))).otherwise(text)
 
 
 def shift_times(text: Column, minutes: Column | int) -> Column:

@@ -6,6 +6,7 @@ All stay inside the JVM. Character classes are ASCII but where a letter is named
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,9 +18,11 @@ VALUE_TYPES = ("person", "street", "city", "email", "phone", "date", "time", "id
 EDGE_PUNCTUATION = " \t:;,=-–—|("
 # Letters that a reader takes for digits, and the digits.
 LOOK_ALIKES = ("OoIlZzSBG", "001122586")
-# Letters that invented codes are made of.
-SHAPE_UPPER = "ABCDEFGHJKLMNPRSTUVWXYZ"
-SHAPE_LOWER = "abcdefghjkmnprstuvwxyz"
+#: Letters that invented codes are made of: all but those that could be read as a one or a zero.
+SHAPE_LOWER = "".join(x for x in ascii_lowercase if x not in "iloq")
+SHAPE_UPPER = "".join(x for x in ascii_uppercase if x not in "IOQ")
+# What a sum of money is written with.
+CURRENCY = ("EUR", "€")
 SLIP_DIGITS = 6
 LONG_DIGITS = 6
 PIECE_LENGTH = 4
@@ -36,6 +39,11 @@ def rewrite(text: Column, pattern: str, change: Callable[[Column], Column]) -> C
     return F.array_join(both, "")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: as the element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def characters(s: Column) -> Column:
     """The characters of a text, in an array."""
     every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.substring(s, i, F.lit(1)))
@@ -68,13 +76,20 @@ def one_slip(value: Column, reading: Column) -> Column:
 
 
 def is_amount(s: Column) -> Column:
-    """A sum of money, a percentage, or a number with a unit word."""
-    t = F.trim(s)
-    return (
-        t.rlike(r"^[-+]?[0-9][0-9.,]*\s*(EUR|€|[A-Z][a-z]+)$")
-        | t.rlike(r"^[-+]?(€\s*)?[0-9]{1,3}(\.[0-9]{3})*,[0-9]{2}(\s*(EUR|€))?$")
-        | t.rlike(r"^[-+]?[0-9][0-9.,]*\s*%$")
-    )
+    """A sum of money, a percentage, or a number with a unit word.
+
+    The text is cut into a currency sign, a number and a unit. A unit makes any number an amount;
+    without one, or with a sign before it, the number has to be written as money: thousands in
+    groups of three after points, and two decimals after a comma.
+    """
+    cut = lambda k: F.regexp_extract(F.trim(s), r"^[-+]?(€?)\s*([0-9][0-9.,]*)\s*(.*)$", k)
+    sign, number, unit = cut(1), cut(2), cut(3)
+    counted = unit.isin("%", *CURRENCY) | unit.rlike("^[A-Z][a-z]+$")
+    sides = F.split(number, ",")
+    groups = F.split(F.get(sides, F.lit(0)), "[.]")
+    whole = F.length(F.get(groups, F.lit(0))).between(1, 3) & F.forall(F.slice(groups, 2, F.size(groups)), lambda g: F.length(g) == 3)
+    money = (F.size(sides) == 2) & (F.length(F.get(sides, F.lit(1))) == 2) & ~F.contains(F.get(sides, F.lit(1)), F.lit(".")) & whole
+    return (number != "") & (((sign == "") & counted) | (unit.isin("", *CURRENCY) & money))
 
 
 def match_case(new: Column, old: Column) -> Column:
@@ -137,24 +152,28 @@ def pick(pool: tuple[str, ...] | str, number: Column) -> Column:
     return F.get(F.array(*map(F.lit, pool)), (number % len(pool)).cast("int"))
 
 
+def _shaped(c: Column, i: Column, drawn: Column, old: Column, first: Column) -> Column:
+    """The character in place of ``c``, the ``i``-th of ``old``, by hexadecimal digits ``drawn``."""
+    n = F.conv(F.substring(drawn, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    return (
+        F.when(c.rlike("[0-9]"), F.when(i + 1 == first, n % 9 + 1).otherwise(n % 10).cast("string"))
+        .when(c.rlike("[A-Z]"), pick(SHAPE_UPPER, n))
+        .when(c.rlike("[a-z]"), pick(SHAPE_LOWER, n))
+        .otherwise(F.substring(old, i + 1, F.lit(1)))
+    )
+
+
 def same_shape(old: Column, *seed: Column) -> Column:
     """New digits and ASCII letters in the places of the old; masks (``XX``) and all else stay.
 
-    The first digit that changes isn't zero.
+    The first digit that changes isn't zero. Each character has two digits of an MD5 hash, so one
+    hash is enough for sixteen of them.
     """
     open_ = rewrite(old, "[Xx]{2,}", lambda m: F.regexp_replace(m, "[Xx]", "*"))
     first = F.regexp_instr(open_, F.lit("[0-9]"))
-
-    def new(c: Column, i: Column) -> Column:
-        n = number_of(*seed, i)
-        return (
-            F.when(c.rlike("[0-9]"), F.when(i + 1 == first, n % 9 + 1).otherwise(n % 10).cast("string"))
-            .when(c.rlike("[A-Z]"), pick(SHAPE_UPPER, n))
-            .when(c.rlike("[a-z]"), pick(SHAPE_LOWER, n))
-            .otherwise(F.substring(old, i + 1, F.lit(1)))
-        )
-
-    return F.array_join(F.transform(characters(open_), new), "")
+    digest = lambda k: F.md5(F.concat_ws("\u001f", *[p.cast("string") for p in (*seed, k)]))
+    drawn = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(old) / 16).cast("int")), digest), "")
+    return once(drawn, lambda d: F.array_join(F.transform(characters(open_), lambda c, i: _shaped(c, i, d, old, first)), ""))
 
 
 def card_like(old: Column, *seed: Column) -> Column:

@@ -223,7 +223,7 @@ _STYLE = "CASE WHEN month({0}) = 5 THEN substr({1}, 1, 3) ELSE {1} END"
 @query(f"""
 SELECT o_orderkey, strftime(o_orderdate + INTERVAL 20 DAY, '%d.%m.%Y') AS dot, strftime(o_orderdate + INTERVAL 20 DAY, '%Y-%m-%d') AS iso,
   strftime(o_orderdate + INTERVAL 20 DAY, '%d/%m/%y') AS slash,
-  CAST(day(o_orderdate + INTERVAL 20 DAY) AS VARCHAR) || ' ' || {_STYLE.format('o_orderdate', _EN + '[month(o_orderdate + INTERVAL 20 DAY)]')} || ' ' || CAST(year(o_orderdate + INTERVAL 20 DAY) AS VARCHAR) AS named
+  CASE WHEN day(o_orderdate) >= 10 THEN strftime(o_orderdate + INTERVAL 20 DAY, '%d') ELSE CAST(day(o_orderdate + INTERVAL 20 DAY) AS VARCHAR) END || ' ' || {_STYLE.format('o_orderdate', _EN + '[month(o_orderdate + INTERVAL 20 DAY)]')} || ' ' || CAST(year(o_orderdate + INTERVAL 20 DAY) AS VARCHAR) AS named
 FROM orders
 """)
 def dates_shifted(spark, sf_dir):
@@ -237,9 +237,7 @@ def dates_shifted(spark, sf_dir):
         F.date_format(d, "dd/MM/yy").alias("slash"),
         F.date_format(d, "d MMMM yyyy").alias("named"),
     )
-    moved = own.select("o_orderkey", *[dates.shift(F.col(c), 20).alias(c) for c in ("dot", "iso", "slash", "named")])
-    # A single-digit day keeps no padding, which only the day of the month decides.
-    return moved.withColumn("named", F.regexp_replace("named", "^0", ""))
+    return own.select("o_orderkey", *[dates.shift(F.col(c), 20).alias(c) for c in ("dot", "iso", "slash", "named")])
 
 
 @query(f"""
