@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BAND = "array<struct<start:int,end:int>>"
+#: Numbers that are summed in one fold; a fold copies what it has at each step.
+_CHUNK = 256
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: as the element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column) -> Column:
+    """The sum up to each number of an array, as longs; none for null.
+
+    Numbers are summed within chunks and then over the chunks, so the time grows little more than the length.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def sums(v: Column) -> Column:
+        return F.aggregate(v, none, lambda out, x: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0).cast("bigint")) + x)))
+
+    def joined(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(_CHUNK))
+        return once(F.transform(starts, lambda i: sums(F.slice(v, i, _CHUNK))), spread)
+
+    def spread(parts: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("bigint")), sums(F.transform(parts, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0).cast("bigint")))))
+        return F.flatten(F.zip_with(parts, F.slice(before, 1, F.size(parts)), lambda p, b: F.transform(p, lambda x: x + b)))
+
+    return once(F.coalesce(values.cast("array<bigint>"), none), joined)
 
 
 def bands(flags: Column, min_gap: int = 1) -> Column:
     """Runs of true as (start, end), end exclusive; runs with a gap below ``min_gap`` are one."""
-    none = F.array().cast(_BAND)
+    gap = max(min_gap, 1)
 
-    def step(out: Column, x: Column) -> Column:
-        last = F.element_at(out, -1)
-        here = F.array(F.struct(x.alias("start"), (x + 1).alias("end")))
-        near = (F.size(out) > 0) & (x - last["end"] < F.greatest(F.lit(min_gap), F.lit(1)))
-        grown = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), (x + 1).alias("end"))))
-        return F.when(near, grown).otherwise(F.concat(out, here))
+    def pairs(at: Column) -> Column:
+        # A band begins where the true before is too far away, and ends where the next is.
+        begins = F.filter(at, lambda x, i: F.coalesce(x - F.get(at, i - 1) > gap, F.lit(True)))
+        ends = F.filter(at, lambda x, i: F.coalesce(F.get(at, i + 1) - x > gap, F.lit(True)))
+        return F.zip_with(begins, ends, lambda x, y: F.struct(x.alias("start"), (y + 1).alias("end")))
 
     places = F.filter(F.transform(flags, lambda f, i: F.when(f, i)), lambda x: x.isNotNull())
-    return F.aggregate(places, none, step)
+    return once(places, pairs).cast(_BAND)
 
 
 def longest_true_run(flags: Column) -> Column:

@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import once, rewrite
+from maskwright.functions.arrays import once
+from maskwright.functions.text import rewrite
 
 # Month names, in German and English, whole and short.
 MONTHS = (

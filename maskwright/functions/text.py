@@ -11,6 +11,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwright.functions.arrays import once, running
+
 # Value types whose words don't identify anyone, and those that can be a business's own.
 NUMBER_TYPES = ("id", "card", "iban", "phone", "date", "time")
 PLACE_TYPES = ("city", "street")
@@ -39,9 +41,18 @@ def rewrite(text: Column, pattern: str, change: Callable[[Column], Column]) -> C
     return F.array_join(both, "")
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often it is used: as the element of an array."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def matches(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches as (start, end, s), places in code points; none for null.
+
+    The lengths of the gaps and of the matches, summed, give the places.
+    """
+
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        ends = running(F.zip_with(gaps, found, lambda g, s: F.length(g) + F.length(s)))
+        return F.zip_with(found, ends, lambda s, e: F.struct((e - F.length(s)).cast("int").alias("start"), e.cast("int").alias("end"), s.alias("s")))
+
+    return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def characters(s: Column) -> Column:

@@ -45,17 +45,7 @@ def recognized(text: Column) -> Column:
 
 
 def _spans(text: Column, pattern: str, entity: str, score: float, valid) -> Column:
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,s:string>>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["g"])
-        end = start + F.length(x["s"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s")))).alias("out"))
-
-    both = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, s: F.struct(g.alias("g"), s.alias("s")))
-    placed = F.aggregate(both, begin, step, lambda s: s["out"])
+    placed = T.matches(text, pattern)
     if valid is not None:
         placed = F.filter(placed, lambda m: valid(m["s"]))
     return F.transform(placed, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(entity).alias("entity"), F.lit(score).alias("score")))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -56,3 +57,10 @@ def test_boxes(spark):
     got = frame.select(B.overlaps(F.col("a"), F.col("b")).alias("o"), B.below(F.col("a"), F.col("b"), 12).alias("d"), B.centre_distance(F.col("a"), F.col("b")).alias("c")).collect()
     assert [r.o for r in got] == [True, False, False, False]
     assert [r.d for r in got] == [False, False, True, False] and got[0].c == 7.0
+
+
+def test_running_sums(spark):
+    rows = [([],), ([3],), (list(range(256)),), (list(range(257)),), ([1] * 1000 + [-5],), (None,)]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, v array<int>")
+    for r in frame.select("v", A.running(frame.v).alias("s")).collect():
+        assert r.s == list(itertools.accumulate(r.v or []))
