@@ -44,13 +44,13 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH t AS (
   SELECT DISTINCT conv_id, turn,
-    replace(replace(coalesce(role, 'unknown'), '<|', '<\|'), '"', '\"') AS role,
+    replace(replace(replace(replace(replace(coalesce(role, 'unknown'), '\', '\\'), '<|', '<\|'), '"', '\"'), chr(10), '\n'), chr(13), '\r') AS role,
     replace(coalesce(text, ''), '<|', '<\|') AS text
   FROM conversations
 ), s AS (
   SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
 ), p AS (
-  SELECT t.conv_id, perspective, CAST(floor(turn / 256.0) AS BIGINT) AS part, turn, role, text, role = perspective AS own,
+  SELECT t.conv_id, perspective, turn, role, text, role = perspective AS own,
     CASE WHEN role = perspective THEN '<|assistant|>' || chr(10)
          WHEN role = 'system' THEN '<|system|>' || chr(10)
          ELSE '<|user name="' || role || '"|>' || chr(10) END AS head,
@@ -58,14 +58,14 @@ WITH t AS (
   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ), o AS (
   SELECT *, sum(length(head) + length(body)) OVER (
-    PARTITION BY conv_id, perspective, part ORDER BY turn, role, text) AS upto
+    PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role, text) AS upto
   FROM p
 )
-SELECT conv_id, perspective, part, count(*) AS n_turns,
-  string_agg(head || body, '' ORDER BY turn, role, text) AS rendered,
+SELECT conv_id, perspective, count(*) AS n_turns,
+  string_agg(head || body, '' ORDER BY turn NULLS LAST, role, text) AS rendered,
   coalesce(string_agg(CASE WHEN own THEN CAST(CAST(upto - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto AS BIGINT) AS VARCHAR) END, ','
-    ORDER BY turn, role, text), '') AS masks
-FROM o GROUP BY conv_id, perspective, part
+    ORDER BY turn NULLS LAST, role, text), '') AS masks
+FROM o GROUP BY conv_id, perspective
 """
 
 
