@@ -1,11 +1,12 @@
 """Mixing sources to target weights (operator 1), with DataFrame operations only.
 
-Every source is cut into 4096 blocks of documents by a hash, and each source's blocks have a
-permuted order of their own. Its target says how many passes over the source are taken and how far
-a last pass goes into the permuted blocks; that is the source's quota of blocks. A splitting tree
-divides the quotas among the output shards: each node hands its left half a multivariate
-hypergeometric draw of what it holds, so every quota is split exactly. A shard then takes its
-disjoint run of each source's permuted blocks, and orders what it took by a hash.
+Every source is cut into 4096 blocks of documents by a hash, and each source's blocks are permuted
+by four rounds of a keyed exchange of halves. Its target says how many passes over the source are
+taken and how far a last pass goes into the permuted blocks; that is the source's quota of blocks.
+A splitting tree divides the quotas among the output shards: each node hands its left half a
+multivariate hypergeometric draw of what it holds, so every quota is split exactly. A shard then
+draws its disjoint run of each source's permuted blocks, which is what is taken, and is shuffled by
+a hash on its own.
 
 What is planned is a row for each source, not for each document; a source may hold most rows.
 """
@@ -17,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.functions.arrays import once, running
 from maskwright.llm.tables import cut, small
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -24,6 +26,7 @@ MOST_REPEATS = 3
 SHARDS = 16
 SEED = 42
 BLOCKS = 4096
+_HALF = 64
 #: Source plans that are sent to all executors; more are joined by shuffling.
 _PLANS = 20_000
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -41,36 +44,42 @@ def _block() -> Column:
     return F.pmod(_row_hash(), F.lit(BLOCKS)).cast("int")
 
 
+def _sub_block() -> Column:
+    """Where in its block a document is: one of 4096 parts in order."""
+    return F.shiftrightunsigned(_row_hash(), 52).cast("int")
+
+
 def _place(source: Column, block: Column, seed: int) -> Column:
-    """Where a block stands in its source's permuted order: an odd multiple and a shift, modulo 4096."""
-    a = F.xxhash64(F.lit(seed), F.lit("times"), source)
-    b = F.xxhash64(F.lit(seed), F.lit("plus"), source)
-    times = F.pmod(a, F.lit(BLOCKS // 2)) * 2 + 1
-    return F.pmod(times * block + F.pmod(b, F.lit(BLOCKS)), F.lit(BLOCKS)).cast("int")
+    """Where a block stands in its source's permuted order.
+
+    The two halves of its number change places four times, each time one of them mixed with a hash
+    of the other: a permutation for every source.
+    """
+    left, right = F.floor(block / _HALF).cast("int"), block % _HALF
+    for turn in range(4):
+        mixed = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), source, right), F.lit(_HALF)).cast("int")
+        left, right = right, left.bitwiseXOR(mixed)
+    return left * _HALF + right
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
     """``sizes(source, size)`` with ``target``: shares of all sizes by weight, none above ``most`` sizes.
 
     Sources in code-point order, null last, have the weights in turn. What a source can't take is
-    reshared among the others by weight, until none is above its limit.
+    reshared among the others by weight, until none is above its limit: in the order in which
+    sources become full as the level rises, the level is that of the first one that isn't full.
     """
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (turn % len(weights) + 1).cast("int"))
-    table = cut(sizes.withColumn("weight", weight).withColumn("limit", F.col("size") * float(most)))
-    level, done = 0.0, -1
-    while True:
-        full = F.col("limit") <= F.lit(level) * F.col("weight")
-        got = table.agg(
-            F.sum("size").alias("all"),
-            F.count_if(full).alias("full"),
-            F.sum(F.when(full, F.col("limit")).otherwise(0.0)).alias("held"),
-            F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open"),
-        ).first()
-        if not got["all"] or got["full"] == done or not got["open"]:
-            break
-        done, level = got["full"], (got["all"] - got["held"]) / got["open"]
-    return table.withColumn("target", F.least("limit", F.lit(level) * F.col("weight"))).drop("limit")
+    table = sizes.withColumn("weight", weight).withColumn("limit", F.col("size") * float(most)).withColumn("full", F.col("limit") / F.col("weight"))
+    every = Window.partitionBy()
+    before = Window.orderBy("full", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    less = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0.0))
+    level = (F.sum("size").over(every) - less("limit")) / (F.sum("weight").over(every) - less("weight"))
+    table = table.withColumn("level", level)
+    reached = F.min(F.when(F.col("full") > F.col("level"), F.struct("full", "level"))).over(every)["level"]
+    goal = F.least("limit", F.coalesce(reached * F.col("weight"), F.col("limit")))
+    return table.withColumn("target", goal).drop("limit", "full", "level")
 
 
 def _log_factorial(n: Column) -> Column:
@@ -112,80 +121,84 @@ def hypergeometric(good: Column, total: Column, draws: Column, uniform: Column)
 
 
 def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(source, ends): each source's quota divided among the shards; ``ends`` are running sums by shard.
+    """``quotas(source, quota, ...)`` with ``ends``: each quota divided among the shards, as running sums by shard.
 
-    ``quotas(source, quota)`` is held as one array in each node of the tree, so it should have
-    thousands of sources at most, as any table of sources by shards should.
+    The tree is one row that holds all of its nodes, each with what it has of every source: made for
+    up to about a million sources, as any table of sources by shards is.
     """
-    listed = F.array_sort(F.collect_list(F.struct("rank", "source", "quota")))
-    ranked = quotas.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    nodes = ranked.agg(listed.alias("list")).select(
-        F.lit(0).alias("low"),
-        F.lit(shards).alias("high"),
-        F.transform("list", lambda x: x["source"]).alias("sources"),
-        F.transform("list", lambda x: x["quota"]).alias("held"),
-    )
+    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    rows = quotas.select(order.alias("order"), *quotas.columns).agg(F.array_sort(F.collect_list(F.struct("order", *quotas.columns))).alias("list"))
     zero = F.lit(0).cast("long")
-    for _ in range(max(1, math.ceil(math.log2(shards))) if shards > 1 else 0):
-        total = F.aggregate("held", zero, lambda a, x: a + x)
-        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
-        left = F.floor(total * (middle - F.col("low")) / (F.col("high") - F.col("low")) + 0.5).cast("long")
-        bits = lambda i: F.xxhash64(F.lit(seed), F.col("low"), F.col("high"), i).bitwiseAND(F.lit((1 << 52) - 1))
-        empty = F.array().cast("array<bigint>")
-        begin = F.struct(F.col("total").alias("total"), F.col("left").alias("draws"), empty.alias("out"))
+    node = lambda low, high, held: F.struct(low.alias("low"), high.alias("high"), held.alias("held"))
+
+    def drawn(n: Column) -> Column:
+        """Of what a node holds, how many blocks of each source go to its left half."""
+        total = F.aggregate(n["held"], zero, lambda a, x: a + x)
+        middle = F.floor((n["low"] + n["high"]) / 2)
+        share = F.floor(total * (middle - n["low"]) / (n["high"] - n["low"]) + 0.5).cast("long")
+        bits = lambda i: F.xxhash64(F.lit(seed), n["low"], n["high"], i).bitwiseAND(F.lit((1 << 52) - 1))
+        numbered = F.transform(n["held"], lambda q, i: F.struct(q.alias("q"), ((bits(i) + 0.5) / float(1 << 52)).alias("u")))
+        begin = F.struct(total.alias("total"), share.alias("draws"), F.array().cast("array<bigint>").alias("out"))
 
         def draw(s: Column, x: Column) -> Column:
-            n = F.when(s["draws"] <= 0, zero).otherwise(hypergeometric(x["q"], s["total"], s["draws"], x["u"]))
-            return F.struct(
-                (s["total"] - x["q"]).alias("total"), (s["draws"] - n).alias("draws"), F.concat(s["out"], F.array(n)).alias("out")
+            take = F.when(s["draws"] <= 0, zero).otherwise(hypergeometric(x["q"], s["total"], s["draws"], x["u"]))
+            return once(
+                take, lambda k: F.struct((s["total"] - x["q"]).alias("total"), (s["draws"] - k).alias("draws"), F.concat(s["out"], F.array(k)).alias("out"))
             )
 
-        numbered = F.transform("held", lambda q, i: F.struct(q.alias("q"), ((bits(i) + 0.5) / float(1 << 52)).alias("u")))
-        split = nodes.select("*", total.alias("total"), middle.alias("middle"), left.alias("left"), numbered.alias("numbered"))
-        split = cut(split.withColumn("taken", F.when(F.col("high") - F.col("low") > 1, F.aggregate("numbered", begin, draw, lambda s: s["out"]))))
-        whole = split.where("taken is null").select("low", "high", "sources", "held")
-        parts = split.where("taken is not null")
-        rest = F.zip_with("held", "taken", lambda a, b: a - b)
-        nodes = whole.union(parts.select("low", F.col("middle").alias("high"), "sources", F.col("taken").alias("held"))).union(
-            parts.select(F.col("middle").alias("low"), "high", "sources", rest.alias("held"))
-        )
-    leaves = nodes.select(F.col("low").alias("shard"), F.explode(F.arrays_zip("sources", "held")).alias("x"))
-    by_shard = leaves.groupBy(F.col("x.sources").alias("source")).agg(F.array_sort(F.collect_list(F.struct("shard", "x.held"))).alias("parts"))
-    upto = lambda i: F.aggregate(F.slice("parts", 1, i), zero, lambda a, x: a + x["held"])
-    return by_shard.select("source", F.transform(F.sequence(F.lit(1), F.size("parts")), upto).alias("ends"))
+        return F.aggregate(numbered, begin, draw, lambda s: s["out"])
+
+    def halves(n: Column) -> Column:
+        middle = F.floor((n["low"] + n["high"]) / 2).cast("int")
+        both = once(drawn(n), lambda left: F.array(node(n["low"], middle, left), node(middle, n["high"], F.zip_with(n["held"], left, lambda a, b: a - b))))
+        return F.when(n["high"] - n["low"] > 1, both).otherwise(F.array(n))
+
+    rows = rows.withColumn("nodes", F.array(node(F.lit(0), F.lit(shards), F.transform("list", lambda x: x["quota"].cast("long")))))
+    for _ in range(math.ceil(math.log2(shards))):
+        rows = rows.withColumn("nodes", F.flatten(F.transform("nodes", halves)))
+    ends = F.transform("list", lambda x, i: running(F.transform("nodes", lambda n: F.get(n["held"], i))))
+    both = cut(rows.select(F.explode(F.zip_with("list", ends, lambda x, e: F.struct(x.alias("x"), e.alias("ends")))).alias("r")))
+    return both.select(*[F.col(f"r.x.{c}").alias(c) for c in quotas.columns], F.col("r.ends").alias("ends"))
+
+
+def _reached(parts: DataFrame, extra: str) -> DataFrame:
+    """(source, at, rest): of ``parts(source, at, words, ...)`` in order the one within which ``extra`` words are reached, and its share."""
+    run = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    told = parts.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
+    inside = (F.col("before") < F.col(extra)) & (F.col(extra) <= F.col("before") + F.col("words"))
+    return told.where(inside).select("source", "at", (F.col(extra) - F.col("before")).alias("rest"))
+
+
+def _named(df: DataFrame, name: str) -> DataFrame:
+    """``df(source, at, rest)`` as (of, name_at, name_rest), to be joined."""
+    return df.select(F.col("source").alias("of"), F.col("at").alias(f"{name}_at"), F.col("rest").alias(f"{name}_rest"))
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """A row for each source: its size and target, whole passes, the last pass's end, and its shards."""
-    blocks = cut(
-        docs.groupBy("source", _block().alias("block")).agg(F.sum(word_count(F.col("text"))).alias("words"))
-    )
-    goals = cut(targets(blocks.groupBy("source").agg(F.sum("words").alias("size")), weights))
-    passes = F.when(F.col("size") > 0, F.least(F.lit(MOST_REPEATS), F.floor(F.col("target") / F.col("size")))).otherwise(0)
-    goals = goals.withColumn("passes", passes.cast("long"))
-    goals = goals.withColumn("extra", F.greatest(F.lit(0), F.round("target").cast("long") - F.col("passes") * F.col("size")))
-    goals = goals.withColumn("extra", F.when(F.col("passes") >= MOST_REPEATS, F.lit(0)).otherwise(F.col("extra")).cast("long"))
-    placed = blocks.withColumn("place", _place(F.col("source"), F.col("block"), seed))
-    run = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-    both = placed.join(small(goals.withColumnRenamed("source", "s"), _PLANS), F.col("source").eqNullSafe(F.col("s")))
-    last = both.where("before < extra and extra <= before + words").groupBy("s").agg(
-        F.min(F.struct("place", "before")).alias("last")
-    )
-    goals = cut(
-        goals.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select(
-            "source",
-            F.col("size").alias("source_size"),
-            "target",
-            "passes",
-            F.when(F.col("extra") > 0, F.coalesce("last.place", F.lit(-1))).otherwise(-1).alias("last_place"),
-            (F.col("extra") - F.coalesce("last.before", F.lit(0))).alias("last_words"),
-        )
+    """A row for each source: its size and target, whole passes, where the last pass ends, and its shards.
+
+    The last pass ends in a block, there in a 4096th part of it, and there after so many words.
+    """
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    blocks = docs.groupBy("source", _block().alias("block")).agg(F.sum(word_count(F.col("text"))).alias("words"))
+    blocks = cut(blocks.withColumn("at", _place(F.col("source"), F.col("block"), seed)))
+    goals = targets(blocks.groupBy("source").agg(F.sum("words").alias("size")), weights)
+    passes = F.when(F.col("size") > 0, F.least(F.lit(MOST_REPEATS), F.floor(F.col("target") / F.col("size")))).otherwise(0).cast("long")
+    extra = F.greatest(F.lit(0).cast("long"), F.round("target").cast("long") - F.col("passes") * F.col("size"))
+    goals = goals.withColumn("passes", passes).withColumn("extra", F.when(F.col("passes") >= MOST_REPEATS, F.lit(0).cast("long")).otherwise(extra))
+    goals = cut(goals.select("source", F.col("size").alias("source_size"), "target", "passes", "extra"))
+    wanted = goals.where("extra > 0").select(F.col("source").alias("of"), "extra")
+    last = cut(_named(_reached(blocks.join(small(wanted, _PLANS), same("source", "of")), "extra"), "block"))
+    # The last block alone is read once more.
+    own = docs.select("source", "text", _block().alias("block"), _sub_block().alias("at"))
+    own = own.withColumn("place", _place(F.col("source"), F.col("block"), seed)).join(small(last, _PLANS), same("source", "of") & (F.col("place") == F.col("block_at")))
+    parts = own.groupBy("source", "at", "block_rest").agg(F.sum(word_count(F.col("text"))).alias("words"))
+    ending = cut(_named(_reached(parts, "block_rest"), "part"))
+    goals = goals.join(last, same("source", "of"), "left").drop("of").join(ending, same("source", "of"), "left").drop("of")
+    goals = goals.select(
+        "source", "source_size", "target", "passes", F.coalesce("block_at", F.lit(-1)).alias("last_place"), F.coalesce("part_at", F.lit(-1)).alias("last_part"), F.coalesce("part_rest", F.lit(0)).alias("last_words")
     )
-    quota = F.col("passes") * BLOCKS + F.col("last_place") + 1
-    ends = cut(shard_quotas(goals.select("source", quota.cast("long").alias("quota")), shards, seed))
-    ends = ends.withColumnRenamed("source", "s")
-    return cut(goals.join(ends, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    return shard_quotas(goals.withColumn("quota", (F.col("passes") * BLOCKS + F.col("last_place") + 1).cast("long")), shards, seed).drop("quota")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -202,38 +215,42 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = SHA
     no rows.
     """
     own = docs.drop("size", "source_size", "target", "draws", "taken")
-    plans = plan(own.select("doc_id", "text", "source"), weights, shards, seed).withColumnRenamed("source", "__s")
-    joined = own.join(small(plans, _PLANS), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    joined = joined.withColumn("__h", _row_hash()).withColumn("__place", _place(F.col("source"), _block(), seed))
-    size = word_count(F.col("text"))
-    inside = joined.where("__place <> last_place").withColumn("size", size)
-    inside = inside.withColumn("__last", F.when(F.col("__place") < F.col("last_place"), F.col("size")).otherwise(F.lit(0).cast("long")))
-    # The block in which the last pass ends: its documents in the order of their hashes.
-    ending = joined.where("__place = last_place").withColumn("size", size)
-    run = Window.partitionBy("source").orderBy("__h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    # The rows travel as one struct, so no column of theirs can have the name of one made here.
+    keyed = own.select(F.struct(*own.columns).alias("row"), "source", _row_hash().alias("h"), _block().alias("block"), _sub_block().alias("part"), word_count(F.col("text")).alias("size"))
+    keyed = keyed.withColumn("place", _place(F.col("source"), F.col("block"), seed)).drop("block")
+    plans = plan(own.select("doc_id", "text", "source"), weights, shards, seed).withColumnRenamed("source", "of")
+    joined = keyed.join(small(plans, _PLANS), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    # Only the part in which a last pass ends goes by order; of every other a document is all in or all out.
+    at_end = (F.col("place") == F.col("last_place")) & (F.col("part") == F.col("last_part"))
+    before_end = (F.col("place") < F.col("last_place")) | ((F.col("place") == F.col("last_place")) & (F.col("part") < F.col("last_part")))
+    inside = joined.where(~at_end).withColumn("last", F.when(before_end, F.col("size")).otherwise(F.lit(0).cast("long")))
+    run = Window.partitionBy("source").orderBy("h", "row.doc_id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(run), F.lit(0))
-    ending = ending.withColumn("__last", F.greatest(F.lit(0), F.least(F.col("size"), F.col("last_words") - before)).cast("long"))
+    ending = joined.where(at_end).withColumn("last", F.greatest(F.lit(0), F.least(F.col("size"), F.col("last_words") - before)).cast("long"))
     both = inside.unionByName(ending)
-    unit = lambda e: e * BLOCKS + F.col("__place")
+    # The shard that drew a block in a pass: the one whose run of the source's quota holds it.
+    unit = lambda e: e * BLOCKS + F.col("place")
     epochs = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("passes")),
         lambda e: F.struct(
             F.size(F.filter("ends", lambda x: x <= unit(e))).alias("shard"),
             e.cast("int").alias("epoch"),
-            F.when(e < F.col("passes"), F.col("size")).otherwise(F.col("__last")).alias("words"),
-            F.xxhash64(F.lit(seed), e, F.col("__h")).alias("order"),
+            F.when(e < F.col("passes"), F.col("size")).otherwise(F.col("last")).alias("words"),
+            F.xxhash64(F.lit(seed), e, F.col("h")).alias("order"),
         ),
     )
-    both = both.withColumn("draws", F.filter(epochs, lambda d: d["words"] > 0))
+    both = both.withColumn("draws", F.filter(epochs, lambda d: (d["words"] > 0) & (d["shard"] < shards)))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return both.withColumn("taken", taken).select(*own.columns, "size", "source_size", "target", "draws", "taken")
+    return both.select(*[F.col("row").getField(c).alias(c) for c in own.columns], "size", "source_size", "target", "draws", taken.alias("taken"))
 
 
-def shard_rows(mixed: DataFrame) -> DataFrame:
-    """The mix itself: a row for each draw of :func:`mix`, with shard, epoch, words and order.
+def shuffled(mixed: DataFrame) -> DataFrame:
+    """The mix itself: a row for each draw of :func:`mix`, with shard, epoch, words and order, each shard shuffled.
 
-    Write it partitioned by ``shard`` and sorted by ``order``; ``words`` below ``size`` asks for
-    the first words of the text only.
+    Rows are dealt out by ranges of (shard, order) and sorted within them, so a shard is a run of
+    partitions and its rows stand in the order of a hash. ``words`` below ``size`` asks for the
+    first words of the text only.
     """
     columns = [x for x in mixed.columns if x not in ("draws", "taken")]
-    return mixed.select(*columns, F.inline("draws"))
+    drawn = mixed.select(*columns, F.inline("draws"))
+    return drawn.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order")

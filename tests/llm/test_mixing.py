@@ -53,12 +53,27 @@ def test_mix_meets_its_targets(spark):
     check(rows, docs)
     again = mixing.mix(frame.repartition(7)).collect()
     assert sorted(map(str, ((r.doc_id, r.size, r.draws) for r in rows))) == sorted(map(str, ((r.doc_id, r.size, r.draws) for r in again)))
-    drawn = mixing.shard_rows(mixed)
-    assert drawn.count() == sum(len(r.draws) for r in rows)
+    drawn = mixing.shuffled(mixed).collect()
+    assert sorted((str(r.doc_id), r.shard, r.epoch, r.words, r.order) for r in drawn) == sorted((str(r.doc_id), d.shard, d.epoch, d.words, d.order) for r in rows for d in r.draws)
+    assert [(r.shard, r.order) for r in drawn] == sorted((r.shard, r.order) for r in drawn)
+    assert len({r.shard for r in drawn}) > 10
     one = mixing.mix(frame.limit(0))
     assert one.count() == 0
 
 
+def test_blocks_are_permuted(spark):
+    frame = spark.range(mixing.BLOCKS).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("source"), F.col("id").cast("int").alias("block"))
+    places = {}
+    for r in frame.select("source", "block", mixing._place(F.col("source"), F.col("block"), 1).alias("p")).collect():
+        places.setdefault(r.source, {})[r.block] = r.p
+    for p in places.values():
+        assert sorted(p.values()) == list(range(mixing.BLOCKS))
+        # Neighbours part, and low bits don't keep their pattern.
+        assert sum(abs(p[k + 1] - p[k]) < 64 for k in range(mixing.BLOCKS - 1)) < 300
+        assert 1800 < sum(p[k] % 2 == k % 2 for k in p) < 2300
+    assert places["a"] != places["b"]
+
+
 def test_hypergeometric_has_its_distribution(spark):
     for good, total, draws in ((7, 20, 9), (40, 41, 20), (300, 1000, 500)):
         frame = spark.range(4000).select(
