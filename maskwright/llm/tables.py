@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,13 +16,16 @@ BROADCAST_ROWS = 200_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a folder of this machine is used and remembered in the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and driver and
+    executors are one process, as in tests, a folder of this machine is used and remembered in the
+    session; on a cluster that would lose tables, so it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("spark.maskwright.shared.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="maskwright-")
         spark.conf.set("spark.maskwright.shared.dir", folder)
     return folder.rstrip("/")
@@ -35,20 +39,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as compressed Parquet in the shared folder; for tables that carry text."""
+def stored(df: DataFrame, plain: bool = False) -> DataFrame:
+    """``df`` as compressed Parquet in the shared folder; for tables that carry text, or with ``plain`` hashes."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # A dictionary of hashes saves nothing.
+    df.write.option("parquet.enable.dictionary", str(not plain).lower()).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, most: int = BROADCAST_ROWS, size: Column | None = None, most_bytes: int = 0) -> DataFrame:
     """``df`` with a broadcast hint if it was counted and is small; else as it is, to be shuffled.
 
-    ``df`` has to be cheap to count: the result of :func:`cut` or :func:`stored`.
+    ``df`` has to be cheap to count: the result of :func:`cut` or :func:`stored`, with rows of a
+    fixed width. Where rows hold texts or arrays, ``size`` gives their bytes, and these are bounded too.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    if size is None:
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if got["n"] <= most and got["bytes"] <= most_bytes else df
 
 
 def text_key(text: Column) -> Column:
