@@ -1,10 +1,11 @@
 """Benchmark decontamination by winnowing (operator 5), with DataFrame operations only.
 
-A span of ten words has three 8-grams; of each window of three the least hash is kept. Whatever
-ten words a document and an item share, the window over them keeps the same hash on both sides, so
-joining on it finds every shared span; each find is then compared word by word and extended to all
-windows on its diagonal. Items below ten words are one window: their word of least hash is the
-fingerprint (grams of one word, a window as long as the item).
+A span of ten words has five 6-grams; of each window of five the gram of least hash is recorded,
+once for as long as it stays the least. Whatever ten words a document and an item share, the window
+over them records the same gram on both sides, so joining on the records finds every shared span;
+each find is then compared word by word and extended to all windows on its diagonal. Items below
+ten words are one window: their word of least hash is the fingerprint (grams of one word, a window
+as long as the item).
 
 Documents are handled by the content of their text. So copies cost one comparison, ids may be null
 or repeated, and no text is shuffled but those that share a fingerprint with some item.
@@ -15,10 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.arrays import once
 from maskwright.llm.tables import ascii_lower, cut, small, stored, text_key
 
 SPAN = 10
-_GRAM = 8
+_GRAM = 6
+#: Bytes of item words up to which they are sent to every executor.
+_ITEM_BYTES = 64 << 20
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -27,23 +31,29 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _OTHER), "")
 
 
-def _pairs(x: Column, apart: int) -> Column:
-    """Hashes of elements that stand ``apart``."""
-    n = F.greatest(F.size(x) - apart, F.lit(0))
-    return F.zip_with(F.slice(x, 1, n), F.slice(x, 1 + apart, n), lambda a, b: F.xxhash64(a, b))
+def _joined(x: Column, y: Column, apart: int, how: str) -> Column:
+    """Of elements of ``x`` and elements of ``y`` that stand ``apart`` places later: their hash or the least."""
+    n = F.greatest(F.size(y) - apart, F.lit(0))
+    both = {"hash": lambda a, b: F.xxhash64(a, b), "least": lambda a, b: F.least(a, b)}[how]
+    return F.slice(F.zip_with(x, F.slice(y, 1 + apart, n), both), 1, n)
 
 
 def _with_prints(df: DataFrame) -> DataFrame:
-    """Adds ``hashes``, of the words, and ``kept``: for each window of ten words its least 8-gram hash."""
+    """Adds ``hashes``, of the words, and ``kept``: (at, value) of the 6-grams that are least in some window of five."""
     df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    df = df.withColumn("g", _pairs(F.col("hashes"), 1))
-    df = df.withColumn("g", _pairs(F.col("g"), 2))
-    df = df.withColumn("g", _pairs(F.col("g"), 4))
-    # The least of three: of two neighbours first, then of two neighbouring leasts.
-    for _ in range(SPAN - _GRAM):
-        n = F.greatest(F.size("g") - 1, F.lit(0))
-        df = df.withColumn("g", F.zip_with(F.slice("g", 1, n), F.slice("g", 2, n), lambda a, b: F.least(a, b)))
-    return df.withColumnRenamed("g", "kept")
+    df = df.withColumn("two", _joined(F.col("hashes"), F.col("hashes"), 1, "hash"))
+    df = df.withColumn("four", _joined(F.col("two"), F.col("two"), 2, "hash"))
+    df = df.withColumn("g", _joined(F.col("four"), F.col("two"), 4, "hash")).drop("two", "four")
+    df = df.withColumn("m2", _joined(F.col("g"), F.col("g"), 1, "least"))
+    df = df.withColumn("m4", _joined(F.col("m2"), F.col("m2"), 2, "least"))
+    df = df.withColumn("m", _joined(F.col("m4"), F.col("g"), 4, "least")).drop("m2", "m4")
+    # A gram is recorded if one of the up to five windows over it has it as its least.
+    windows = SPAN - _GRAM + 1
+    first = lambda i: F.greatest(i - windows + 2, F.lit(1))
+    recorded = lambda m, x, i: F.array_contains(F.slice(m, first(i), i + 2 - first(i)), x)
+    # Handed over, or the optimizer would put the leasts in place of their name and compute all for each gram.
+    marked = once(F.col("m"), lambda m: F.transform("g", lambda x, i: F.when(recorded(m, x, i), F.struct(i.alias("at"), x.alias("value")))))
+    return df.withColumn("kept", F.filter(marked, lambda x: x.isNotNull())).drop("g", "m")
 
 
 def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +68,7 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _prints(texts: DataFrame) -> DataFrame:
     """(value, short, item, at): the fingerprints of items."""
-    whole = texts.select("item", F.posexplode_outer("kept").alias("at", "value")).where("value is not null")
+    whole = texts.select("item", F.explode("kept").alias("k")).select("item", "k.at", "k.value")
     least = F.array_min("hashes")
     # Of a short item the first word with the least hash.
     short = texts.where(F.size("words") < SPAN).select(
@@ -86,51 +96,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     texts, ids = _items(benchmark)
     prints = cut(_prints(texts))
-    own = docs.select(text_key(F.col("text")).alias("key"), words(F.col("text")).alias("words"))
-    own = _with_prints(own)
+    own = _with_prints(docs.select(text_key(F.col("text")).alias("key"), words(F.col("text")).alias("words")))
+    mine = F.transform("kept", lambda k: F.struct(k["value"].alias("value"), F.lit(False).alias("short"), k["at"].alias("pos")))
     if not prints.where("short").isEmpty():
-        every = F.concat("kept", "hashes")
-    else:
-        every = F.col("kept")
+        every = F.transform("hashes", lambda h, i: F.struct(h.alias("value"), F.lit(True).alias("short"), i.alias("pos")))
+        mine = F.concat(mine, every)
     # The outer form, since for the other the optimizer would compute the array a second time to
     # leave out empty ones.
-    rows = own.select("key", F.size("kept").alias("n"), F.posexplode_outer(every).alias("pos", "value"))
-    short = F.col("pos") >= F.col("n")
-    rows = rows.where("value is not null").select(
-        "key", "value", short.alias("short"), F.when(short, F.col("pos") - F.col("n")).otherwise(F.col("pos")).alias("pos")
-    )
+    rows = own.select("key", F.explode_outer(mine).alias("p")).where("p is not null").select("key", "p.*")
     met = rows.join(small(prints), ["value", "short"])
     met = cut(met.select("key", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct())
     # Only the texts that met some item are read again, once each.
     keys = cut(met.select("key").distinct())
     again = docs.select(text_key(F.col("text")).alias("key"), "text").join(small(keys), "key")
-    again = again.groupBy("key").agg(F.min("text").alias("text"))
-    tries = met.join(small(texts.select("item", F.col("words").alias("item_words")), 20_000), "item")
-    tries = tries.groupBy("key").agg(F.collect_list(F.struct("item", "shift", "item_words")).alias("tries"))
     # Written, so that a text is split once and not within the loops below.
-    told = stored(again.join(tries, "key").select("key", words(F.col("text")).alias("words"), "tries"))
-    doc_words = F.col("words")
-    told = told.select(
-        "key",
-        F.transform(
-            "tries",
-            lambda t: F.struct(
-                t["item"].alias("item"),
-                F.least(F.size(t["item_words"]), F.lit(SPAN)).alias("span"),
-                _found(doc_words, t["item_words"], t["shift"]).alias("starts"),
-            ),
-        ).alias("tries"),
-    )
-    told = cut(told).withColumn("tries", F.filter("tries", lambda t: F.size(t["starts"]) > 0))
-    told = told.where(F.size("tries") > 0)
-    places = F.transform(
-        "tries", lambda t: F.flatten(F.transform(t["starts"], lambda s: F.sequence(s, s + t["span"] - 1)))
-    )
+    again = stored(again.groupBy("key").agg(F.min("text").alias("text")).select("key", words(F.col("text")).alias("words")))
+    item_words = texts.select("item", F.col("words").alias("item_words"))
+    tries = met.groupBy("key", "item").agg(F.collect_list("shift").alias("shifts"))
+    tries = tries.join(again, "key").join(small(item_words, _ITEM_BYTES // 8, F.aggregate("item_words", F.lit(0), lambda n, w: n + F.octet_length(w)), _ITEM_BYTES), "item")
+    span = F.least(F.size("item_words"), F.lit(SPAN))
+    starts = F.flatten(F.transform("shifts", lambda s: _found(F.col("words"), F.col("item_words"), s)))
+    hits = once(starts, lambda x: F.array_distinct(F.flatten(F.transform(x, lambda s: F.sequence(s, s + span - 1)))))
+    told = stored(tries.select("key", "item", hits.alias("hits")))
+    told = told.where(F.size("hits") > 0).groupBy("key").agg(F.collect_list("hits").alias("hits"), F.collect_list("item").alias("items"))
     told = cut(
         told.select(
             "key",
-            F.size(F.array_distinct(F.flatten(places))).cast("long").alias("n_hit"),
-            F.array_distinct(F.transform("tries", lambda t: t["item"])).alias("items"),
+            F.size(F.array_distinct(F.flatten("hits"))).cast("long").alias("n_hit"),
+            "items",
         )
     )
     named = told.select("key", F.explode("items").alias("item")).join(small(ids), "item")
@@ -171,6 +164,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no window of any item, unchanged."""
-    found = contamination(docs, benchmark).select(F.col("key").alias("__key"))
-    keyed = docs.withColumn("__own", text_key(F.col("text")))
-    return keyed.join(small(found), F.col("__own") == F.col("__key"), "left_anti").drop("__own")
+    found = contamination(docs, benchmark).select("key")
+    # The rows travel as one struct, so no column of theirs can have the name of one made here.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), text_key(F.col("text")).alias("key"))
+    return keyed.join(small(found), "key", "left_anti").select("row.*")
