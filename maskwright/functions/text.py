@@ -254,8 +254,19 @@ def digit_runs(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.aggregate(words, begin, step, lambda s: s["out"])))
 
 
-def on_page(piece: Column, page_norm: Column, runs: Column) -> Column:
-    """A word piece anywhere on the page; a digit piece as a number of its own, or, if long, within one."""
-    inside = (F.length(piece) >= LONG_DIGITS) & F.exists(runs, lambda r: F.contains(r, piece))
-    number = F.array_contains(runs, piece) | inside
-    return F.when(piece.rlike("^[0-9]+$"), number).otherwise(F.contains(page_norm, piece))
+def number_line(text: Column) -> Column:
+    """The numbers on a page in one string as long as the page: ``|`` between all-digit words, ``#`` where no number goes on."""
+    words = F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), r"[.\-/:]", "")
+    marked = F.regexp_replace(words, r"(?<!\S)([0-9]*[^\s0-9]\S*)", "#$1#")
+    return F.regexp_replace(F.regexp_replace(marked, r"[^0-9\s#]+", "#"), r"\s+", "|")
+
+
+def on_page(piece: Column, page_norm: Column, numbers: Column) -> Column:
+    """A word piece anywhere on the page; a digit piece as a number of its own, or, if long, within one.
+
+    ``numbers`` is the page's :func:`number_line`: a number may be printed in several words, so a
+    piece is looked for with a border allowed between its digits.
+    """
+    spread = F.array_join(characters(piece), r"\|?")
+    pattern = F.when(F.length(piece) >= LONG_DIGITS, spread).otherwise(F.concat(F.lit("[|#]"), spread, F.lit("[|#]")))
+    return F.when(piece.rlike("^[0-9]+$"), F.regexp_like(numbers, pattern)).otherwise(F.contains(page_norm, piece))

@@ -15,7 +15,7 @@ def leaks(pages: DataFrame, old: DataFrame, keys: list[str], new: DataFrame | No
     new value are meant to be there; pieces of a city or street that the context holds are excused.
     With ``unchanged``, values that are among the new ones themselves leak as a whole.
     """
-    seen = pages.select(*keys, T.norm(F.col("text")).alias("__norm"), T.digit_runs(F.col("text")).alias("__runs"), T.norm(F.col("context")).alias("__shared"))
+    seen = pages.select(*keys, T.norm(F.col("text")).alias("__norm"), T.number_line(F.col("text")).alias("__numbers"), T.norm(F.col("context")).alias("__shared"))
     if new is not None:
         listed = new.groupBy(*keys).agg(F.collect_set(T.norm(F.col("new"))).alias("__fresh"))
         seen = seen.join(listed, keys, "left")
@@ -27,7 +27,7 @@ def leaks(pages: DataFrame, old: DataFrame, keys: list[str], new: DataFrame | No
     piece = F.col("__piece")
     excused = F.col("type").isin(*T.PLACE_TYPES) & F.contains("__shared", piece)
     meant = F.exists("__fresh", lambda n: F.contains(n, piece))
-    found = both.where(T.on_page(piece, F.col("__norm"), F.col("__runs")) & ~meant & ~excused).select(*keys, "type", "text", "__piece")
+    found = both.where(T.on_page(piece, F.col("__norm"), F.col("__numbers")) & ~meant & ~excused).select(*keys, "type", "text", "__piece")
     if unchanged and new is not None:
         same = old.select(*keys, "type", "text").distinct().join(new.select(*keys, F.col("new").alias("text")).distinct(), [*keys, "text"], "left_semi")
         found = found.union(same.select(*keys, "type", "text", T.norm(F.col("text")).alias("__piece")))

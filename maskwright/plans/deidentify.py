@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import text as T
+from maskwright.functions.arrays import once
 from maskwright.operators import candidates as C
 from maskwright.operators import replace as R
 
@@ -16,13 +17,25 @@ def deidentified(docs: DataFrame, seed: int = 1) -> DataFrame:
     All of it is row-local: a value's replacement is a hash of the document, the seed and the value,
     so the same value gets the same replacement wherever the document has it, with no shuffle.
     """
-    spans = docs.select("doc_id", "text", C.recognized(F.col("text")).alias("spans"))
+    own = docs.select("doc_id", "text", C.recognized(F.col("text")).alias("spans"))
+    # Of overlapping spans the first stands.
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(C.SPANS).alias("kept"))
+
+    def keep(state, s):
+        more = F.struct(s["end"].alias("at"), F.concat(state["kept"], F.array(s)).alias("kept"))
+        return F.when(s["start"] < state["at"], state).otherwise(more)
+
+    own = own.withColumn("spans", F.when(F.size("spans") > 1, F.aggregate("spans", begin, keep, lambda s: s["kept"])).otherwise(F.col("spans")))
     doc = F.col("doc_id")
 
-    def new(s):
+    def changed(s):
         old = F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
+        return once(old, lambda o: F.struct(s["start"].alias("start"), s["end"].alias("end"), C.value_type(s["entity"]).alias("type"), o.alias("old"), new(s, o).alias("new")))
+
+    def new(s, old):
         parts = [doc, F.lit(seed), s["entity"], old]
-        owner = F.concat(T.ascii_mail(T.pick(R.FIRST, T.number_of(*parts, F.lit("first")))), F.lit("."), T.ascii_mail(T.pick(R.LAST, T.number_of(*parts, F.lit("last")))), F.lit("@example.com"))
+        name = lambda pool, what: T.ascii_mail(T.pick(pool, T.number_of(*parts, F.lit(what))))
+        owner = F.concat(name(R.FIRST, "first"), F.lit("."), name(R.LAST, "last"), F.lit("@example.com"))
         return (
             F.when(s["entity"] == "EMAIL_ADDRESS", owner)
             .when(s["entity"] == "CREDIT_CARD", T.card_like(old, *parts))
@@ -31,31 +44,23 @@ def deidentified(docs: DataFrame, seed: int = 1) -> DataFrame:
             .otherwise(T.same_shape(old, *parts))
         )
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.array().cast("array<struct<type:string,old:string,new:string>>").alias("made"))
-
-    def step(state, s):
-        old = F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
-        put = new(s)
-        gone = F.struct(C.value_type(s["entity"]).alias("type"), old.alias("old"), put.alias("new"))
-        out = F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), put)
-        # Of overlapping spans the first stands.
-        return F.when(s["start"] < state["at"], state).otherwise(
-            F.struct(s["end"].alias("at"), out.alias("out"), F.concat(state["made"], F.array(gone)).alias("made"))
-        )
-
-    end = lambda s: F.struct(F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))).alias("text"), s["made"].alias("made"))
-    done = spans.where(F.size("spans") > 0).select("doc_id", F.aggregate("spans", begin, step, end).alias("r"))
-    changed = done.select("doc_id", F.col("r.text").alias("text"), F.col("r.made").alias("made"))
-    page, runs = T.norm(F.col("text")), T.digit_runs(F.col("text"))
-    found = changed.withColumns({"page": page, "runs": runs})
+    own = own.withColumn("made", F.transform("spans", changed))
+    # What stands before each value and the new value, and at last what stands after all.
+    pieces = F.transform("made", lambda m, i: F.concat(F.substring(F.col("text"), _end(i - 1) + 1, m["start"] - _end(i - 1)), m["new"]))
+    tail = F.substring(F.col("text"), _end(F.size("made") - 1) + 1, F.length("text"))
+    own = own.withColumn("text", F.when(F.size("made") == 0, F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), tail)))
+    touched = F.size("made") > 0
+    own = own.withColumn("page", F.when(touched, T.norm(F.col("text")))).withColumn("numbers", F.when(touched, T.number_line(F.col("text"))))
     left = F.exists(
         "made",
         lambda m: F.exists(
             T.pieces(m["old"], m["type"]),
-            lambda p: T.on_page(p, F.col("page"), F.col("runs")) & ~F.exists("made", lambda n: F.contains(T.norm(n["new"]), p)),
+            lambda p: T.on_page(p, F.col("page"), F.col("numbers")) & ~F.exists("made", lambda n: F.contains(T.norm(n["new"]), p)),
         ),
     )
-    clean = spans.where(F.size("spans") == 0)
-    return found.select("doc_id", F.size("made").alias("n_found"), "text", (~left).alias("passed")).union(
-        clean.select("doc_id", F.lit(0), "text", F.lit(True))
-    )
+    return own.select("doc_id", F.size("made").alias("n_found"), "text", F.when(touched, ~left).otherwise(True).alias("passed"))
+
+
+def _end(i):
+    """Where the ``i``-th value ends; the start of the text before the first."""
+    return F.when(i < 0, 0).otherwise(F.get("made", i)["end"])

@@ -187,16 +187,9 @@ SELECT doc_id, list_sort(list_distinct(list_filter(list_concat(
     [regexp_replace(upper(replace(w, 'ß', 'SS')), '[^0-9A-ZÄÖÜß]', '', 'g')],
     list_transform(regexp_extract_all(w, '[A-Za-zÄÖÜäöüß]{4,}'), lambda x: regexp_replace(upper(replace(x, 'ß', 'SS')), '[^0-9A-ZÄÖÜß]', '', 'g')),
     regexp_extract_all(regexp_replace(w, '[.\\- ]', '', 'g'), '[0-9]{4,}')), lambda p: length(p) >= 4))) AS pieces
-FROM (SELECT doc_id, substr(text, 1, 40) AS w FROM documents)
+FROM (SELECT doc_id, text AS w FROM documents)
 """)
 def leak_pieces(spark, sf_dir):
-    """The pieces of the first forty characters of a text, taken for a name."""
-    head = F.substring("text", 1, 40)
-    return table(spark, sf_dir, "documents").select("doc_id", T.pieces(head, F.lit("person")).alias("pieces"))
-
-
-@query()
-def leak_pieces_of_texts(spark, sf_dir):
     """The pieces of whole texts, taken for names."""
     return table(spark, sf_dir, "documents").select("doc_id", T.pieces(F.col("text"), F.lit("person")).alias("pieces"))
 
@@ -280,17 +273,16 @@ def replacements(spark, sf_dir):
 
 
 @query(f"""
-WITH p AS (SELECT doc_id, {_NORM.format('text')} AS page FROM documents),
-v AS (SELECT doc_id, {_NORM.format('head')} AS piece FROM (SELECT doc_id, regexp_extract(text, '[A-Za-z]{{6,}}') AS head FROM documents) WHERE head <> '')
-SELECT v.doc_id, [piece] AS pieces FROM v JOIN p USING (doc_id) WHERE contains(page, piece)
+WITH v AS (SELECT DISTINCT doc_id, {_NORM.format('w')} AS piece FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}')) AS w FROM documents))
+SELECT v.doc_id, list_sort(list(piece)) AS pieces FROM v JOIN (SELECT doc_id, {_NORM.format('text')} AS page FROM documents) p USING (doc_id) WHERE contains(page, piece) GROUP BY v.doc_id
 """)
 def leaks_of_words(spark, sf_dir):
-    """The first long word of every text, searched for on its own page."""
+    """All long words of every text, searched for on its own page."""
     docs = table(spark, sf_dir, "documents")
     pages = docs.select("doc_id", "text", F.lit("").alias("context"))
-    word = F.regexp_extract("text", "[A-Za-z]{6,}", 0)
-    old = docs.select("doc_id", F.lit("person").alias("type"), word.alias("text")).where("text <> ''")
-    return leak.leaks(pages, old, ["doc_id"]).select("doc_id", "pieces")
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("text"))
+    found = leak.leaks(pages, words.select("doc_id", F.lit("person").alias("type"), "text"), ["doc_id"])
+    return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pieces")))).alias("pieces"))
 
 
 @query()
@@ -429,18 +421,10 @@ def next_lines(spark, sf_dir):
 WITH b AS ({_BOXES}), d AS (
   SELECT v.page, v.id AS value, b.id AS line, row_number() OVER (PARTITION BY v.page, v.id
     ORDER BY sqrt(((v.x0 + v.x1) / 2.0 - (b.x0 + b.x1) / 2.0) ** 2 + ((v.y0 + v.y1) / 2.0 - (b.y0 + b.y1) / 2.0) ** 2), b.id) AS rank
-  FROM b v JOIN b ON v.page = b.page WHERE v.id % 10 = 0)
+  FROM b v JOIN b ON v.page = b.page)
 SELECT page, value, line, rank FROM d WHERE rank <= 12
 """)
 def nearest_lines(spark, sf_dir):
-    boxes = _part_boxes(spark, sf_dir)
-    hints = boxes.where("id % 10 = 0").select("page", F.col("id").alias("value"), F.col("box").alias("hint"))
-    found = location.nearest_lines(hints, boxes.withColumnRenamed("id", "line"), ["page"])
-    return found.select("page", "value", "line", F.col("rank").cast("long").alias("rank"))
-
-
-@query()
-def nearest_lines_of_boxes(spark, sf_dir):
     """The nearest lines of every box."""
     boxes = _part_boxes(spark, sf_dir)
     hints = boxes.select("page", F.col("id").alias("value"), F.col("box").alias("hint"))

@@ -94,3 +94,10 @@ def test_dates(ask):
 def test_times(ask):
     assert ask(lambda t: dates.shift_times(t, 15), ["23:50:07", "x 9:05 y"]) == ["00:05:07", "x 09:20 y"]
     assert ask(lambda t: dates.shift_times(t, -20), ["0:10"]) == ["23:50"]
+
+
+def test_numbers_on_a_page(ask):
+    page = "No. 00 075 00 x A1 22 33-44 B7C 1234567 89"
+    pieces = {"00075": True, "0007500": True, "07500": True, "075": True, "122": False, "22": True, "223344": True, "3344": True, "7": True, "45678": False, "345678": True, "567890": False, "123456789": True, "4567": False}
+    got = ask(lambda p: T.on_page(p, T.norm(F.lit(page)), T.number_line(F.lit(page))), list(pieces))
+    assert got == list(pieces.values())
