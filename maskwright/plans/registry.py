@@ -12,8 +12,8 @@ from maskwright.functions import barcode, dates
 from maskwright.functions import boxes as B
 from maskwright.functions import text as T
 from maskwright.operators import candidates as C
-from maskwright.operators import leak, location, matching, replace, values
-from maskwright.plans import report
+from maskwright.operators import leak, location, matching, pixels, replace, values
+from maskwright.plans import copies, report
 from maskwright.plans.deidentify import deidentified
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -443,6 +443,40 @@ def barcodes(spark, sf_dir):
     return own.select("o_orderkey", "symbols", barcode.decode(F.col("w")).alias("back"))
 
 
+# Pages of one line each, drawn from the sizes of parts.
+_LINE = "5 + p_partkey % 20"
+
+
+@query(f"""
+SELECT p_partkey AS page, CAST({_LINE} AS INT) AS x0, 10 AS y0, CAST({_LINE} + 20 + p_size AS INT) AS x1, 18 AS y1 FROM part
+""")
+def ink_lines(spark, sf_dir):
+    """The text lines of drawn pages, found by their ink."""
+    x0 = F.lit(5) + F.col("p_partkey") % 20
+    x1 = x0 + 20 + F.col("p_size")
+    line = F.concat(F.repeat(F.lit("F0"), x0.cast("int")), F.repeat(F.lit("00"), (x1 - x0).cast("int")), F.repeat(F.lit("F0"), (200 - x1).cast("int")))
+    gray = F.unhex(F.concat(F.repeat(F.lit("F0"), F.lit(10 * 200)), F.repeat(line, F.lit(8)), F.repeat(F.lit("F0"), F.lit(12 * 200))))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.lit(200).alias("width"), F.lit(30).alias("height"), gray.alias("gray"))
+    return pixels.ink_lines(pages, ["page"])
+
+
+@query(f"""
+WITH o AS (SELECT c_nationkey AS doc, c_custkey AS pos, c_mktsegment AS owner, c_name AS text FROM customer),
+r AS (SELECT doc, owner, row_number() OVER (PARTITION BY doc ORDER BY min(pos)) - 1 AS rank FROM o GROUP BY doc, owner),
+s AS (SELECT unnest([5, 6, 7]) AS seed),
+i AS (SELECT doc, seed, owner, {_POOLS['first']}[{_HASH.format("doc, seed, owner, 'first'")} % 12 + 1] || ' ' || {_POOLS['last']}[({_HASH.format("doc, seed, 'last'")} + rank) % 10 + 1] AS name FROM r, s)
+SELECT o.doc, o.pos, seed, i.owner, name AS new, o.pos % 3 > 0 AS located, CAST(o.pos % 3 AS BIGINT) AS n_places FROM o JOIN i USING (doc, owner)
+""")
+def copy_keys(spark, sf_dir):
+    """The public keys of three copies of customers' names, each printed at up to two places."""
+    own = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("doc"), F.lit(0).alias("page"), F.col("c_custkey").alias("pos"), F.col("c_mktsegment").alias("owner"), F.lit("person").alias("type"), F.concat(F.lit("Mr "), "c_name").alias("text")
+    )
+    many = F.when(F.col("pos") % 3 > 0, F.sequence(F.lit(1), (F.col("pos") % 3).cast("int")))
+    places = own.select("doc", "page", "pos", F.explode(many).alias("place"), F.lit("ocr").alias("how"), F.col("text").alias("printed"), F.lit(None).cast("int").alias("words"))
+    return copies.public_key(copies.copies(own, places, ["doc"], 3, 5)).select("doc", "pos", "seed", "owner", "new", "located", "n_places")
+
+
 # -- reports --------------------------------------------------------------------------------------
 
 
