@@ -15,13 +15,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.text import matches
 from maskwright.llm.tables import cut, small, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 CONFIDENCE = 0.8
 #: Distinct known instances that a pattern needs.
 SUPPORT = 3
-ROUNDS = 3
+#: Rounds at most; they end when the good patterns no longer change.
+ROUNDS = 20
 #: Characters before an instance in which its context words are looked for.
 _NEAR = 100
 # Each begins where a run of its first characters begins or the last match ended, so that a failed
@@ -34,26 +36,6 @@ _INSTANCE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*+"
 _PLACE = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as (start, end, s) in code points.
-
-    The gaps between the matches and the matches themselves give the places by their lengths.
-    """
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["s"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
-
-    both = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, s: F.struct(g.alias("gap"), s.alias("s")))
-    return F.aggregate(both, begin, step, lambda s: s["out"])
-
-
 def _is_ip(s: Column) -> Column:
     def fits(part: Column) -> Column:
         bare = F.ltrim(part, F.lit("0"))
@@ -83,7 +65,7 @@ def base_spans(text: Column) -> Column:
     )
     parts = []
     for kind, (may, pattern, valid) in enumerate(forms):
-        found = _matches(text, pattern)
+        found = matches(text, pattern)
         parts.append(F.when(may, _placed(found, kind, valid)).otherwise(none))
     return F.array_sort(F.concat(*parts))
 
@@ -106,7 +88,7 @@ def instances(docs: DataFrame) -> DataFrame:
     each, and hashes of the one and the two words before it."""
     text = F.coalesce("text", F.lit(""))
     own = docs.where(F.col("text").rlike("[0-9@]")).select(
-        text_key(text).alias("key"), text.alias("text"), base_spans(text).alias("base"), _matches(text, _INSTANCE).alias("found")
+        text_key(text).alias("key"), text.alias("text"), base_spans(text).alias("base"), matches(text, _INSTANCE).alias("found")
     )
     rows = own.select("key", "text", "base", F.explode_outer("found").alias("m")).where("m is not null")
     lead = F.length(F.regexp_extract(F.col("m.s"), r"^[(\"'\[{<]*", 0))
