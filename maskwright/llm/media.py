@@ -343,8 +343,9 @@ def _described(media: bytes) -> tuple:
 def text_media(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", **options: str) -> DataFrame:
     """Every text of ``docs`` stored as media in ``folder`` and described from what is read back.
 
-    A member's name carries the row's id and its unpadded size; what is stored depends on the text
-    alone, so equal texts give equal values. Null ids stay null; null texts are empty texts;
+    A member's name carries the unpadded size and the row's id, written in hexadecimal so that any
+    id can be part of a name; what is stored depends on the text alone, so equal texts give equal
+    values. Ids of any type that can be written as text come back as they were, null ids as null; null texts are empty texts;
     repeated rows are stored and returned as often as they stand. No rows give no rows. Columns
     other than the two named are not read. A member that can't be read after all attempts stops
     the job with its archive and offset.
@@ -352,7 +353,8 @@ def text_media(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/media/{uuid.uuid4().hex}"
     size = F.coalesce(F.octet_length(text_col), F.lit(0))
-    name = F.concat_ws("_", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), size.cast("string"))
+    # The id is left out if it is null, which no id is written as.
+    name = F.concat_ws("_", size.cast("string"), F.hex(F.encode(F.col(id_col).cast("string"), "UTF-8")))
     write_archives(docs.select(name.alias("name"), encoded(F.col(text_col)).alias("media")), folder)
     read = read_archives(spark, folder, **options)
     media: Column = F.when(F.col("error").isNull(), F.col("media")).otherwise(
@@ -361,7 +363,7 @@ def text_media(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id
     told = read.select("name", features(media).alias("f"))
     parts = F.split("name", "_")
     return told.select(
-        F.when(parts[0] != "null", parts[0]).cast(docs.schema[id_col].dataType).alias("doc_id"),
-        parts[1].cast("long").alias("n_bytes"),
+        F.decode(F.unhex(F.get(parts, F.lit(1))), "UTF-8").cast(docs.schema[id_col].dataType).alias("doc_id"),
+        F.get(parts, F.lit(0)).cast("long").alias("n_bytes"),
         "f.*",
     )

@@ -73,3 +73,10 @@ def test_members_are_tried_again_on_their_own():
     assert media.retried(act, 4, lambda: opened.append(1)) == b"here" and len(opened) == 2
     with pytest.raises(ValueError):
         media.retried(lambda: int("x"), 2)
+
+
+def test_ids_of_any_type_come_back(spark, tmp_path):
+    docs = [("a_b", "x"), ("null", "y"), (None, "z"), ("", "w"), ("é/../🙂 \n", "v"), ("a_b", "x")]
+    rows = media.text_media(spark.createDataFrame(docs, "doc_id string, text string"), f"file://{tmp_path}/m").collect()
+    assert sorted((str(r.doc_id), r.n_bytes) for r in rows) == sorted((str(d), len(t)) for d, t in docs)
+    assert {r.doc_id for r in rows} == {d for d, _ in docs}
