@@ -26,6 +26,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 DOCS_PER_LANGUAGE = 1500
 #: Byte pairs with a row of their own in the table of code lengths; others are coded from the counts.
 PAIRS = 1024
+#: Bytes of text whose mean code lengths the score compares.
+EVIDENCE = 8
 UNKNOWN = "und"
 #: Bytes scored at once.
 _PIECE = 1 << 20
@@ -120,7 +122,7 @@ class Model:
             place = np.full(1 << 16, n, np.int64)
             place[self.pairs] = np.arange(n)
             grams = ((self.pairs[:, None] << 16) | self.pairs[None, :]).ravel()
-            costs = np.empty((len(grams), len(self.languages)), np.float32)
+            costs = np.empty((len(grams), len(self.languages)))
             for k, tree in enumerate(self.trees):
                 costs[:, k] = tree.bits(grams)
             self._made = place, costs
@@ -169,7 +171,7 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """(language, share of its code in all languages' codes, bits a byte) of each text."""
+        """(language, its share among all languages by mean code length, bits a byte) of each text."""
         coded = [(x or "").encode("utf-8", "replace") for x in texts]
         bits = self.code_lengths(coded) if self.languages else None
         out = []
@@ -178,7 +180,9 @@ class Model:
                 out.append((UNKNOWN, 0.0, float("nan")))
                 continue
             best = int(np.argmin(bits[k]))
-            share = 1.0 / float(np.exp2(np.minimum(0.0, bits[k][best] - bits[k])).sum())
+            # Weighed as a text of EVIDENCE bytes at most, or any text of some length would score one.
+            scale = min(1.0, EVIDENCE / len(coded[k]))
+            share = 1.0 / float(np.exp2(np.minimum(0.0, (bits[k][best] - bits[k]) * scale)).sum())
             out.append((self.languages[best], share, float(bits[k][best]) / len(coded[k])))
         return out
 
