@@ -128,9 +128,10 @@ def wrapped(values: DataFrame, lines: DataFrame, keys: list[str], line_height: i
 def locate(values: DataFrame, lines: DataFrame, keys: list[str], line_height: int = 12) -> DataFrame:
     """(*keys, value, line, first, last, score, how, box): all places of each value.
 
-    ``values(*keys, value)``, ``lines(*keys, line, words, word_boxes, box)``. Exact matches claim
-    their boxes; near ones count on words that no claim overlaps; values still without a place are
-    tried over two lines. Each stage is an anti join with the claims before it.
+    ``values(*keys, value)``, with ``pos`` for their order, else they go by text, and
+    ``lines(*keys, line, words, word_boxes, box)``. Exact matches claim their boxes; near ones count on
+    words that no claim overlaps, of earlier values either; values still without a place are tried
+    over two lines, where nothing is claimed.
     """
     own = lines.select(*keys, "line", "words")
     spots = lines.select(*keys, "line", "word_boxes")
@@ -150,6 +151,9 @@ def locate(values: DataFrame, lines: DataFrame, keys: list[str], line_height: in
     rows = near.withColumn("a", F.explode("part"))
     taken = overlapping(rows.select(*keys, "value", "line", "first", "a"), exact.select(*keys, F.col("box").alias("b")), keys)
     free = near.join(taken.select(*keys, "value", "line", "first").distinct(), [*keys, "value", "line", "first"], "left_anti")
+    order = F.col("pos") if "pos" in values.columns else F.col("value")
+    turns = values.select(*keys, "value", order.alias("turn")).groupBy(*keys, "value").agg(F.min("turn").alias("turn"))
+    free = _in_turn(free.join(turns, [*keys, "value"]), keys).select(*exact.columns)
     sure = exact.union(free)
     rest = values.select(*keys, "value").distinct().join(sure.select(*keys, "value").distinct(), [*keys, "value"], "left_anti")
     over = wrapped(rest, lines, keys, line_height)
@@ -158,6 +162,26 @@ def locate(values: DataFrame, lines: DataFrame, keys: list[str], line_height: in
     two = top.select(*keys, "value", F.col("upper").alias("line"), "first", (F.col("cut") - 1).alias("last"), F.lit(None).cast("double").alias("score")).union(
         over.select(*keys, "value", F.col("lower").alias("line"), F.lit(0), (F.col("last") - F.col("cut")), F.lit(None).cast("double"))
     )
-    return sure.union(placed(two.where(shorter > 1), "wrapped")).drop("part")
+    two = placed(two.where(shorter > 1), "wrapped")
+    held = overlapping(two.select(*keys, "value", F.col("box").alias("a")), sure.select(*keys, F.col("box").alias("b")), keys)
+    # A value over two lines has both of its places or none.
+    open_ = two.join(held.select(*keys, "value").distinct(), [*keys, "value"], "left_anti").join(turns, [*keys, "value"])
+    whole = _in_turn(open_, keys, whole=True).select(*exact.columns)
+    return sure.union(whole).drop("part")
+
+
+def _in_turn(places: DataFrame, keys: list[str], whole: bool = False) -> DataFrame:
+    """``places(*keys, turn, value, box, part, ...)`` that overlap none of a value whose turn was before, on their page.
+
+    With ``whole``, a value one of whose places is taken loses all of them. A page's places are gone through in one fold.
+    """
+    columns = [c for c in places.columns if c not in keys]
+    order = ["turn", "value", *[c for c in columns if c not in ("turn", "value")]]
+    pages = places.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("all"))
+    none = F.filter("all", lambda x: F.lit(False))
+    met = lambda kept, x: F.exists(kept, lambda k: (k["value"] != x["value"]) & F.exists(x["part"], lambda w: B.overlaps(w, k["box"])))
+    lost = lambda kept, x: F.exists(F.filter("all", lambda y: y["value"] == x["value"]), lambda y: met(kept, y)) if whole else met(kept, x)
+    kept = F.aggregate("all", none, lambda kept, x: F.when(lost(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    return pages.select(*keys, F.inline(kept))
 
 

@@ -194,6 +194,11 @@ def leak_pieces(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.pieces(F.col("text"), F.lit("person")).alias("pieces"))
 
 
+@query(_SQL["leak_pieces"])
+def leak_pieces_of_texts(spark, sf_dir):
+    return leak_pieces(spark, sf_dir)
+
+
 @query("""
 WITH k AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 8, '1') AS a, lpad(CAST(o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 11 ELSE 1 END AS VARCHAR), 8, '1') AS b FROM orders)
 SELECT o_orderkey, levenshtein(a, b) <= 1 AS slip FROM k
@@ -432,6 +437,11 @@ def nearest_lines(spark, sf_dir):
     return found.select("page", "value", "line", F.col("rank").cast("long").alias("rank"))
 
 
+@query(_SQL["nearest_lines"])
+def nearest_lines_of_boxes(spark, sf_dir):
+    return nearest_lines(spark, sf_dir)
+
+
 @query("""
 WITH d AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS n FROM orders),
 s AS (SELECT o_orderkey, [105] || list_transform([1, 3, 5, 7], lambda i: CAST(n[i : i + 1] AS INT)) AS b FROM d)

@@ -154,6 +154,17 @@ def test_location(spark):
     assert {r.cut: r.at for r in location.nearest_blank(cuts, blanks, ["page"]).collect()} == {0: 45, 1: 90}
 
 
+def test_a_misread_number_goes_to_one_value(spark):
+    box = "struct<x0:int,y0:int,x1:int,y1:int>"
+    lines = spark.createDataFrame(
+        [(1, 0, ["No", "66128345"], [(0, 0, 20, 10), (25, 0, 90, 10)], (0, 0, 90, 10))],
+        f"page int, line int, words array<string>, word_boxes array<{box}>, box {box}",
+    )
+    values = spark.createDataFrame([(1, 1, "66128344"), (1, 0, "66128346")], "page int, pos int, value string")
+    assert [(r.value, r.how) for r in location.locate(values, lines, ["page"]).collect()] == [("66128346", "near")]
+    assert [(r.value, r.how) for r in location.locate(values.drop("pos"), lines, ["page"]).collect()] == [("66128344", "near")]
+
+
 def test_reports(spark):
     changed = spark.createDataFrame([("sim", "a", 1, True, 2, True), ("sim", "a", 1, True, 1, False), ("sim", "a", 2, False, 0, False)], "set string, doc string, page int, located boolean, places int, read_back_ok boolean")
     pages = spark.createDataFrame([("sim", "a", 1, 1, ["id", "city"]), ("sim", "a", 2, 2, ["id"]), ("real", "b", 1, 0, [])], "set string, doc string, page int, barcodes_scrambled int, leaked_types array<string>")
