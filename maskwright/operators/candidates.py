@@ -30,6 +30,8 @@ RECOGNIZERS = (
     ("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 1.0, _iban_valid, None),
     ("CREDIT_CARD", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", 1.0, lambda s: T.luhn_ok(T.digits(s)), None),
     ("DATE_TIME", r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])", 0.6, None, None),
+    ("DE_TAX_ID", r"(?<![0-9])[1-9][0-9]{10}(?![0-9])", 0.5, T.tax_id_ok, None),
+    ("DE_HEALTH_INSURANCE", r"(?<![A-Za-z0-9])[A-Z][0-9]{9}(?![A-Za-z0-9])", 0.5, T.insurance_id_ok, None),
 )
 
 

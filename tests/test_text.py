@@ -101,3 +101,28 @@ def test_numbers_on_a_page(ask):
     pieces = {"00075": True, "0007500": True, "07500": True, "075": True, "122": False, "22": True, "223344": True, "3344": True, "7": True, "45678": False, "345678": True, "567890": False, "123456789": True, "4567": False}
     got = ask(lambda p: T.on_page(p, T.norm(F.lit(page)), T.number_line(F.lit(page))), list(pieces))
     assert got == list(pieces.values())
+
+
+def tax_check(ten):
+    p = 10
+    for c in ten:
+        p = 2 * ((int(c) + p) % 10 or 10) % 11
+    return str((11 - p) % 10)
+
+
+def insurance_check(letter, eight):
+    digits = f"{ord(letter) - 64:02d}{eight}"
+    return str(sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits)) % 10)
+
+
+def test_german_ids(ask):
+    numbers = ["1234567890", "8609574271", "4792506845", "9999999999"]
+    right = [n + tax_check(n) for n in numbers]
+    wrong = [n[:-1] + str((int(n[-1]) + 1) % 10) for n in right]
+    assert right[1] == "86095742719"
+    assert ask(T.tax_id_ok, [*right, *wrong, "0123456789" + tax_check("0123456789"), "123"]) == [True] * 4 + [False] * 6
+    cards = [("A", "12345678"), ("Z", "00000000"), ("M", "98765432")]
+    right = [a + b + insurance_check(a, b) for a, b in cards]
+    wrong = [n[:-1] + str((int(n[-1]) + 1) % 10) for n in right]
+    assert right[0] == "A123456780"
+    assert ask(T.insurance_id_ok, [*right, *wrong, "a123456780"]) == [True] * 3 + [False] * 4
