@@ -45,7 +45,7 @@ class PrefixCounter:
         self.special = [x["content"] for x in held.get("added_tokens", [])]
         self.end = model.get("end_of_word_suffix") or ""
         self._merges(model)
-        self.byte = _byte_symbols()
+        self.byte = byte_symbols()
         self.memo: dict[str, np.ndarray] = {}
         self.inner: dict[str, tuple[str, int]] = {}
         self.ended: dict[str, int] = {}
@@ -282,7 +282,7 @@ def _settled(text: str) -> bool:
     return not _ODD.search(text)
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """The character that byte-level vocabularies write for each byte.
 
     Bytes that print stand for themselves; the others follow from 256 on, in order.
