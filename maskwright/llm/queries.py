@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import alignment, chat, decontam, langid, lines, media, mixing, pii, simhash, tokens, toxicity
+from maskwright.llm import alignment, chat, collocations, decontam, langid, lines, media, mixing, pii, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,8 +161,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str, a: str | None = None, b: st
     return alignment.align(docs, a or public_tokenizers.path("byte_bpe_50k.json"), b or public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_media, op3_pii, op4_chat, op5_decontam, op6_langid, op7_simhash, op8_tokens, op9_lines, op10_toxicity, op11_alignment)}
+    return {f.__name__: f for f in (op1_mixing, op2_media, op3_pii, op4_chat, op5_decontam, op6_langid, op7_simhash, op8_tokens, op9_lines, op10_toxicity, op11_alignment, op12_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
