@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import alignment, chat, collocations, decontam, langid, lines, media, mixing, pii, simhash, tokens, toxicity
+from maskwright.llm import alignment, chat, collocations, decontam, langid, lines, media, mixing, pii, simhash, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,9 +165,58 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM w, unnest([1, 2, 3, 4]) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i) GROUP BY ALL
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 30
+), x AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM c, unnest(range(2, k)) AS s(m), unnest(range(1, k - m + 2)) AS t(i) GROUP BY ALL
+), o AS (
+  SELECT c.* FROM c LEFT JOIN x USING (lang, phrase) WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+), u AS (
+  SELECT o.lang, o.phrase, o.a, l.f AS l, r.f AS r,
+    CAST((2000000 * CAST(o.a AS HUGEINT)) // (l.f + r.f) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY o.lang, o.phrase ORDER BY (2000000 * CAST(o.a AS HUGEINT)) // (l.f + r.f), m) AS first
+  FROM o, unnest(range(1, o.k)) AS s(m)
+  JOIN g l ON l.lang = o.lang AND l.phrase = array_to_string(o.w[1 : m], ' ')
+  JOIN g r ON r.lang = o.lang AND r.phrase = array_to_string(o.w[m + 1 :], ' ')
+), k AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score FROM u WHERE first = 1
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM k JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark, _table(spark, sf_dir, "pages"))
+
+
+OP13_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY ALL
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_media, op3_pii, op4_chat, op5_decontam, op6_langid, op7_simhash, op8_tokens, op9_lines, op10_toxicity, op11_alignment, op12_collocations)}
+    return {f.__name__: f for f in (op1_mixing, op2_media, op3_pii, op4_chat, op5_decontam, op6_langid, op7_simhash, op8_tokens, op9_lines, op10_toxicity, op11_alignment, op12_collocations, op13_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op5_decontam": OP5_SQL}
+    return {"op4_chat": OP4_SQL, "op5_decontam": OP5_SQL, "op12_collocations": OP12_SQL, "op13_warc": OP13_SQL}
