@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from maskwright.llm.tables import cut, small, stored
 
 #: Units that a worker remembers at most, and bytes of text that it aligns at a time.
-MEMO_UNITS = 300_000
+MEMO_UNITS = 250_000
 CHUNK_BYTES = 2 << 20
 #: Postings that are sorted together, that stand in one block, and that one task streams for one side id.
 SORTED_POSTINGS = 2_000_000
@@ -53,21 +55,20 @@ class Aligner:
         self.n_a, self.n_b = self.a.get_vocab_size(), self.b.get_piece_size()
         self.bytes_a = _byte_level(self.a.get_vocab(), self.n_a)
         self.bytes_b = [self._piece(k) for k in range(self.n_b)]
-        self.len_a = np.array([len(x) for x in self.bytes_a], np.int64)
-        self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        # Ids with what stands before them in a written group: nothing, a comma, a bar or a semicolon.
-        top = max(self.n_a, self.n_b)
-        self.top, self.said = top, [f"{mark}{k}" for mark in ("", ",", "|", ";") for k in range(top)]
+        self.len_a, self.len_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.said = [str(k) for k in range(max(self.n_a, self.n_b))]
         # Cuts hold for the first vocabulary by its pattern; for the second if no piece has a space after another character.
         inner = re.compile("[^▁]▁")
         self.units = not any(inner.search(self.b.id_to_piece(k)) for k in range(self.n_b))
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = defaultdict()
+        self.index.default_factory = self.index.__len__
         self.groups: list[str] = []
-        self.numbers = np.zeros((4, 1024), np.int64)  # tokens of A, of B, groups, whether the bytes are the text's
-        self.pairs: list[np.ndarray] = []
+        # For each unit: tokens of A, of B, groups, and whether the bytes are the text's; its pairs stand in one array.
+        self.numbers = np.zeros((4, 0), np.int64)
+        self.pairs, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def _piece(self, k: int) -> bytes:
         piece = self.b.id_to_piece(k)
@@ -83,51 +84,48 @@ class Aligner:
             return [x[1:] for x in _CUT.split(" " + text)]
         return text.split(" ")
 
-    def learn(self, units: list[str]) -> None:
-        """Align units that are new."""
-        at = len(self.groups)
-        if at + len(units) > self.numbers.shape[1]:
-            self.numbers = np.hstack([self.numbers, np.zeros((4, at + len(units)), np.int64)])
+    def learn(self) -> None:
+        """Align the units that the index has and that were not aligned yet."""
+        units = list(islice(self.index, len(self.groups), None))
+        numbers: list[tuple[int, int, int, int]] = []
+        pairs: list[list[int]] = []
         for start in range(0, len(units), 4096):
             part = units[start : start + 4096]
             found_a = self.a.encode_batch_fast([" " + x for x in part], add_special_tokens=False)
             found_b = self.b.encode(part, num_threads=1)
             for unit, a, b in zip(part, found_a, found_b, strict=True):
-                self.index[unit] = at
-                self._align(at, unit, a.ids, b)
-                at += 1
-
-    def _align(self, at: int, unit: str, a: list[int], b: list[int]) -> None:
-        """Groups and links of one unit. Its byte ranges meet once between any two neighbouring token ends."""
+                told, links, written = self._align(unit, a.ids, b)
+                numbers.append(told)
+                pairs.append(links)
+                self.groups.append(written)
+        if units:
+            self.numbers = np.hstack([self.numbers, np.array(numbers, np.int64).T])
+            self.pairs = np.concatenate((self.pairs, np.fromiter(chain.from_iterable(pairs), np.int64)))
+            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(x) for x in pairs])))
+
+    def _align(self, unit: str, a: list[int], b: list[int]) -> tuple[tuple[int, int, int, int], list[int], str]:
+        """Numbers, links and groups of one unit: tokens overlap once between any two neighbouring token ends."""
         raw = b" " + unit.encode()
         if b"".join([self.bytes_a[k] for k in a]) != raw or b"".join([self.bytes_b[k] for k in b]) != raw:
-            self.groups.append("")
-            self.pairs.append(np.zeros(0, np.int64))
-            return
-        n_groups, written = 1, ""
-        if len(a) == 1 or len(b) == 1:
-            written = f"{','.join(map(str, a))}|{','.join(map(str, b))}"
-            pairs = [(y << 32) | x for x in a for y in b]
-            self.pairs.append(np.array(pairs, np.int64))
-        else:
-            ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-            end_a, end_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
-            both = np.intersect1d(end_a, end_b, assume_unique=True)
-            n_groups, written = len(both), self._written(ids_a, ids_b, np.searchsorted(both, end_a), np.searchsorted(both, end_b))
-            ends = np.union1d(end_a, end_b)
-            self.pairs.append((ids_b[np.searchsorted(end_b, ends)] << 32) | ids_a[np.searchsorted(end_a, ends)])
-        self.groups.append(written)
-        self.numbers[:, at] = len(a), len(b), n_groups, 1
-
-    def _written(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
-        place = np.concatenate((2 * group_a, 2 * group_b + 1))
-        order = np.argsort(place, kind="stable")
-        ids, place = np.concatenate((a, b))[order], place[order]
-        first = np.ones(len(place), bool)
-        first[1:] = place[1:] != place[:-1]
-        mark = np.where(first, np.where(place % 2 == 1, 2, 3), 1)
-        mark[0] = 0
-        return "".join([self.said[k] for k in (mark * self.top + ids).tolist()])
+            return (0, 0, 0, 0), [], ""
+        said, wide = self.said, self.n_a
+        i, j, end_a, end_b = 0, 0, self.len_a[a[0]], self.len_b[b[0]]
+        links, groups, first_a, first_b = [b[0] * wide + a[0]], [], 0, 0
+        while True:
+            if end_a == end_b:
+                i, j = i + 1, j + 1
+                groups.append(",".join([said[k] for k in a[first_a:i]]) + "|" + ",".join([said[k] for k in b[first_b:j]]))
+                if i == len(a):
+                    return (len(a), len(b), len(groups), 1), links, ";".join(groups)
+                first_a, first_b = i, j
+                end_a, end_b = end_a + self.len_a[a[i]], end_b + self.len_b[b[j]]
+            elif end_a < end_b:
+                i += 1
+                end_a += self.len_a[a[i]]
+            else:
+                j += 1
+                end_b += self.len_b[b[j]]
+            links.append(b[j] * wide + a[i])
 
 
 def _byte_level(vocab: dict[str, int], size: int) -> list[bytes]:
@@ -175,30 +173,37 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(values, first) if len(first) else values
 
 
-def _aligned(texts: list[str | None], own: Aligner) -> dict[str, list]:
-    """What each text's alignment gives, as columns of ``_ALIGNED``."""
-    cuts = [own.cut(x) if x else [] for x in texts]
-    new = dict.fromkeys(u for units in cuts for u in units if u not in own.index)
-    if len(own.groups) + len(new) > MEMO_UNITS:
+def _aligned(texts: list[str | None], own: Aligner) -> pa.RecordBatch:
+    """What each text's alignment gives, in the columns of ``_ALIGNED``."""
+    if len(own.groups) > MEMO_UNITS:
         own.clear()
-        new = dict.fromkeys(u for units in cuts for u in units)
-    own.learn(list(new))
-    out: dict[str, list] = {name: [] for name in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times")}
-    for units in cuts:
-        met = [own.index[u] for u in units]
-        numbers = own.numbers[:, met].sum(axis=1)
-        pairs, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        digest, good = "", bool(units) and numbers[3] == len(units)
-        if good:
-            unit, often = np.unique(np.array(met), return_counts=True)
-            held = [own.pairs[k] for k in unit.tolist()]
-            pairs, times = _summed(np.concatenate(held), np.repeat(often, [len(x) for x in held]))
-            digest = hashlib.sha256(";".join([own.groups[k] for k in met]).encode()).hexdigest()
-        else:
-            numbers[:] = 0
-        for name, value in zip(out, (*numbers[:3].tolist(), int(times.sum()), digest, pairs, times.astype(np.int32)), strict=True):
-            out[name].append(value)
-    return out
+    number = own.index.__getitem__
+    met = [list(map(number, own.cut(x))) if x else [] for x in texts]
+    own.learn()
+    sizes = np.array([len(x) for x in met], np.int64)
+    ends = np.cumsum(sizes)
+    units = np.fromiter(chain.from_iterable(met), np.int64, int(sizes.sum()))
+    sums = np.hstack([np.zeros((4, 1), np.int64), np.cumsum(own.numbers[:, units], axis=1)])
+    told = sums[:, ends] - sums[:, ends - sizes]
+    good = (sizes > 0) & (told[3] == sizes)
+    told = told * good
+    digests = [hashlib.sha256(";".join([own.groups[k] for k in x]).encode()).hexdigest() if ok else "" for x, ok in zip(met, good.tolist(), strict=True)]
+    # Units of a text, then pairs of its units, each with how often they stand in it.
+    of = np.repeat(np.arange(len(texts)), sizes)
+    kept = good[of]
+    many = max(1, len(own.groups))
+    held, often = _summed(of[kept] * many + units[kept], np.ones(int(kept.sum()), np.int64))
+    of, unit = held // many, held % many
+    width = own.at[unit + 1] - own.at[unit]
+    place = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width) + np.repeat(own.at[unit], width)
+    space = own.n_a * own.n_b
+    held, times = _summed(np.repeat(of, width) * space + own.pairs[place], np.repeat(often, width))
+    of, pair = held // space, held % space
+    at = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
+    links = np.concatenate(([0], np.cumsum(times)))
+    columns = [pa.array(x) for x in (*told[:3], links[at[1:]] - links[at[:-1]])] + [pa.array(digests, pa.string())]
+    columns += [pa.ListArray.from_arrays(at, pa.array(x)) for x in ((pair // own.n_a << 32) | pair % own.n_a, times.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
 
 def _tokenized(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
@@ -211,12 +216,8 @@ def _tokenized(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col:
             texts = batch.column(2).to_pylist()
             for start, end in _chunks(texts):
                 found = _aligned(texts[start:end], both)
-                pairs, times = found.pop("pairs"), found.pop("times")
-                at = np.concatenate(([0], np.cumsum([len(x) for x in pairs]))).astype(np.int32)
                 kept = [batch.column(k).slice(start, end - start) for k in (0, 1)]
-                numbers = [pa.array(v, pa.string() if name == "groups_sha256" else pa.int64()) for name, v in found.items()]
-                lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x), kind)) for x, kind in ((pairs, pa.int64()), (times, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*kept, *numbers, *lists], names=["id", "row", *found, "pairs", "times"])
+                yield pa.RecordBatch.from_arrays([*kept, *found.columns], names=["id", "row", *found.schema.names])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return own.mapInArrow(align, f"id {kind}, row long, {_ALIGNED}")
