@@ -188,10 +188,10 @@ class Stream:
         """All up to and with the next empty line; None at the end of the file."""
         seen = 0
         while True:
-            # Line ends between records are not part of any.
-            if not seen:
-                while self.held[:2] == b"\r\n":
-                    del self.held[:2]
+            # Line ends between records are not part of any, and no head begins with one.
+            while self.held[:2] == b"\r\n":
+                del self.held[:2]
+                seen = 0
             at = self.held.find(_END, max(0, seen - 3))
             if at >= 0:
                 out = bytes(self.held[: at + 4])

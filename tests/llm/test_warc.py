@@ -95,6 +95,17 @@ def test_any_layout_becomes_a_member_for_each_record(spark, tmp_path):
     assert sorted(len(r.payload) for r in read if r.error is None) == sorted([len(b) for b in BODIES] * 3 + [0, 1])
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 7])
+def test_streams_may_be_cut_anywhere(monkeypatch, piece):
+    monkeypatch.setattr(warc, "_PIECE", piece)
+    data = gzip.compress(b"\r\n" + b"".join(record(k, b) for k, b in enumerate([b"", b"\r\n\r\n", b"abc", b"\r\n"])))
+    held = iter([data[i : i + piece] for i in range(0, len(data), piece)])
+    stream, seen = warc.Stream(lambda n: next(held, b"")), []
+    while (head := stream.head()) is not None:
+        seen.append(b"".join(stream.take(int(warc.fields(head)["content-length"]))))
+    assert seen == [b"", b"\r\n\r\n", b"abc", b"\r\n"]
+
+
 def test_damaged_archives_keep_what_is_whole(spark, tmp_path):
     whole = gzip.compress(b"".join(record(k, os.urandom(300_000)) for k in range(4)))
     files = {"cut.gz": whole[: len(whole) // 2], "flipped.gz": whole[:900_000] + bytes([whole[900_000] ^ 255]) + whole[900_001:], "text.gz": gzip.compress(b"no archive\r\n\r\n"), "plain.gz": b"not gzip"}
