@@ -6,9 +6,11 @@ the string without its last word, last word), which is the automaton's transitio
 where a suffix link leads. Strings of equal end positions are one state: as all end positions of a string are also
 its suffix's, that is so just if both occur equally often. States give their strings, longest first, with one count.
 
-Two passes read the texts. The first counts bigrams and words by hash in a table of fixed size; the second lets only
-what may be frequent into its automata: a count of a hash is never below the counts of its strings, and a phrase
-occurs no more often than its parts, so nothing frequent is lost. Fragments end where a bigram is certainly rare.
+Three passes read the texts. The first counts words and bigrams by hash in a table, the second longer strings within what is
+left. A count of a hash is never below the counts of its strings, and a phrase occurs no more often than its parts, so
+nothing frequent is lost by leaving out what is certainly rare: rare words and bigrams end the fragments that automata are
+built of, and rare strings are not given out. Tables grow with the texts up to ``TABLE_BITS``; what shares a place in a full
+one is given out and summed for nothing, and no result depends on it.
 
 Counts are summed by phrase over all shards. What is frequent then forms one automaton of the corpus as a table: a
 phrase's two parents are its string without the last word and, by its suffix link, without the first. A longer phrase
@@ -17,6 +19,7 @@ that covers another one step by step occurs no less often at each step, so compa
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,9 +38,13 @@ LEAST = 30
 COVERS = 80  # a phrase goes if a longer one has this many hundredths of its occurrences or more
 BEST = 2000
 UNKNOWN = "und"
-#: Words of a shard, and bits of the table of hashed counts (a byte each in a task and in what is broadcast).
+#: Words of a shard.
 SHARD_WORDS = 1_000_000
-TABLE_BITS = 24
+#: A table of hashed counts has a place for each ``BYTES_PER_PLACE`` bytes of text, rounded up to a power of two: at most
+#: 2 ** TABLE_BITS places, of one byte in a task and of one bit in what is broadcast (16 MB).
+TABLE_BITS = 27
+LEAST_BITS = 12
+BYTES_PER_PLACE = 32
 _PAGE_BITS = 14
 _FULL = 255
 
@@ -157,32 +164,59 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, _Shard]]:
     yield from open_.items()
 
 
-def _slots(hashes: np.ndarray, words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the table: of each word, and of the bigram that it begins (-1 where a row ends)."""
-    of = hashes[words]
-    single = (of >> np.uint64(64 - bits)).astype(np.int64)
-    pair = (of[:-1] * np.uint64(0x9E3779B97F4A7C15) + (of[1:] ^ (of[1:] >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9)
-    slot = np.append((pair >> np.uint64(64 - bits)).astype(np.int64), -1)
-    slot[:-1][(words[:-1] == 0) | (words[1:] == 0)] = -1
-    return single, slot
+def _slots(hashes: np.ndarray, words: np.ndarray, bits: int, lengths: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each of ``lengths``: where strings of so many words end, and their places in the table."""
+    ends, of = np.flatnonzero(words), hashes[words]
+    held = of[ends]
+    for k in range(1, lengths.stop):
+        if k > 1:
+            onward = ends[1:] == ends[:-1] + 1
+            ends, held = ends[1:][onward], held[:-1][onward]
+            held = (held * np.uint64(0x9E3779B97F4A7C15) + (of[ends] ^ (of[ends] >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9)
+            held ^= held >> np.uint64(32)
+        if k in lengths:
+            yield k, ends, (held >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _sketch(bits: int):
-    """Per task: counts of words and bigrams by hash, up to 255, as pages of the table that are not empty."""
+class _Filter:
+    """What may be frequent by a table's bits."""
+
+    def __init__(self, held: bytes, bits: int):
+        self.held, self.bits = np.frombuffer(held, np.uint8), bits
+
+    def good(self, slots: np.ndarray) -> np.ndarray:
+        return (self.held[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 > 0
+
+    def fragments(self, hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """``words`` without rare ones, with a 0 between two that are rare together."""
+        apart = []
+        for k, ends, slots in _slots(hashes, words, self.bits, range(1, 3)):
+            rare = ends[~self.good(slots)]
+            if k == 1:
+                words = words.copy()
+                words[rare] = 0
+            else:
+                apart = rare[(words[rare] > 0) & (words[rare - 1] > 0)]
+        return np.insert(words, apart, 0)
+
+
+def _sketch(bits: int, lengths: range, shorter: Broadcast[bytes] | None):
+    """Per task: counts of strings by hash, up to 255, as pages of the table that are not empty."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.uint8)
         for lang, shard in _shards(batches):
-            words = shard.words()
-            single, pair = _slots(shard.hashes(lang), words, bits)
-            for slots in (single[words > 0], pair[pair >= 0]):
+            words, hashes = shard.words(), shard.hashes(lang)
+            if shorter is not None:
+                words = _Filter(shorter.value, bits).fragments(hashes, words)
+            for _, _, slots in _slots(hashes, words, bits, lengths):
                 at, n = np.unique(slots, return_counts=True)
                 table[at] = np.minimum(table[at] + np.minimum(n, _FULL), _FULL)
         pages = table.reshape(-1, 1 << min(_PAGE_BITS, bits))
         for start in range(0, len(pages), 64):
             some = start + np.flatnonzero(pages[start : start + 64].any(axis=1))
             if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pages[k].tobytes() for k in some], pa.binary())], names=["page", "held"])
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([zlib.compress(pages[k], 1) for k in some], pa.binary())], names=["page", "held"])
 
     return count
 
@@ -192,7 +226,7 @@ def _summed(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, total = None, None
     for batch in pages:
         for page, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = np.frombuffer(held.as_buffer(), np.uint8).astype(np.uint16)
+            own = np.frombuffer(zlib.decompress(held.as_buffer()), np.uint8).astype(np.uint16)
             if page == last:
                 total = np.minimum(total + own, _FULL)
                 continue
@@ -207,9 +241,9 @@ def _page(page: int, total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([total.astype(np.uint8).tobytes()], pa.binary())], names=["page", "held"])
 
 
-def _may_be_frequent(texts: DataFrame, least: int, bits: int) -> Broadcast[bytes]:
-    """A bit for each hash that ``least`` or more occurrences may have. Its size is fixed: 2 ** bits bits."""
-    counted = texts.mapInArrow(_sketch(bits), "page int, held binary")
+def _may_be_frequent(texts: DataFrame, least: int, bits: int, lengths: range, shorter: Broadcast[bytes] | None = None) -> Broadcast[bytes]:
+    """A bit for each hash that ``least`` or more strings of ``lengths`` words may have: 2 ** bits bits."""
+    counted = texts.mapInArrow(_sketch(bits, lengths, shorter), "page int, held binary")
     pages = counted.repartition("page").sortWithinPartitions("page").mapInArrow(_summed, "page int, held binary")
 
     def bit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,31 +261,27 @@ def _may_be_frequent(texts: DataFrame, least: int, bits: int) -> Broadcast[bytes
 _GRAMS = "lang string, k int, phrase string, f long"
 
 
-def _grams(frequent: Broadcast[bytes], bits: int, depth: int):
+def _grams(short: Broadcast[bytes], long: Broadcast[bytes], bits: int, depth: int):
     """Per shard: the strings of its automaton with their counts, and with k = 0 how many words it has."""
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, shard in _shards(batches):
-            yield from _mined(lang, shard, np.frombuffer(frequent.value, np.uint8), bits, depth)
+            yield from _mined(lang, shard, _Filter(short.value, bits), _Filter(long.value, bits), depth)
 
     return mine
 
 
-def _mined(lang: str, shard: _Shard, held: np.ndarray, bits: int, depth: int) -> Iterator[pa.RecordBatch]:
-    words = shard.words()
-    single, pair = _slots(shard.hashes(lang), words, bits)
+def _mined(lang: str, shard: _Shard, short: _Filter, long: _Filter, depth: int) -> Iterator[pa.RecordBatch]:
+    words, hashes = shard.words(), shard.hashes(lang)
     yield _told(lang, 0, [b""], np.array([(words > 0).sum()]))
-
-    def good(slots: np.ndarray) -> np.ndarray:
-        return (held[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 > 0
-
-    # Rare words and rare bigrams end a fragment.
-    words = np.where(good(single), words, 0)
-    whole = np.append((pair[:-1] >= 0) & good(np.maximum(pair[:-1], 0)), True)
-    apart = np.flatnonzero(~whole & (words > 0)) + 1
-    found = automaton(np.insert(words, apart, 0), depth)
+    found = automaton(short.fragments(hashes, words), depth)
     names = np.array(list(shard.vocab), object)
+    often = np.zeros(len(found.words), bool)
+    slots = {k: (ends, held) for k, ends, held in _slots(hashes, found.words, long.bits, range(3, depth + 1))}
     for k, ends, counts in found.strings():
+        if k in slots:
+            often[slots[k][0]] = long.good(slots[k][1])
+            ends, counts = ends[often[ends]], counts[often[ends]]
         for start in range(0, len(ends), 100_000):
             end = ends[start : start + 100_000]
             parts = [names[found.words[end - j]] for j in range(k - 1, -1, -1)]
@@ -265,11 +295,15 @@ def _told(lang: str, k: int, phrases: list[bytes], counts: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "f"])
 
 
-def counted(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, bits: int = TABLE_BITS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def counted(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, bits: int | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, k, phrase, f): phrases of up to ``depth`` words that occur ``least`` times or more, and with k = 0 all words' number."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    frequent = _may_be_frequent(texts, least, bits)
-    grams = texts.mapInArrow(_grams(frequent, bits, depth), _GRAMS)
+    if bits is None:
+        size = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+        bits = min(max(LEAST_BITS, (size // BYTES_PER_PLACE).bit_length()), TABLE_BITS)
+    short = _may_be_frequent(texts, least, bits, range(1, 3))
+    long = _may_be_frequent(texts, least, bits, range(3, depth + 1), short)
+    grams = texts.mapInArrow(_grams(short, long, bits, depth), _GRAMS)
     return grams.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where((F.col("k") == 0) | (F.col("f") >= least))
 
 
@@ -285,7 +319,7 @@ def _exact(c: Column) -> Column:
     return c.cast("decimal(20,0)")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST, depth: int = DEPTH, bits: int = TABLE_BITS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST, depth: int = DEPTH, bits: int | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The ``best`` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     ``a``: occurrences of the phrase, overlaps included; ``l``, ``r``: of its first words and of the rest, at the cut with the
