@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from maskwright.functions import text as T
+from maskwright.functions.arrays import running
 
 SCORE = 0.85
 CLOSE_DIGITS = 0.75
@@ -41,30 +42,32 @@ def may_reach(a: Column, b: Column, least: float) -> Column:
 
 
 def _tries(values: DataFrame, lines: DataFrame, keys: list[str], least: float, strict: bool) -> DataFrame:
-    """Runs of words, up to two more than the value has, that reach the score and fit by their digits."""
+    """Runs of words, up to two more than the value has, that reach the score and fit by their digits.
+
+    Lines meet the values of their page once, whole; runs are made and dropped within that stage, first by the lengths of their
+    normal forms, which running totals give without writing a run out, then by digits and edit distance.
+    """
     most = F.greatest(F.size(F.filter(F.split(F.trim(F.col("value")), r"\s+"), lambda w: w != "")), F.lit(1)) + 2
     v = values.select(*keys, "value").distinct()
     v = v.select(*keys, "value", most.alias("most"), T.norm(F.col("value")).alias("nv"), T.digits(F.col("value")).alias("dv"))
-    longest = v.agg(F.max("most")).first()[0] or 0
-    starts = lines.select(*keys, "line", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("first")).where(F.size("words") > 0)
-    runs = starts.select(*keys, "line", "words", "first", F.explode(F.sequence(F.lit(1), F.lit(max(1, longest)))).alias("n"))
-    runs = runs.where("first + n <= size(words)").select(
-        *keys, "line", "first", "n", F.array_join(F.slice("words", F.col("first") + 1, F.col("n")), " ").alias("run")
-    )
-    runs = runs.withColumns({"nr": T.norm(F.col("run")), "dr": T.digits(F.col("run"))})
-    # Equal digits are a key to join on; values without digits are joined by their page alone.
+    forms = F.transform("words", T.norm)
+    own = lines.select(*keys, "line", "words", forms.alias("forms")).where(F.size("words") > 0)
+    own = own.withColumn("upto", running(F.transform("forms", F.length)))
+    tried = own.join(v.where("nv <> ''"), keys).withColumn("first", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
+    # How long a normal form can be that reaches the score.
+    size, wide = F.length("nv"), F.lit((2 - least) / least)
+    begin = F.coalesce(F.get("upto", F.col("first") - 1), F.lit(0))
+    ends = F.filter(F.sequence(F.lit(1), F.col("most")), lambda n: (F.get("upto", F.col("first") + n - 1) - begin).between(F.floor(size / wide), F.ceil(size * wide)))
+    both = tried.withColumn("n", F.explode(ends)).withColumn("nr", F.array_join(F.slice("forms", F.col("first") + 1, F.col("n")), ""))
     if strict:
-        with_digits = v.where("dv <> ''").join(runs.withColumnRenamed("dr", "dv"), [*keys, "dv"])
-        without = v.where("dv = ''").join(runs.drop("dr"), keys).select(*with_digits.columns)
-        both = with_digits.union(without)
-    else:
-        both = v.join(runs.drop("dr"), keys)
-    both = both.where("n <= most").where(may_reach(F.col("nv"), F.col("nr"), least))
+        # Equal digits, if the value has any.
+        both = both.where((F.col("dv") == "") | (T.digits(F.col("nr")) == F.col("dv")))
+    both = both.where(may_reach(F.col("nv"), F.col("nr"), least))
     if not strict:
-        a, b = T.folded_digits(F.col("value")), T.folded_digits(F.col("run"))
-        both = both.withColumns({"fa": a, "fb": b}).where("fa = '' or fb <> ''")
+        run = F.array_join(F.slice("words", F.col("first") + 1, F.col("n")), " ")
+        both = both.withColumns({"fa": T.folded_digits(F.col("value")), "fb": T.folded_digits(run)}).where("fa = '' or fb <> ''")
         both = both.withColumn("close", F.when(F.col("fa") == "", 1.0).otherwise(ratio("fa", "fb"))).where(F.col("close") >= CLOSE_DIGITS)
-    both = both.withColumn("score", ratio("nv", "nr")).where(F.col("score") >= least)
+    both = both.select(*keys, "value", "line", "first", "n", "nv", "nr").withColumn("score", ratio("nv", "nr")).where(F.col("score") >= least)
     return both.select(*keys, "value", "line", "first", (F.col("first") + F.col("n") - 1).alias("last"), "score")
 
 

@@ -66,9 +66,13 @@ def summary(changed: DataFrame, doc: list[str], leaked: DataFrame) -> DataFrame:
 
 
 def write(changed: DataFrame, doc: list[str], out: str, private: str) -> None:
-    """The public keys to ``out`` and the old values to ``private``, as JSON in a folder for each document and copy."""
-    public_key(changed).write.partitionBy(*doc, "seed").mode("overwrite").json(f"{out}/keys")
-    changed.select(*doc, "seed", "page", "pos", "owner", "type", "old", "new", "located").write.partitionBy(*doc, "seed").mode("overwrite").json(f"{private}/keys")
+    """The public keys to ``out`` and the old values to ``private``, as JSON in a folder for each document and copy.
+
+    Only the folders of the documents and copies that are written are replaced; what stands beside them stays.
+    """
+    hidden = changed.select(*doc, "seed", "page", "pos", "owner", "type", "old", "new", "located")
+    for rows, folder in ((public_key(changed), out), (hidden, private)):
+        rows.write.partitionBy(*doc, "seed").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(f"{folder}/keys")
 
 
 def document_report(values: DataFrame, places: DataFrame, open_: DataFrame, doc: list[str]) -> DataFrame:

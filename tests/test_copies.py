@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from maskwright.plans import copies as C
 
 
@@ -44,3 +46,14 @@ def test_accepted_values_and_report(spark):
     rows = {r.page: r for r in C.document_report(values, places, open_, ["doc"]).collect()}
     assert [v.located for v in rows[1]["values"]] == [True, True] and rows[1].unconfirmed is None
     assert [v.located for v in rows[2]["values"]] == [True, False] and rows[2].unconfirmed[0].text == "z@q.w"
+
+
+def test_documents_written_in_turn_both_stay(spark, tmp_path):
+    values, places = tables(spark)
+    out, private = str(tmp_path / "out"), str(tmp_path / "private")
+    for name, n in (("d", 2), ("e", 1), ("d", 1)):
+        own = [t.withColumn("doc", F.lit(name)) for t in (values, places)]
+        C.write(C.copies(*own, ["doc"], n, 7), ["doc"], out, private)
+    for folder in (out, private):
+        back = spark.read.json(f"{folder}/keys")
+        assert {(r.doc, r.seed): r["count"] for r in back.groupBy("doc", "seed").count().collect()} == {("d", 7): 4, ("d", 8): 4, ("e", 7): 4}
