@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import boxes as B
-from maskwright.functions.text import one_slip
-from maskwright.operators import matching
+from maskwright.functions.text import one_slip, strip_edges
+from maskwright.operators import matching, pixels, reading
 
 #: Side of the grid cells by which boxes of one page are brought together.
 CELL = 256
@@ -125,13 +125,60 @@ def wrapped(values: DataFrame, lines: DataFrame, keys: list[str], line_height: i
     return one.select(*keys, "value", F.col("line.upper").alias("upper"), F.col("line.lower").alias("lower"), "first", "cut", "last")
 
 
-def locate(values: DataFrame, lines: DataFrame, keys: list[str], line_height: int = 12) -> DataFrame:
+def by_pixels(values: DataFrame, pages: DataFrame, lines: DataFrame, keys: list[str], reader: reading.Reader) -> DataFrame:
+    """(*keys, value, first, last, box, printed, next_x): where values stand by the ink of their page, one place each.
+
+    ``values(*keys, value, hint)``, ``pages(*keys, width, height, gray, line_height)``, ``lines(*keys, word_boxes)`` of a text layer. The text
+    lines nearest to the hint are read by ``reader``; the nearest whose reading holds the value counts if its words can be told
+    apart: by blanks in the ink, else by the text layer's words within the line, whichever are as many as the reading has. A line
+    that is nothing but the value, a digit misread at most, counts whole. A crop that the reader fails on is no evidence.
+    """
+    own = [*keys, "asked", "rank"]
+    read = reading.read(pixels.near_lines(pages, values, keys), reader).where("error is null and reading is not null")
+    # What follows looks at readings several times; the reader is called once.
+    read = reading.once(read.withColumnRenamed("value", "asked").withColumnRenamed("line", "area").drop("error"))
+    held = matching.contains(read.select(*own, "reading", F.col("asked").alias("value")), own).where("contained").select(*own)
+    parts = F.filter(F.split("reading", r"\s+"), lambda w: w != "")
+    rows = reading.once(read.join(held, own, "left_semi").withColumn("words", parts))
+    best = matching.find_value(rows.select(*own, F.col("asked").alias("value")), rows.select(*own, F.lit(0).alias("line"), "words"), own, strict=False)
+    rows = rows.join(best.select(*own, "first", "last"), own, "left")
+    run = F.array_join(F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + 1), " ")
+    rows = rows.withColumn("run", F.when(one_slip(F.col("asked"), run), run))
+    # Words of the text layer that lie in the line, two pixels more or less.
+    layer = lines.select(*keys, F.explode("word_boxes").alias("w"))
+    a, w = F.col("area"), F.col("w")
+    within = (w["x0"] >= a["x0"] - 2) & (w["x1"] <= a["x1"] + 2) & ((w["y0"] + w["y1"]) / 2).between(a["y0"] - 2, a["y1"] + 2)
+    inside = rows.select(*own, "area").join(layer, keys).where(within).groupBy(*own).agg(F.array_sort(F.collect_list("w")).alias("layer"))
+    rows = rows.join(inside, own, "left")
+    boxes = F.when(F.size("word_boxes") == F.size("words"), F.col("word_boxes")).when(F.size("layer") == F.size("words"), F.col("layer"))
+    rows = rows.withColumn("boxes", F.when(F.col("run").isNotNull(), boxes))
+    part = F.slice("boxes", F.col("first") + 1, F.col("last") - F.col("first") + 1)
+    side = lambda n, f: f(F.transform(part, lambda b: b[n]))
+    words = B.box(side("x0", F.array_min), side("y0", F.array_min), side("x1", F.array_max), side("y1", F.array_max))
+    count = F.size(F.filter(F.split("asked", r"\s+"), lambda w: w != ""))
+    whole = (count == F.size("words")) & (matching.similarity(F.col("reading"), F.col("asked")) >= matching.SCORE) & one_slip(F.col("asked"), F.col("reading"))
+    rows = rows.withColumn("whole", whole).where(F.col("boxes").isNotNull() | F.col("whole"))
+    apart, bare = F.col("boxes").isNotNull(), strip_edges(F.col("run"))
+    told = rows.select(
+        *keys, F.col("asked").alias("value"), "rank",
+        F.when(apart, F.col("first")).otherwise(0).alias("first"),
+        F.when(apart, F.col("last")).otherwise(F.size("words") - 1).alias("last"),
+        F.when(apart, words).otherwise(B.box(*[a[n] for n in B.SIDES])).alias("box"),
+        F.when(apart, F.when(bare == "", F.col("asked")).otherwise(bare)).otherwise(F.trim("reading")).alias("printed"),
+        F.when(apart, F.get("boxes", F.col("last") + 1)["x0"]).alias("next_x"),
+    )
+    first = Window.partitionBy(*keys, "value").orderBy("rank")
+    return told.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "rank")
+
+
+def locate(values: DataFrame, lines: DataFrame, keys: list[str], line_height: int = 12, pages: DataFrame | None = None, reader: reading.Reader | None = None) -> DataFrame:
     """(*keys, value, line, first, last, score, how, box): all places of each value.
 
     ``values(*keys, value)``, with ``pos`` for their order, else they go by text, and
     ``lines(*keys, line, words, word_boxes, box)``. Exact matches claim their boxes; near ones count on
     words that no claim overlaps, of earlier values either; values still without a place are tried
-    over two lines, where nothing is claimed.
+    over two lines, where nothing is claimed. With ``pages`` and a ``reader``, what has no place yet and a ``hint`` is looked for in the
+    ink of its page (see :func:`by_pixels`), ``how`` being "pixels" and ``line`` null.
     """
     own = lines.select(*keys, "line", "words")
     spots = lines.select(*keys, "line", "word_boxes")
@@ -167,7 +214,19 @@ def locate(values: DataFrame, lines: DataFrame, keys: list[str], line_height: in
     # A value over two lines has both of its places or none.
     open_ = two.join(held.select(*keys, "value").distinct(), [*keys, "value"], "left_anti").join(turns, [*keys, "value"])
     whole = _in_turn(open_, keys, whole=True).select(*exact.columns)
-    return sure.union(whole).drop("part")
+    found = sure.union(whole)
+    if reader is not None and pages is not None:
+        found = reading.once(found)
+        left = values.select(*keys, "value", "hint").join(found.select(*keys, "value").distinct(), [*keys, "value"], "left_anti")
+        seen = reading.once(by_pixels(left, pages, lines, keys, reader))
+        no = F.lit(None)
+        seen = seen.select(
+            *keys, "value", no.cast(found.schema["line"].dataType).alias("line"), "first", "last", no.cast("double").alias("score"), F.lit("pixels").alias("how"), "box", F.array("box").alias("part")
+        )
+        held = overlapping(seen.select(*keys, "value", F.col("box").alias("a")), found.select(*keys, F.col("box").alias("b")), keys)
+        free = seen.join(held.select(*keys, "value").distinct(), [*keys, "value"], "left_anti").join(turns, [*keys, "value"])
+        found = found.union(_in_turn(free, keys).select(*found.columns))
+    return found.drop("part")
 
 
 def _in_turn(places: DataFrame, keys: list[str], whole: bool = False) -> DataFrame:

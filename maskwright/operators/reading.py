@@ -50,6 +50,14 @@ def read_spans(pairs: DataFrame, keys: list[str], least: float = LEAST) -> DataF
     return both.withColumn("span", F.when(good, span)).drop("__text", "__tokens", "first", "last")
 
 
+def once(df: DataFrame) -> DataFrame:
+    """``df`` computed once: written to the checkpoint folder, which a lost executor does not take along; kept in the executors where none is named."""
+    context = df.sparkSession.sparkContext
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) or not context._jsc.sc().getCheckpointDir().isEmpty():
+        return df.checkpoint()
+    return df.persist()
+
+
 def read(crops: DataFrame, reader: Reader, batch: int = 16, attempts: int = 3) -> DataFrame:
     """``crops(..., width, height, gray)`` with ``reading`` and ``error`` in place of the three.
 

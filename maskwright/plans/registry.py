@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import arrays as A
@@ -12,7 +12,7 @@ from maskwright.functions import barcode, dates
 from maskwright.functions import boxes as B
 from maskwright.functions import text as T
 from maskwright.operators import candidates as C
-from maskwright.operators import leak, location, matching, pixels, replace, values
+from maskwright.operators import leak, location, matching, pixels, reading, replace, values
 from maskwright.plans import copies, report
 from maskwright.plans.deidentify import deidentified
 
@@ -194,11 +194,6 @@ def leak_pieces(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.pieces(F.col("text"), F.lit("person")).alias("pieces"))
 
 
-@query(_SQL["leak_pieces"])
-def leak_pieces_of_texts(spark, sf_dir):
-    return leak_pieces(spark, sf_dir)
-
-
 @query("""
 WITH k AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 8, '1') AS a, lpad(CAST(o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 11 ELSE 1 END AS VARCHAR), 8, '1') AS b FROM orders)
 SELECT o_orderkey, levenshtein(a, b) <= 1 AS slip FROM k
@@ -437,11 +432,6 @@ def nearest_lines(spark, sf_dir):
     return found.select("page", "value", "line", F.col("rank").cast("long").alias("rank"))
 
 
-@query(_SQL["nearest_lines"])
-def nearest_lines_of_boxes(spark, sf_dir):
-    return nearest_lines(spark, sf_dir)
-
-
 @query("""
 WITH d AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS n FROM orders),
 s AS (SELECT o_orderkey, [105] || list_transform([1, 3, 5, 7], lambda i: CAST(n[i : i + 1] AS INT)) AS b FROM d)
@@ -487,6 +477,95 @@ def copy_keys(spark, sf_dir):
     return copies.public_key(copies.copies(own, places, ["doc"], 3, 5)).select("doc", "pos", "seed", "owner", "new", "located", "n_places")
 
 
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_name AS v, 'Name: ' || CASE WHEN c_custkey % 2 = 0 THEN replace(c_name, 'm', 'n') ELSE c_name END AS p,
+  CASE WHEN c_custkey % 3 = 0 THEN ', ' || c_mktsegment ELSE '|' || c_mktsegment END AS rest FROM customer)
+SELECT k AS c_custkey, substr(p, 7) AS printed, CASE WHEN k % 3 = 0 THEN ',' ELSE '' END AS after, CAST(6 AS DOUBLE) / length(p || rest) AS start,
+  CAST(length(p) + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) / length(p || rest) AS "end" FROM c
+""")
+def spans_read(spark, sf_dir):
+    """Customers' names found in readings of their labels, with misread letters, cell borders and commas behind them."""
+    key = F.col("c_custkey")
+    printed = F.when(key % 2 == 0, F.replace("c_name", F.lit("m"), F.lit("n"))).otherwise(F.col("c_name"))
+    read = F.concat(F.lit("Name: "), printed, F.when(key % 3 == 0, ", ").otherwise("|"), "c_mktsegment")
+    own = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("value"), read.alias("reading"))
+    return reading.read_spans(own, ["c_custkey"]).select("c_custkey", "span.printed", "span.after", "span.start", "span.end")
+
+
+def _drawn(rows: list[tuple[str, int]]) -> Column:
+    """A page's bytes from SQL for rows in hexadecimal, each so many times."""
+    return F.expr("unhex(concat(" + ", ".join(f"repeat({row}, {n})" for row, n in rows) + "))")
+
+
+def _row(width: int, *runs: tuple[str, str]) -> str:
+    """SQL for a row of paper with ink from a column to another, in order."""
+    out, at = [], "0"
+    for start, end in runs:
+        out += [f"repeat('F0', cast({start} - ({at}) as int))", f"repeat('00', cast({end} - ({start}) as int))"]
+        at = end
+    return "concat(" + ", ".join([*out, f"repeat('F0', cast({width} - ({at}) as int))"]) + ")"
+
+
+@query("""
+SELECT p_partkey, CAST(8 * (p_size + 3) AS BIGINT) AS gone, CAST(400 + 38 + 160 AS BIGINT) AS kept FROM part
+""")
+def values_erased(spark, sf_dir):
+    """A value that a table line crosses is erased from drawn pages with what hangs out of its box; the line and its neighbour stay."""
+    value, beside, line = ("20", "23 + p_size"), ("120", "140"), ("150", "151")
+    blank, text, rule = _row(200, line), _row(200, value, beside, line), _row(200, ("0", "200"))
+    gray = _drawn([(blank, 10), (text, 8), (blank, 12), (rule, 2), (blank, 8)])
+    x1 = F.col("p_size") + 20
+    pages = table(spark, sf_dir, "part").select("p_partkey", F.lit(200).alias("width"), F.lit(40).alias("height"), gray.alias("gray"), F.array(B.box(F.lit(20), F.lit(10), x1, F.lit(18))).alias("boxes"))
+    dark = lambda c: (F.length(F.hex(c)) / 2 - F.length(F.replace(F.hex(c), F.lit("00"), F.lit(""))) / 2).cast("long")
+    done = pixels.values_erased(pages, ["p_partkey"]).select("p_partkey", dark("gray").alias("kept"))
+    return pages.select("p_partkey", dark("gray").alias("all")).join(done, "p_partkey").select("p_partkey", (F.col("all") - F.col("kept")).alias("gone"), "kept")
+
+
+@query("""
+SELECT p_partkey, lpad(CAST(p_partkey + 7 AS VARCHAR), 8, '2') AS back, true AS valid, true AS number_kept FROM part
+""")
+def barcodes_redrawn(spark, sf_dir):
+    """Bars beside a changed number, redrawn with the new number and read back from their pixels; the number's own are kept."""
+    key = F.col("p_partkey")
+    old, new = F.lpad(key.cast("string"), 8, "1"), F.lpad((key + 7).cast("string"), 8, "2")
+    own = table(spark, sf_dir, "part").select("p_partkey", barcode.widths(old).alias("w"), barcode.widths(new).alias("modules"))
+    bars = F.array_join(F.transform("w", lambda n, i: F.repeat(F.when(i % 2 == 0, "00").otherwise("F0"), 2 * n)), "")
+    own = own.withColumn("bars", F.concat(F.repeat(F.lit("F0"), F.lit(20)), bars))
+    own = own.withColumn("bars", F.concat("bars", F.repeat(F.lit("F0"), (400 - F.length("bars") / 2).cast("int"))))
+    number = _row(400, *[(str(x), str(x + 5)) for x in range(20, 116, 8)])
+    run = F.struct(B.box(F.lit(20), F.lit(44), F.lit(113), F.lit(54)).alias("b"))
+    edit = F.array(F.struct("b.x0", "b.y0", "b.x1", "b.y1", key.alias("seed"), "modules"))
+    pages = own.withColumn("gray", _drawn([(_row(400), 10), ("bars", 30), (_row(400), 4), (number, 10), (_row(400), 6)])).select("*", run["b"].alias("b"))
+    pages = pages.select("p_partkey", F.lit(400).alias("width"), F.lit(60).alias("height"), F.lit(10).alias("line_height"), "gray", edit.alias("numbers"))
+    done = pixels.redrawn(pages, ["p_partkey"]).withColumn("bar", F.get("bars", F.lit(0)))
+    line = F.hex(F.substring(F.col("gray"), F.lit(25 * 400 + 1) + F.col("bar.x0"), F.col("bar.x1") - F.col("bar.x0")))
+    dark = F.transform(F.regexp_extract_all(line, F.lit(".."), F.lit(0)), lambda x: x == "14")
+    back = A.once(F.transform(A.once(dark, A.runs), lambda n: (n / 2).cast("int")), barcode.decode)
+    rows = lambda c: F.substring(F.col(c), 44 * 400 + 1, 10 * 400)
+    both = done.join(pages.select("p_partkey", F.col("gray").alias("old")), "p_partkey")
+    return both.select("p_partkey", back.alias("back"), "bar.valid", (rows("gray") == rows("old")).alias("number_kept"))
+
+
+def _counting(images: list) -> list[str]:
+    """A stand-in for a reader: says the number of columns with ink between two words."""
+    return [f"Nr {1000000 + int((x < 128).any(axis=0).sum())} EUR" for x in images]
+
+
+@query("""
+SELECT p_partkey, CAST(1000027 + p_size % 20 AS VARCHAR) AS value, CAST(1000027 + p_size % 20 AS VARCHAR) AS printed, 30 AS x0, 20 AS y0, CAST(35 + p_size % 20 AS INT) AS x1, 30 AS y1, CAST(43 + p_size % 20 AS INT) AS next_x FROM part
+""")
+def places_by_pixels(spark, sf_dir):
+    """Numbers that no text layer has, placed by the ink of drawn pages with a reader that is passed in."""
+    text = _row(200, ("10", "20"), ("30", "35 + p_size % 20"), ("43 + p_size % 20", "55 + p_size % 20"))
+    gray = _drawn([(_row(200), 20), (text, 10), (_row(200), 30)])
+    own = table(spark, sf_dir, "part").withColumn("gray", gray)
+    pages = own.select("p_partkey", F.lit(200).alias("width"), F.lit(60).alias("height"), F.lit(10).alias("line_height"), "gray")
+    wanted = own.select("p_partkey", (F.col("p_size") % 20 + 1000027).cast("string").alias("value"), B.box(F.lit(0), F.lit(0), F.lit(200), F.lit(60)).alias("hint"))
+    lines = spark.createDataFrame([], "p_partkey bigint, word_boxes array<struct<x0:int,y0:int,x1:int,y1:int>>")
+    found = location.by_pixels(wanted, pages, lines, ["p_partkey"], _counting)
+    return found.select("p_partkey", "value", "printed", "box.x0", "box.y0", "box.x1", "box.y1", "next_x")
+
+
 # -- reports --------------------------------------------------------------------------------------
 
 
