@@ -91,9 +91,10 @@ def is_amount(s: Column) -> Column:
 
     The text is cut into a currency sign, a number and a unit. A unit makes any number an amount;
     without one, or with a sign before it, the number has to be written as money: thousands in
-    groups of three after points, and two decimals after a comma.
+    groups of three after points, and two decimals after a comma. Only a currency sign may have blanks behind it: "- 5 EUR" is
+    a dash and a sum, no amount.
     """
-    cut = lambda k: F.regexp_extract(F.trim(s), r"^[-+]?(€?)\s*([0-9][0-9.,]*)\s*(.*)$", k)
+    cut = lambda k: F.regexp_extract(F.trim(s), r"^[-+]?((?:€\s*)?)([0-9][0-9.,]*)\s*(.*)$", k)
     sign, number, unit = cut(1), cut(2), cut(3)
     counted = unit.isin("%", *CURRENCY) | unit.rlike("^[A-Z][a-z]+$")
     sides = F.split(number, ",")

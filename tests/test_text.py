@@ -29,9 +29,9 @@ def test_normal_forms(ask):
 
 
 def test_amounts(ask):
-    yes = ["146,50 EUR", "3.450 Bits", "18,50", "1.234,56 €", "0,00%", "19 %"]
-    no = ["60120873", "12.07.2026", "00 075 00", "19:10 Uhr"]
-    assert ask(T.is_amount, yes + no) == [True] * 6 + [False] * 4
+    yes = ["146,50 EUR", "3.450 Bits", "18,50", "1.234,56 €", "0,00%", "19 %", "€ 18,50", "-5 EUR"]
+    no = ["60120873", "12.07.2026", "00 075 00", "19:10 Uhr", "- 5 EUR", "+ 18,50"]
+    assert ask(T.is_amount, yes + no) == [True] * len(yes) + [False] * len(no)
 
 
 def test_case_and_mail(ask):
