@@ -39,7 +39,7 @@ COVERS = 80  # a phrase goes if a longer one has this many hundredths of its occ
 BEST = 2000
 UNKNOWN = "und"
 #: Words of a shard.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
 #: A table of hashed counts has a place for each ``BYTES_PER_PLACE`` bytes of text, rounded up to a power of two: at most
 #: 2 ** TABLE_BITS places, of one byte in a task and of one bit in what is broadcast (16 MB).
 TABLE_BITS = 27
