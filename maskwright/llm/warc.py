@@ -359,7 +359,9 @@ def read_records(index: DataFrame, attempts: int = 4) -> DataFrame:
             yield _batch(rows)
 
     places = index.select("archive", "offset", "length").withColumn("_range", F.floor(F.col("offset") / RANGE_BYTES))
-    dealt = places.repartition("archive", "_range").sortWithinPartitions("archive", "offset")
+    # Index rows are tiny beside what they name: tasks are as many as the ranges, whatever Spark makes of the rows' size.
+    size = index.agg(F.sum("length").alias("n")).first().n or 0
+    dealt = places.repartition(size // RANGE_BYTES + 1, "archive", "_range").sortWithinPartitions("archive", "offset")
     return dealt.select("archive", "offset", "length").mapInArrow(read, _READ)
 
 
