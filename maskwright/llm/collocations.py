@@ -44,7 +44,7 @@ SHARD_WORDS = 400_000
 #: 2 ** TABLE_BITS places, of one byte in a task and of one bit in what is broadcast (16 MB).
 TABLE_BITS = 27
 LEAST_BITS = 12
-BYTES_PER_PLACE = 32
+BYTES_PER_PLACE = 64
 _PAGE_BITS = 14
 _FULL = 255
 
@@ -161,7 +161,9 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, _Shard]]:
                 most = max(open_, key=lambda x: open_[x].size)
                 size -= open_[most].size
                 yield most, open_.pop(most)
-    yield from open_.items()
+    batch = texts = text = None  # not held while the last shards are worked on
+    while open_:
+        yield open_.popitem()
 
 
 def _slots(hashes: np.ndarray, words: np.ndarray, bits: int, lengths: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
