@@ -12,7 +12,7 @@ from maskwright.functions import barcode, dates
 from maskwright.functions import boxes as B
 from maskwright.functions import text as T
 from maskwright.operators import candidates as C
-from maskwright.operators import leak, location, matching, pixels, reading, replace, values
+from maskwright.operators import leak, location, matching, pixels, reading, replace, values, votes
 from maskwright.plans import copies, report
 from maskwright.plans.deidentify import deidentified
 
@@ -566,6 +566,16 @@ def places_by_pixels(spark, sf_dir):
     return found.select("p_partkey", "value", "printed", "box.x0", "box.y0", "box.x1", "box.y1", "next_x")
 
 
+@query("""
+WITH t AS (SELECT l_suppkey, l_returnflag || l_linestatus AS option, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, min(l_linenumber) AS place FROM lineitem GROUP BY ALL)
+SELECT l_suppkey, option, total FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY total DESC, place, option) AS n FROM t) WHERE n = 1
+""")
+def styles_voted(spark, sf_dir):
+    """The option that all samples of a group score highest together, the first of equal ones."""
+    own = table(spark, sf_dir, "lineitem").select("l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("option"), F.col("l_linenumber").alias("place"), F.col("l_quantity").cast("long").alias("score"))
+    return votes.winner(own, ["l_suppkey"])
+
+
 # -- reports --------------------------------------------------------------------------------------
 
 
