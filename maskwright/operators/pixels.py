@@ -258,6 +258,29 @@ def _boxes(found: object) -> list[Box]:
 REDRAWN = "width int, height int, gray binary, bars array<struct<x0:int,y0:int,x1:int,y1:int,valid:boolean>>"
 
 
+def redraw(scan: np.ndarray, page: np.ndarray, height: int, edits: object) -> tuple[np.ndarray, list[tuple | None]]:
+    """``page`` with the barcodes beside its changed numbers redrawn, and (box, valid) of the bars of each, none for a number without."""
+    edits = [] if edits is None else list(edits)
+    keep, dark, out, told = _boxes(edits), ink(scan), page.copy(), []
+    for run, edit in zip(keep, edits, strict=True):
+        found = beside(dark, run, height) if edit["modules"] is not None else None
+        if found is None:
+            told.append(None)
+            continue
+        bars, (a, b, c, d) = found
+        level = paper(scan[b:d, a:c])
+        paint_over(out, full_extent(scan, bars, max(4, height) // 2), keep, level)
+        modules, wide = list(edit["modules"]), bars[2] - bars[0]
+        valid = wide >= sum(modules)
+        drawn_over = out.copy()
+        draw_bars(drawn_over, bars, modules if valid else pattern([edit["seed"], *bars[:2]], wide), level)
+        for x0, y0, x1, y1 in keep:
+            drawn_over[y0:y1, x0:x1] = out[y0:y1, x0:x1]
+        out = drawn_over
+        told.append((bars, valid))
+    return out, told
+
+
 def redrawn(pages: DataFrame, keys: list[str], line_height: str = "line_height", numbers: str = "numbers") -> DataFrame:
     """``pages``' (*keys, width, height, gray, bars) with a Code 128 of each changed number in place of the bars beside it.
 
@@ -268,28 +291,29 @@ def redrawn(pages: DataFrame, keys: list[str], line_height: str = "line_height",
     """
 
     def drawn(gray: np.ndarray, height: int, edits: object) -> Iterator[tuple]:
-        edits = [] if edits is None else list(edits)
-        keep, dark, out, told = _boxes(edits), ink(gray), gray.copy(), []
-        for run, edit in zip(keep, edits, strict=True):
-            found = beside(dark, run, height) if edit["modules"] is not None else None
-            if found is None:
-                continue
-            bars, (a, b, c, d) = found
-            level = paper(gray[b:d, a:c])
-            paint_over(out, full_extent(gray, bars, max(4, height) // 2), keep, level)
-            modules, wide = list(edit["modules"]), bars[2] - bars[0]
-            valid = wide >= sum(modules)
-            drawn_over = out.copy()
-            draw_bars(drawn_over, bars, modules if valid else pattern([edit["seed"], *bars[:2]], wide), level)
-            for x0, y0, x1, y1 in keep:
-                drawn_over[y0:y1, x0:x1] = out[y0:y1, x0:x1]
-            out = drawn_over
-            told.append((*bars, valid))
-        yield gray.shape[1], gray.shape[0], out.tobytes(), [dict(zip(("x0", "y0", "x1", "y1", "valid"), x, strict=True)) for x in told]
+        out, told = redraw(gray, gray, height, edits)
+        bars = [dict(zip(("x0", "y0", "x1", "y1", "valid"), (*x[0], x[1]), strict=True)) for x in told if x is not None]
+        yield gray.shape[1], gray.shape[0], out.tobytes(), bars
 
     return pages_to_rows(pages, keys, drawn, REDRAWN, [line_height, numbers])
 
 
+def scramble(scan: np.ndarray, page: np.ndarray, height: int, seed: int, spared: list[Box], held: list[Box]) -> tuple[np.ndarray, int]:
+    """``page`` with bars that encode nothing over every barcode of ``scan`` that meets none of ``spared``, and their number."""
+    out, n = page.copy(), 0
+    for box in barcodes_of(scan, height):
+        if any(overlap(box, x) for x in spared):
+            continue
+        a, b, c, d = full_extent(scan, box, height)
+        level, fresh = paper(scan[b:d, a:c]), out.copy()
+        paint_over(fresh, full_extent(scan, box, height // 2), held, level)
+        draw_bars(fresh, box, pattern([seed, box[0], box[1]], box[2] - box[0]), level)
+        for x0, y0, x1, y1 in held:
+            fresh[y0:y1, x0:x1] = out[y0:y1, x0:x1]
+        out, n = fresh, n + 1
+    return out, n
+
+
 def scrambled(pages: DataFrame, keys: list[str], seed: int, line_height: str = "line_height", done: str | None = None, keep: str | None = None, scan: str | None = None) -> DataFrame:
     """``pages``' (*keys, width, height, gray, n_barcodes) with bars that encode nothing in place of every barcode.
 
@@ -301,18 +325,7 @@ def scrambled(pages: DataFrame, keys: list[str], seed: int, line_height: str = "
     def changed(gray: np.ndarray, height: int, *more: object) -> Iterator[tuple]:
         told = dict(zip([x for x in (done, keep, scan) if x], more, strict=True))
         old = gray if scan is None else np.frombuffer(told[scan], np.uint8).reshape(gray.shape)
-        spared, held = _boxes(told.get(done)), _boxes(told.get(keep))
-        out, n = gray.copy(), 0
-        for box in barcodes_of(old, height):
-            if any(overlap(box, x) for x in spared):
-                continue
-            a, b, c, d = full_extent(old, box, height)
-            level, fresh = paper(old[b:d, a:c]), out.copy()
-            paint_over(fresh, full_extent(old, box, height // 2), held, level)
-            draw_bars(fresh, box, pattern([seed, box[0], box[1]], box[2] - box[0]), level)
-            for x0, y0, x1, y1 in held:
-                fresh[y0:y1, x0:x1] = out[y0:y1, x0:x1]
-            out, n = fresh, n + 1
+        out, n = scramble(old, gray, height, seed, _boxes(told.get(done)), _boxes(told.get(keep)))
         yield gray.shape[1], gray.shape[0], out.tobytes(), n
 
     return pages_to_rows(pages, keys, changed, "width int, height int, gray binary, n_barcodes int", [line_height, *[x for x in (done, keep, scan) if x]])
