@@ -13,7 +13,7 @@ from maskwright.functions import boxes as B
 from maskwright.functions import text as T
 from maskwright.operators import candidates as C
 from maskwright.operators import leak, location, matching, pixels, reading, replace, values, votes
-from maskwright.plans import copies, report
+from maskwright.plans import analysis, copies, finished, report
 from maskwright.plans.deidentify import deidentified
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -576,6 +576,77 @@ def places_by_pixels(spark, sf_dir):
     return found.select("p_partkey", "value", "printed", "box.x0", "box.y0", "box.x1", "box.y1", "next_x")
 
 
+@query(f"""
+WITH o AS (SELECT c_nationkey AS doc, CAST(c_custkey % 10 AS INT) AS page, c_custkey AS pos, c_mktsegment AS owner FROM customer),
+r AS (SELECT doc, owner, row_number() OVER (PARTITION BY doc ORDER BY min((page, pos))) - 1 AS rank FROM o GROUP BY doc, owner),
+s AS (SELECT unnest([5, 6]) AS seed),
+i AS (SELECT doc, seed, owner, {_POOLS['first']}[{_HASH.format("doc, seed, owner, 'first'")} % 12 + 1] || ' ' || {_POOLS['last']}[({_HASH.format("doc, seed, 'last'")} + rank) % 10 + 1] AS name FROM r, s),
+p AS (SELECT doc, page, count(*) AS n, bool_or(pos % 7 = 0) AS leaked FROM o GROUP BY doc, page)
+SELECT doc, seed, page, pos, i.owner, name AS new, pos % 3 > 0 AS located, CAST(pos % 3 AS INT) AS n_places, pos % 3 > 0 AND pos % 5 > 0 AS read_back_ok,
+  CAST(n AS INT) AS barcodes_scrambled, CASE WHEN leaked THEN 'person' ELSE '' END AS leaked_types, NOT leaked AS passed
+FROM o JOIN i USING (doc, owner) JOIN p USING (doc, page)
+""")
+def page_keys(spark, sf_dir):
+    """The page keys of two copies of customers' names: places read back, and pages on which old numbers are still to be read."""
+    key = F.col("c_custkey")
+    own = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("doc"), (key % 10).cast("int").alias("page"), key.alias("pos"), F.col("c_mktsegment").alias("owner"), F.lit("person").alias("type"), F.concat(F.lit("Mr "), "c_name").alias("text")
+    )
+    many = F.when(F.col("pos") % 3 > 0, F.sequence(F.lit(1), (F.col("pos") % 3).cast("int")))
+    places = own.select("doc", "page", "pos", F.explode(many).alias("place"), F.lit("exact").alias("how"), F.col("text").alias("printed"), F.lit(None).cast("int").alias("words"))
+    changed = reading.once(copies.copies(own, places, ["doc"], 2, 5))
+    seeds = F.explode(F.array(F.lit(5), F.lit(6))).alias("seed")
+    box = B.box(F.lit(0), F.col("place") * 20, F.lit(90), F.col("place") * 20 + 10)
+    spots = places.select("doc", seeds, "page", "pos", "place", box.alias("box"), (F.col("pos") % 5 > 0).alias("read_back_ok"), F.lit(None).cast(analysis.BOX).alias("barcode"), F.lit(None).cast("boolean").alias("barcode_valid"))
+    # What a reader would say of a finished page: every seventh number stands there as it was.
+    said = F.concat(F.lit("No "), F.when(F.col("pos") % 7 == 0, F.regexp_extract("text", "[0-9]+", 0)).otherwise("-"))
+    pages = own.groupBy("doc", "page").agg(F.array_join(F.array_sort(F.collect_list(said)), " ").alias("text"), F.count(F.lit(1)).cast("int").alias("barcodes_scrambled"))
+    pages = pages.select("doc", seeds, "page", "barcodes_scrambled", "text", F.lit("").alias("context"))
+    keys = finished.page_keys(changed, spots, pages, own.select("doc", "page", "type", "text"), ["doc"])
+    rows = keys.select("doc", "seed", "page", F.inline("changes"), "barcodes_scrambled", "leak_check")
+    return rows.select(
+        "doc", "seed", "page", "pos", "owner", "new", "located", F.size("places").alias("n_places"), "read_back_ok", "barcodes_scrambled",
+        F.array_join("leak_check.leaked_types", ", ").alias("leaked_types"), "leak_check.passed",
+    )
+
+
+@query("""
+WITH w AS (SELECT item_id, text, split_part(text, ' ', 1) AS a, split_part(text, ' ', -1) AS z FROM benchmark)
+SELECT item_id, replace(replace(text, a, ' '), z, ' ') AS context FROM w
+""")
+def contexts(spark, sf_dir):
+    """What is left of benchmark items without their first word and, after that, without their last."""
+    own = table(spark, sf_dir, "benchmark").select("item_id", "text", F.split("text", " ").alias("w"))
+    values = own.select("item_id", F.lit(0).alias("pos"), F.element_at("w", 1).alias("text"))
+    places = own.select("item_id", F.lit(1).alias("pos"), F.lit(0).alias("place"), F.element_at("w", -1).alias("printed"))
+    return finished.context(own.select("item_id", "text"), values, places, ["item_id"])
+
+
+@query("""
+SELECT c_custkey, pos, CASE pos WHEN 0 THEN 'person' ELSE 'phone' END AS type, CASE pos WHEN 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR) END AS text, CASE pos WHEN 0 THEN 'exact' ELSE 'pixels' END AS how,
+  CAST(c_custkey % 50 AS INT) AS x0, CAST(c_custkey % 50 + 9 AS INT) AS x1, CASE pos WHEN 0 THEN CAST(c_custkey % 50 + 12 AS INT) END AS next_x FROM customer, (SELECT unnest([0, 1]) AS pos)
+""")
+def analyses_read(spark, sf_dir):
+    """Analyses of pages written as JSON and read again with all checks, a row for each place."""
+    key = F.col("c_custkey")
+    x = (key % 50).cast("int")
+    box = B.box(x, F.lit(5), x + 9, F.lit(15))
+    value = lambda n, kind, text: F.struct(F.lit(n).alias("pos"), F.lit("x").alias("owner"), F.lit(kind).alias("type"), text.alias("text"), box.alias("hint"))
+
+    def place(n, how, text, next_x):
+        words = F.lit(None).cast("struct<first:int,last:int>")
+        fields = (F.lit(n).alias("pos"), F.lit(0).alias("place"), F.lit(how).alias("how"), text.alias("printed"), F.lit("").alias("before"), F.lit("").alias("after"))
+        return F.struct(*fields, words.alias("words"), box.alias("line_box"), box.alias("run_box"), next_x.cast("int").alias("next_x"))
+
+    name, number = F.col("c_name"), key.cast("string")
+    values_ = F.array(value(0, "person", name), value(1, "phone", number)).cast(analysis.VALUES)
+    places = F.array(place(0, "exact", name, x + 12), place(1, "pixels", number, F.lit(None))).cast(analysis.PLACES)
+    back = table(spark, sf_dir, "customer").select("c_custkey", analysis.from_text(analysis.to_text(values_, places)).alias("x"))
+    spots = back.select("c_custkey", "x.values", F.inline("x.places"))
+    own = F.get("values", F.col("pos"))
+    return spots.select("c_custkey", "pos", own["type"].alias("type"), own["text"].alias("text"), "how", "run_box.x0", "run_box.x1", "next_x")
+
+
 @query("""
 WITH t AS (SELECT l_suppkey, l_returnflag || l_linestatus AS option, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, min(l_linenumber) AS place FROM lineitem GROUP BY ALL)
 SELECT l_suppkey, option, total FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY total DESC, place, option) AS n FROM t) WHERE n = 1
