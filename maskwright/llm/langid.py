@@ -235,8 +235,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     language was learned. Ties go to the first language by name. Empty tables stay empty; other
     columns stay as they are, unless they have the names of these three.
     """
-    told = _told(docs, model)
-    return told.withColumns({x: F.col(f"__told.{x}") for x in _OUT.names}).drop("__told")
+    kept = [F.col("row").getField(x).alias(x) for x in docs.columns if x.lower() not in _OUT.names]
+    return _told(docs, model).select(*kept, "told.*")
 
 
 def _told(docs: DataFrame, model: Model) -> DataFrame:
@@ -247,7 +247,8 @@ def _told(docs: DataFrame, model: Model) -> DataFrame:
         for batch in texts:
             yield pd.DataFrame(shared.value.predict(batch.tolist()), columns=_OUT.names)
 
-    return docs.withColumn("__told", code(F.col("text")))
+    # Rows travel as one struct, so no column of theirs can have the name of one made here.
+    return docs.select(F.struct(*docs.columns).alias("row"), code(F.col("text")).alias("told"))
 
 
 def accept(docs: DataFrame, model: Model) -> DataFrame:
@@ -256,5 +257,5 @@ def accept(docs: DataFrame, model: Model) -> DataFrame:
     Rejected are texts without a letter and texts for which even the best tree needs eight bits a
     byte or more, no fewer than no model at all.
     """
-    fits = (F.col("__told.lang_pred") != UNKNOWN) & (F.col("__told.bits_per_byte") < 8.0)
-    return _told(docs, model).where(fits).drop("__told")
+    fits = (F.col("told.lang_pred") != UNKNOWN) & (F.col("told.bits_per_byte") < 8.0)
+    return _told(docs, model).where(fits).select("row.*")

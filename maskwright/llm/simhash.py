@@ -134,16 +134,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: that of the smallest id, nulls last.
 
     Rows that repeat the kept id are settled by their content, and of rows equal in every column
-    one stays. The columns are those of ``docs``.
+    one stays. Columns that hold maps are compared as they are written in JSON. The columns are
+    those of ``docs``.
     """
-    columns = docs.columns
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*columns).alias("h"))
+    plain = [F.to_json(F.struct(f.name)).alias(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema]
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*plain).alias("h"))
     own = cut(docs.select(row.alias("row"), fingerprints("text").alias("fp")))
     nodes = cut(own.groupBy("fp").agg(F.min("row").alias("least")))
     roots = cut(components(links(nodes.select("fp"))))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
     kept = cut(named.groupBy("root").agg(F.min("least").alias("row")).select("row"))
     repeated = own.groupBy("row").count().where("count > 1").join(kept, "row", "left_semi")
-    keyed = docs.withColumn("__row", row)
-    out = keyed.join(kept, F.col("__row") == F.col("row"), "left_semi").drop("__row")
-    return out if repeated.isEmpty() else out.dropDuplicates(columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("all"), F.struct(*plain).alias("plain"), row.alias("mine"))
+    out = keyed.join(kept, F.col("mine") == F.col("row"), "left_semi")
+    return (out if repeated.isEmpty() else out.dropDuplicates(["plain"])).select("all.*")

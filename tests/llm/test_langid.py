@@ -90,3 +90,12 @@ def test_empty_tables(spark):
     assert model.languages == [] and langid.predict(docs, model).count() == 0
     one = spark.createDataFrame([(1, "text", None, "s")], SCHEMA)
     assert langid.predict(one, model).first().lang_pred == "und"
+
+
+def test_any_names_of_columns(spark):
+    docs = spark.sql("select 2L as doc_id, 'some words' as text, 'en' as lang, 7 as __told, 8 as told, 9 as row, 'old' as score, map('a', 1) as m")
+    model = langid.train(docs)
+    got = langid.predict(docs, model)
+    assert got.columns == ["doc_id", "text", "lang", "__told", "told", "row", "m", "lang_pred", "score", "bits_per_byte"]
+    assert (got.first()["__told"], got.first().told, got.first().row, got.first().m) == (7, 8, 9, {"a": 1})
+    assert langid.accept(docs, model).columns == docs.columns

@@ -105,3 +105,13 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(docs).count() == 0
     assert simhash.keep_one(docs).count() == 0
+
+
+def test_any_names_and_map_columns(spark):
+    docs = spark.sql(
+        "select * from values (1L, 'a b c d', map('k', 1), 'x'), (1L, 'a b c d', map('k', 1), 'x'), (1L, 'a b c d', map('k', 2), 'x'),"
+        " (2L, 'other words stand here', null, 'y') as t(doc_id, text, m, __row)"
+    )
+    kept = simhash.keep_one(docs.withColumns({x: docs["__row"] for x in ("row", "all", "plain", "mine")}))
+    assert kept.columns == ["doc_id", "text", "m", "__row", "row", "all", "plain", "mine"]
+    assert sorted((r.doc_id, r["__row"], r.mine) for r in kept.collect()) == [(1, "x", "x"), (2, "y", "y")]
