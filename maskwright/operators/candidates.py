@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,27 +26,60 @@ def _iban_valid(s: Column) -> Column:
     return T.iban_check(F.substring(bare, 1, 2), F.substring(bare, F.lit(5), F.length(bare))) == F.substring(bare, 3, 2)
 
 
-# Patterns and checks of our own: entity, pattern, score, check of a match, what a text must hold.
+def _holds(part: str) -> Callable[[Column], Column]:
+    return lambda text: F.contains(text, F.lit(part))
+
+
+def _like(pattern: str) -> Callable[[Column], Column]:
+    return lambda text: text.rlike(pattern)
+
+
+_DIGITS = _like("[0-9]{2}")
+# The letters that numbers of identity cards and passports are made of, and those that they begin with.
+_SERIAL = "CFGHJKLMNPRTVWXYZ0-9"
+_CARD, _PASSPORT = "LMNPRTVWXYZ", "CFGHJK"
+# Patterns and checks of our own: entity, pattern, score, check of a match, what a text must hold. Numbers of identity cards and
+# passports count with their check digit only, since nine letters and digits alone are too often something else.
 RECOGNIZERS = (
-    ("EMAIL_ADDRESS", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 1.0, None, "@"),
-    ("PHONE_NUMBER", r"\+[0-9][ ().0-9-]{7,20}[0-9]", 0.6, lambda s: F.length(T.digits(s)).between(10, 15), "+"),
-    ("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 1.0, _iban_valid, None),
-    ("CREDIT_CARD", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", 1.0, lambda s: T.luhn_ok(T.digits(s)), None),
-    ("DATE_TIME", r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])", 0.6, None, None),
-    ("DE_TAX_ID", r"(?<![0-9])[1-9][0-9]{10}(?![0-9])", 0.5, T.tax_id_ok, None),
-    ("DE_HEALTH_INSURANCE", r"(?<![A-Za-z0-9])[A-Z][0-9]{9}(?![A-Za-z0-9])", 0.5, T.insurance_id_ok, None),
+    ("EMAIL_ADDRESS", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 1.0, None, _holds("@")),
+    ("PHONE_NUMBER", r"\+[0-9][ ().0-9-]{7,20}[0-9]", 0.6, lambda s: F.length(T.digits(s)).between(10, 15), _holds("+")),
+    ("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 1.0, _iban_valid, _DIGITS),
+    ("CREDIT_CARD", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", 1.0, lambda s: T.luhn_ok(T.digits(s)), _DIGITS),
+    ("DATE_TIME", r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])", 0.6, None, _DIGITS),
+    ("DE_TAX_ID", r"(?<![0-9])[1-9][0-9]{10}(?![0-9])", 0.5, T.tax_id_ok, _DIGITS),
+    ("DE_HEALTH_INSURANCE", r"(?<![A-Za-z0-9])[A-Z][0-9]{9}(?![A-Za-z0-9])", 0.5, T.insurance_id_ok, _DIGITS),
+    ("DE_SOCIAL_SECURITY", r"(?<![A-Za-z0-9])[0-9]{8}[A-Z][0-9]{3}(?![A-Za-z0-9])", 0.5, T.social_id_ok, _like("[0-9]{8}[A-Z][0-9]{3}")),
+    ("DE_ID_CARD", rf"(?<![A-Za-z0-9])[{_CARD}][{_SERIAL}]{{8}}[0-9](?![A-Za-z0-9])", 0.5, T.card_number_ok, _like(f"[{_CARD}][{_SERIAL}]{{8}}[0-9]")),
+    ("DE_PASSPORT", rf"(?<![A-Za-z0-9])[{_PASSPORT}][{_SERIAL}]{{8}}[0-9](?![A-Za-z0-9])", 0.5, T.card_number_ok, _like(f"[{_PASSPORT}][{_SERIAL}]{{8}}[0-9]")),
 )
 
 
-def recognized(text: Column) -> Column:
-    """Spans (start, end, entity, score) of what the recognizers find, by place and then by entity."""
+def recognized(text: Column, wanted: Collection[str] | None = None) -> Column:
+    """Spans (start, end, entity, score) of what the recognizers find, by place and then by entity; of ``wanted`` entities alone, if given."""
     none = F.array().cast(SPANS)
-    parts = []
-    for entity, pattern, score, valid, needs in RECOGNIZERS:
-        found = _spans(text, pattern, entity, score, valid)
-        may = F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9]{2}")
-        parts.append(F.when(may, found).otherwise(none))
-    return F.array_sort(F.concat(*parts))
+    parts = [
+        F.when(may(text), _spans(text, pattern, entity, score, valid)).otherwise(none)
+        for entity, pattern, score, valid, may in RECOGNIZERS
+        if wanted is None or entity in wanted
+    ]
+    return F.array_sort(F.concat(none, *parts))
+
+
+#: Takes texts and gives each one's spans of (start, end, entity, score), for instance by a model of names.
+Analyze = Callable[[list[str]], list[list[tuple[int, int, str, float]]]]
+
+
+def analysed(text: Column, analyze: Analyze) -> Column:
+    """Spans that a callable of the user's finds, asked for a batch of texts at a time; null texts have none."""
+
+    @F.pandas_udf(SPANS)
+    def found(texts: pd.Series) -> pd.Series:
+        own = texts.dropna()
+        told = dict(zip(own.index, analyze(own.tolist()), strict=True)) if len(own) else {}
+        names = ("start", "end", "entity", "score")
+        return pd.Series([[dict(zip(names, span, strict=True)) for span in told.get(i, [])] for i in texts.index])
+
+    return found(text)
 
 
 def _spans(text: Column, pattern: str, entity: str, score: float, valid) -> Column:
@@ -71,9 +107,13 @@ def from_spans(pages: DataFrame, keys: list[str], text: str = "text", spans: str
     return rows.withColumn("__n", first).where("__n = 1").drop("__n").withColumn("score", F.bround("score", 2))
 
 
-def find(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """The candidates of each page's text; blank pages have none."""
-    own = pages.where(F.trim(F.col(text)) != "").select(*keys, F.col(text).alias("text"), recognized(F.col(text)).alias("spans"))
+def find(pages: DataFrame, keys: list[str], text: str = "text", wanted: Collection[str] | None = None, analyze: Analyze | None = None) -> DataFrame:
+    """The candidates of each page's text; blank pages have none and aren't shown to ``analyze``, which adds its spans to the recognizers'."""
+    spans = recognized(F.col(text), wanted)
+    if analyze is not None:
+        more = analysed(F.col(text), analyze)
+        spans = F.array_sort(F.concat(spans, more if wanted is None else F.filter(more, lambda s: s["entity"].isin(*wanted))))
+    own = pages.where(F.trim(F.col(text)) != "").select(*keys, F.col(text).alias("text"), spans.alias("spans"))
     return from_spans(own, keys)
 
 

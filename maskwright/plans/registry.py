@@ -12,9 +12,10 @@ from maskwright.functions import barcode, dates
 from maskwright.functions import boxes as B
 from maskwright.functions import text as T
 from maskwright.operators import candidates as C
-from maskwright.operators import leak, location, matching, pixels, reading, replace, values, votes
+from maskwright.operators import leak, location, matching, measures, pixels, reading, replace, values, votes
 from maskwright.plans import analysis, copies, finished, report
 from maskwright.plans.deidentify import deidentified
+from maskwright.sources import pages as S
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -67,8 +68,8 @@ WITH m AS (
 """)
 def candidate_emails(spark, sf_dir):
     """E-mail candidates with their counts, from the recognizers' spans."""
-    spans = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(C.recognized(F.col("text"))).alias("s"))
-    found = spans.where("s.entity = 'EMAIL_ADDRESS'").select("doc_id", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("text"))
+    spans = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(C.recognized(F.col("text"), ["EMAIL_ADDRESS"])).alias("s"))
+    found = spans.select("doc_id", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("text"))
     return found.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -84,8 +85,8 @@ WITH e AS (
 def candidates_by_language(spark, sf_dir):
     """Distinct e-mail and phone candidates of each document, by language."""
     docs = table(spark, sf_dir, "documents")
-    found = C.find(docs.select("doc_id", "lang", "text"), ["doc_id", "lang"])
-    return found.where(F.col("entity").isin("EMAIL_ADDRESS", "PHONE_NUMBER")).groupBy("lang", "entity").agg(F.count(F.lit(1)).alias("n"))
+    found = C.find(docs.select("doc_id", "lang", "text"), ["doc_id", "lang"], wanted=["EMAIL_ADDRESS", "PHONE_NUMBER"])
+    return found.groupBy("lang", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
 _FOUND_SQL = """
@@ -99,7 +100,7 @@ WITH f AS (
 
 
 def _covering(spark, sf_dir, join):
-    found = C.find(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]).where("entity = 'EMAIL_ADDRESS'")
+    found = C.find(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], wanted=["EMAIL_ADDRESS"])
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     known = found.join(good, "doc_id").select("doc_id", F.substring_index("text", "@", 1).alias("text"))
     return join(found, known, ["doc_id"]).select("doc_id", "text")
@@ -657,6 +658,113 @@ def styles_voted(spark, sf_dir):
     return votes.winner(own, ["l_suppkey"])
 
 
+# -- sources --------------------------------------------------------------------------------------
+
+# Words of raw pages, eight to a line, on a grid in points.
+_GRID = "SELECT page_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM (SELECT page_id, regexp_extract_all(html, '[^\\x00-\\x20]+') AS w FROM pages)"
+_SCALE = 150 / 72
+
+
+@query(f"""
+WITH g AS ({_GRID}), b AS (SELECT page_id, i // 8 AS row, i, t, 72 + 40 * (i % 8) AS x, 40 + 12 * (i // 8) AS y FROM g)
+SELECT page_id, CAST(row AS INT) AS line, string_agg(t, ' ' ORDER BY i) AS text, CAST(trunc(min(x) * CAST({_SCALE} AS DOUBLE)) AS INT) AS x0, CAST(trunc(min(y) * CAST({_SCALE} AS DOUBLE)) AS INT) AS y0,
+  CAST(round_even((max(x) + 30.5) * CAST({_SCALE} AS DOUBLE), 0) AS INT) AS x1, CAST(round_even((max(y) + 10.25) * CAST({_SCALE} AS DOUBLE), 0) AS INT) AS y1 FROM b GROUP BY page_id, row
+""")
+def text_layers(spark, sf_dir):
+    """Lines of the text layers that the words of raw pages make, written as XHTML with their boxes and read again."""
+    words = F.regexp_extract_all("html", F.lit(r"[^\x00-\x20]+"), F.lit(0))
+    safe = F.expr("""transform(w, t -> replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))""")
+    rows = F.expr("""transform(sequence(0, int((size(s) - 1) div 8)), r -> concat('<line>\n', array_join(transform(slice(s, r * 8 + 1, 8), (t, k) -> concat(
+      '<word xMin="', 72 + 40 * k, '" yMin="', 40 + 12 * r, '" xMax="', 102 + 40 * k, '.5" yMax="', 50 + 12 * r, '.25">', t, '</word>')), '\n'), '</line>'))""")
+    own = table(spark, sf_dir, "pages").select("page_id", words.alias("w")).where("size(w) > 0").select("page_id", safe.alias("s"))
+    layers = own.select("page_id", F.concat(F.lit("<page>"), F.array_join(rows, "\n"), F.lit("</page>")).alias("xml"))
+    found = S.text_layer(layers, ["page_id"])
+    return found.select("page_id", "line", F.array_join("words", " ").alias("text"), "box.x0", "box.y0", "box.x1", "box.y1")
+
+
+# A recognizer's table of the same words, six to a row, each third one joined to the next by a bar, blanks wider in the middle.
+_TABLE = f"""SELECT page_id, n // 6 AS row, n % 6 AS k, text, 10 + 100 * (n % 6) + CASE WHEN n % 6 > 2 THEN 60 ELSE 0 END AS x, 10 + 20 * (n // 6) AS y FROM (
+  SELECT page_id, i // 3 * 2 + CASE WHEN i % 3 = 2 THEN 1 ELSE 0 END AS n, string_agg(t, '|' ORDER BY i) AS text FROM ({_GRID}) GROUP BY ALL)"""
+_READ = f"""
+WITH r AS ({_TABLE}), p AS (SELECT *, string_split(text, '|') AS s FROM r),
+q AS (SELECT *, unnest(s) AS part, unnest(range(len(s))) AS j FROM p),
+o AS (SELECT *, coalesce(sum(length(part) + 1) OVER (PARTITION BY page_id, row, k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, trim(part, '|[]\\{{}}') AS clean FROM q),
+w AS (SELECT page_id, row, clean AS t, x + CAST(floor(90 * before / CAST(length(text) AS DOUBLE)) AS INT) AS x0, x + CAST(floor(90 * (before + length(part)) / CAST(length(text) AS DOUBLE)) AS INT) AS x1, y FROM o WHERE clean <> ''),
+c AS (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY page_id, row ORDER BY x0, x1, t) > 36 THEN 1 ELSE 0 END AS cut FROM w),
+g AS (SELECT *, sum(cut) OVER (PARTITION BY page_id, row ORDER BY x0, x1, t ROWS UNBOUNDED PRECEDING) AS part FROM c),
+l AS (SELECT page_id, string_agg(t, ' ' ORDER BY x0, x1, t) AS text, min(x0) AS x0, min(y) AS y0, max(x1) AS x1, min(y) + 12 AS y1 FROM g GROUP BY page_id, row, part),
+n AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY y0, x0) - 1 AS INT) AS line, text, CAST(x0 AS INT) AS x0, CAST(y0 AS INT) AS y0, CAST(x1 AS INT) AS x1, CAST(y1 AS INT) AS y1 FROM l)
+"""
+
+
+def _recognized_lines(spark, sf_dir):
+    words = F.posexplode(F.regexp_extract_all("html", F.lit(r"[^\x00-\x20]+"), F.lit(0)))
+    grid = table(spark, sf_dir, "pages").select("page_id", words.alias("i", "t"))
+    grid = grid.withColumn("n", F.expr("i div 3 * 2 + if(i % 3 = 2, 1, 0)")).groupBy("page_id", "n").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("w"))
+    row = F.array_join(F.transform("w", lambda x: x["t"]), "|").alias("text")
+    place = ("int(n div 6) as line_num", "int(10 + 100 * (n % 6) + if(n % 6 > 2, 60, 0)) as left", "int(10 + 20 * (n div 6)) as top")
+    read = grid.select("page_id", F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), *map(F.expr, place), F.lit(90).alias("width"), F.lit(12).alias("height"), row)
+    return S.group_lines(S.words(read, ["page_id"]), ["page_id"])
+
+
+@query(_READ + "SELECT * FROM n")
+def recognizer_lines(spark, sf_dir):
+    """Lines grouped from a recognizer's table of the words of raw pages: cells parted at bars, rows at wide blanks."""
+    return _recognized_lines(spark, sf_dir).select("page_id", "line", F.array_join("words", " ").alias("text"), "box.x0", "box.y0", "box.x1", "box.y1")
+
+
+@query(_READ + "SELECT page_id, md5(string_agg(text, chr(10) ORDER BY line)) AS digest, count(*) AS n_lines FROM n GROUP BY page_id")
+def page_texts(spark, sf_dir):
+    """The text of each page, as its grouped lines make it."""
+    text = S.page_text(_recognized_lines(spark, sf_dir), ["page_id"])
+    return text.select("page_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
+@query("""
+SELECT l_orderkey AS doc, l_linenumber % 3 + 1 AS page FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL HAVING count(*) = 1
+""")
+def scanned_pages(spark, sf_dir):
+    """Pages with one image in listings of documents' images."""
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat_ws("  ", F.lit(" "), F.col("l_linenumber") % 3 + 1, F.lit("0"), F.when(F.col("l_returnflag") == "N", "smask").otherwise("image"), F.lit("1653 2339")).alias("row"))
+    listing = F.concat(F.lit("page num type width height\n----\n"), F.array_join(F.array_sort(F.collect_list("row")), "\n"))
+    return S.scanned_pages(own.groupBy(F.col("l_orderkey").alias("doc")).agg(listing.alias("listing")), ["doc"])
+
+
+# -- measures -------------------------------------------------------------------------------------
+
+
+@query("""
+WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS INT)) AS l FROM documents WHERE text <> ''),
+s AS (SELECT doc_id, list_sort(l) AS l, len(l) AS n FROM b), p AS (SELECT *, l[least(n - 1, CAST(floor(n * CAST(0.9 AS DOUBLE)) AS BIGINT)) + 1] AS paper, l[n // 20 + 1] AS dark, l[least(n - 1, n * 9 // 10) + 1] AS light FROM s),
+d AS (SELECT *, list_sort(list_transform(list_filter(l, lambda v: v >= paper - 30), lambda v: abs(v - paper))) AS d, list_filter(l, lambda v: v < paper - 70) AS ink FROM p)
+SELECT doc_id, paper, CAST(1.4826 AS DOUBLE) * d[len(d) // 2 + 1] AS noise, CASE WHEN light - dark > 40 THEN (dark + light) // 2 ELSE dark - 1 END AS shape_cut,
+  CASE WHEN len(ink) = 0 THEN 15 ELSE CAST(list_sum(ink[1 : greatest(1, len(ink) // 3)]) // greatest(1, len(ink) // 3) AS INT) END AS ink FROM d
+""")
+def level_statistics(spark, sf_dir):
+    """Paper, grain, shape cut and ink of the bytes of whole texts, taken as gray levels: order statistics of one count of levels each."""
+    gray = F.encode("text", "UTF-8")
+    own = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.octet_length("text").alias("width"), F.lit(1).alias("height"), gray.alias("gray"))
+    return measures.level_statistics(own, ["doc_id"])
+
+
+@query("""
+SELECT p_partkey AS page, 'v' AS value, 20 AS x0, 14 AS y0, CAST(20 + p_size AS INT) AS x1, 22 AS y1, 170 AS cut, 240 AS paper, CAST(0 AS DOUBLE) AS noise, 0 AS ink, CASE WHEN p_size > 1 THEN 120 ELSE -1 END AS shape_cut, CASE WHEN p_size > 1 THEN 8 ELSE 0 END AS body,
+  CAST(30 + p_size + p_partkey % 7 AS INT) AS "right", CAST(p_partkey % 5 + 2 AS INT) AS above, 12 AS below FROM part
+""")
+def ink_measures(spark, sf_dir):
+    """Measures of a value on drawn pages: a cell line through it, another word to its right and one above it."""
+    value = "20 + p_size"
+    right = f"{value} + 10 + p_partkey % 7"
+    gap = "(p_partkey % 5 + 3)"
+    row = lambda *runs: _row(200, *runs)
+    ink = row(("20", "20 + p_size - p_size div 2"), (right, f"{right} + 5"))
+    drawn = [(row(), f"(13 - {gap})"), (row(("20", "21")), 1), (row(), gap), (ink, 8), (row(), 30)]
+    box = f"named_struct('x0', 20, 'y0', 12, 'x1', int({value}), 'y1', 24)"
+    values = F.expr(f"array(named_struct('value', 'v', 'line', {box}, 'run', {box}))").alias("values")
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.lit(200).alias("width"), F.lit(52).alias("height"), _drawn(drawn).alias("gray"), values)
+    return measures.measured(own, ["page"])
+
+
 # -- reports --------------------------------------------------------------------------------------
 
 
@@ -687,3 +795,57 @@ def evaluation(spark, sf_dir):
     leaked = F.when(F.bool_or(F.col("l_returnflag") == "R"), F.array(F.lit("id"))).otherwise(F.array().cast("array<string>"))
     pages = own.groupBy("set", "doc", "page").agg(F.count(F.lit(1)).alias("barcodes_scrambled"), leaked.alias("leaked_types"))
     return report.evaluation(own.drop("l_returnflag"), pages)
+
+
+_CHANGES = "SELECT ['real', 'sim', 'digital', 'other'][l_suppkey % 4 + 1] AS set, l_orderkey % 50 AS doc, l_suppkey % 3 AS copy, l_linenumber AS page, l_returnflag AS type, l_linestatus AS owner, 'v' || (l_partkey % 100) || '&' AS new, l_quantity > 10 AS located, CASE WHEN l_quantity > 20 THEN 1 ELSE 0 END AS places, l_quantity > 25 AS read_back_ok FROM {0}"
+
+
+def _changes(spark, sf_dir):
+    """Public changes of copies, made of line items."""
+    kind = F.get(F.array(*map(F.lit, ("real", "sim", "digital", "other"))), (F.col("l_suppkey") % 4).cast("int"))
+    return table(spark, sf_dir, "lineitem").select(
+        kind.alias("set"), (F.col("l_orderkey") % 50).alias("doc"), (F.col("l_suppkey") % 3).alias("copy"), F.col("l_linenumber").alias("page"), F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("owner"),
+        F.concat(F.lit("v"), F.col("l_partkey") % 100, F.lit("&")).alias("new"), (F.col("l_quantity") > 10).alias("located"), F.when(F.col("l_quantity") > 20, 1).otherwise(0).alias("places"), (F.col("l_quantity") > 25).alias("read_back_ok"),
+    )
+
+
+def _page_verdicts(changed, keys):
+    leaked = F.when(F.bool_or(F.col("type") == "R"), F.array(F.lit("id"))).otherwise(F.array().cast("array<string>"))
+    return changed.groupBy(*keys).agg((F.count(F.lit(1)) % 3).alias("barcodes_scrambled"), leaked.alias("leaked_types"))
+
+
+@query(f"""
+WITH c AS (SELECT * FROM ({_CHANGES.format('lineitem')}) WHERE copy = 1 AND set <> 'other'),
+p AS (SELECT set, doc, page, count(*) % 3 AS bars, bool_or(type = 'R') AS leaked FROM c GROUP BY ALL),
+q AS (SELECT set, doc, count(*) AS n_pages, CAST(sum(bars) AS BIGINT) AS n_bars, CASE WHEN bool_or(leaked) THEN 'failed: id' ELSE 'passed' END AS verdict FROM p GROUP BY ALL),
+v AS (SELECT set, doc, count(*) AS a, count(*) FILTER (located) AS b, count(*) FILTER (places > 0) AS c, count(*) FILTER (places > 0 AND read_back_ok) AS d FROM c GROUP BY ALL)
+SELECT CAST(list_position(['real', 'sim', 'digital'], set) AS INT) AS place, set, doc, '| ' || concat_ws(' | ', set, doc, n_pages, a, b, c, d, n_bars, verdict) || ' |' AS row FROM q JOIN v USING (set, doc)
+""")
+def evaluation_table(spark, sf_dir):
+    """The evaluation of first copies as lines of a table, sets in their order."""
+    changed = _changes(spark, sf_dir)
+    return report.evaluation_table(changed, _page_verdicts(changed, ["set", "doc", "copy", "page"]))
+
+
+@query(f"""
+SELECT CAST(grouping(set) + grouping(doc) + grouping(type) AS INT) AS level, set, doc, type, count(*) AS n_values, count(*) FILTER (located) AS n_located, count(*) FILTER (located AND read_back_ok) AS n_read_back
+FROM ({_CHANGES.format('lineitem')}) GROUP BY GROUPING SETS ((set, doc, type), (set, doc), (set), ())
+""")
+def change_totals(spark, sf_dir):
+    """Counts of changes by type in each document, by document, by set and over all."""
+    return report.totals(_changes(spark, sf_dir))
+
+
+@query(f"""
+WITH c AS ({_CHANGES.format('lineitem')}), p AS (SELECT doc, copy, page, count(*) % 3 AS bars, count(*) AS n, count(*) FILTER (read_back_ok) AS ok, bool_or(type = 'R') AS leaked,
+  string_agg('<tr><td>' || type || ' (' || owner || ')<td>' || replace(new, '&', '&amp;') || '<td>' || CASE WHEN NOT located THEN 'not located' WHEN read_back_ok THEN 'yes' ELSE 'no' END || '</tr>', ''
+    ORDER BY type, owner, new, CASE WHEN NOT located THEN 'not located' WHEN read_back_ok THEN 'yes' ELSE 'no' END) AS body FROM c GROUP BY ALL),
+t AS (SELECT *, 'copy-' || copy || ': ' || ok || '/' || n || ' values replaced and read back' || CASE WHEN bars > 0 THEN ', ' || bars || ' barcodes scrambled' ELSE '' END AS title FROM p)
+SELECT doc, page, list(title ORDER BY copy) AS titles, md5('<div>' || string_agg('<figure><figcaption>' || title || '</figcaption><p>Leak check ' || CASE WHEN leaked THEN 'failed for: id' ELSE 'passed' END || '</p><table>' || body || '</table></figure>', '' ORDER BY copy) || '</div>') AS digest
+FROM t GROUP BY doc, page
+""")
+def page_rows(spark, sf_dir):
+    """A page's copies side by side, as a person looks at them."""
+    changed = _changes(spark, sf_dir)
+    rows = report.page_rows(changed, _page_verdicts(changed, ["doc", "copy", "page"]))
+    return rows.select("doc", "page", "titles", F.md5(F.encode("html", "UTF-8")).alias("digest"))

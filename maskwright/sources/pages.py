@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -67,11 +70,11 @@ def text_layer(layers: DataFrame, keys: list[str], xml: str = "xml", scale: floa
     Boxes go from points to pixels; empty words and lines without words are left out.
     """
     flat = F.regexp_replace(xml, r"[\r\n]+", " ")
-    pages = layers.select(*keys, F.posexplode(F.regexp_extract_all(flat, F.lit("<page\\b.*?</page>"), F.lit(0))).alias("p", "page_xml"))
-    lines = pages.select(*keys, (F.col("p") + 1).alias("page"), F.posexplode(F.regexp_extract_all("page_xml", F.lit("<line\\b.*?</line>"), F.lit(0))).alias("l", "line_xml"))
-    found = lines.select(*keys, "page", "l", F.posexplode(F.regexp_extract_all("line_xml", F.lit("<word\\b.*?</word>"), F.lit(0))).alias("k", "word"))
+    pages = layers.select(*keys, F.posexplode(F.regexp_extract_all(flat, F.lit("(?s)<page\\b.*?</page>"), F.lit(0))).alias("p", "page_xml"))
+    lines = pages.select(*keys, (F.col("p") + 1).alias("page"), F.posexplode(F.regexp_extract_all("page_xml", F.lit("(?s)<line\\b.*?</line>"), F.lit(0))).alias("l", "line_xml"))
+    found = lines.select(*keys, "page", "l", F.posexplode(F.regexp_extract_all("line_xml", F.lit("(?s)<word\\b.*?</word>"), F.lit(0))).alias("k", "word"))
     number = lambda name: F.regexp_extract("word", f'{name}="([0-9.eE+-]+)"', 1).cast("double")
-    text = F.regexp_extract("word", ">(.*)</word>", 1)
+    text = F.regexp_extract("word", "(?s)>(.*)</word>", 1)
     for written, meant in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(written), F.lit(meant))
     found = found.select(*keys, "page", "l", "k", F.trim(text).alias("text"), B.scaled(number("xMin"), number("yMin"), number("xMax"), number("yMax"), scale).alias("box"))
@@ -120,6 +123,36 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+PDF_PAGE = "page int, kind string, width int, height int, gray binary, layer string, error string"
+#: Turns a file's bytes into pages of (page, kind, width, height, gray, layer); ``layer`` is XHTML of the words, null for a scan.
+Decoder = Callable[[bytes], Iterable[tuple]]
+
+
+def read_pdfs(spark: SparkSession, path: str, decode: Decoder, tries: int = 2) -> DataFrame:
+    """(path, stem, page, kind, width, height, gray, layer, error): the pages of PDF files, by a decoder of the user's.
+
+    Files are dealt out by Spark and decoded where they are read, one at a time; pages come out as the decoder yields them. A
+    file that fails ``tries`` times is one row with its error, without pages of the last try's beginning; other files go on.
+    """
+    names = StructType.fromDDL(PDF_PAGE).names
+
+    def pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at, content in zip(frame["path"], frame["content"], strict=True):
+                for left in reversed(range(tries)):
+                    try:
+                        rows = [(*found, None) for found in decode(bytes(content))]
+                        break
+                    except Exception as error:
+                        if not left:
+                            rows = [(None,) * 6 + (f"{type(error).__name__}: {error}",)]
+                yield pd.DataFrame([(at, *r) for r in rows], columns=["path", *names])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
+    found = files.select("path", "content").mapInPandas(pages, f"path string, {PDF_PAGE}")
+    return found.select("path", stem(F.col("path")).alias("stem"), *names)
+
+
 def stem(path):
     """A file's name without folders and its last suffix."""
     return F.regexp_replace(F.regexp_extract(path, "([^/]+)$", 1), r"(?<=.)\.[^.]*$", "")

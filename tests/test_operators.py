@@ -261,3 +261,25 @@ def test_too_many_copies_are_an_error(spark):
     frame = spark.createDataFrame([("d", 1, 0, "customer", "person", "Ana Lima")], "doc string, page int, pos int, owner string, type string, text string")
     with pytest.raises(ValueError, match="copies"):
         replace.changes(frame, spark.range(replace.COPIES + 1).withColumnRenamed("id", "seed"), ["doc"])
+
+
+def test_german_numbers_with_check_digits(spark):
+    text = "65170839J003 65170839J004 T220001293 T220001294 C01X00T478 xC01X00T478 C01X00T47 (C01X00T478)"
+    frame = spark.createDataFrame([(1, text), (2, None), (3, "")], "n int, text string")
+    found = frame.select("n", F.explode(C.recognized(F.col("text"))).alias("s")).selectExpr("n", "s.start", "s.end", "s.entity").collect()
+    got = [(r.entity, text[r.start : r.end]) for r in found]
+    assert [r.n for r in found] == [1] * 4
+    assert got == [("DE_SOCIAL_SECURITY", "65170839J003"), ("DE_ID_CARD", "T220001293"), ("DE_PASSPORT", "C01X00T478"), ("DE_PASSPORT", "C01X00T478")]
+
+
+def test_wanted_entities_and_a_users_analyzer(spark):
+    def analyze(texts):
+        assert all(t and t.strip() for t in texts)
+        return [[(t.index("Ada"), t.index("Ada") + 3, "PERSON", 0.85)] if "Ada" in t else [] for t in texts]
+
+    pages = spark.createDataFrame([(1, "Ada wrote to a@b.cd on 2024-05-06"), (2, "none"), (3, " "), (4, None)], "page int, text string")
+    rows = lambda **more: sorted((r.page, r.text, r.entity) for r in C.find(pages, ["page"], **more).collect())
+    assert rows(analyze=analyze) == [(1, "2024-05-06", "DATE_TIME"), (1, "Ada", "PERSON"), (1, "a@b.cd", "EMAIL_ADDRESS")]
+    assert rows(analyze=analyze, wanted=["PERSON"]) == [(1, "Ada", "PERSON")]
+    assert rows(wanted=["EMAIL_ADDRESS"]) == [(1, "a@b.cd", "EMAIL_ADDRESS")]
+    assert rows(wanted=[]) == []

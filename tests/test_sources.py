@@ -73,3 +73,18 @@ def test_streams(spark, tmp_path):
     events = events.selectExpr("cast(t as timestamp) t", "text")
     got = {(str(r.start), r.entity, r.n) for r in ingest.candidate_counts(events, "t", "text").collect()}
     assert got == {("2026-01-01 00:00:00", "EMAIL_ADDRESS", 1), ("2026-01-01 00:00:00", "PHONE_NUMBER", 1), ("2026-01-01 00:20:00", "EMAIL_ADDRESS", 1)}
+
+
+def test_pdf_pages_by_a_users_decoder(spark, tmp_path):
+    (tmp_path / "good.pdf").write_bytes(b"2")
+    (tmp_path / "bad.PDF").write_bytes(b"x")
+    (tmp_path / "other.txt").write_bytes(b"1")
+
+    def decode(content):
+        for page in range(1, int(content) + 1):
+            layer = "<page><line><word xMin='1'>a</word></line></page>".replace("'", '"') if page == 1 else None
+            yield page, "text" if layer else "scan", 2, 1, b"\xf0\x00", layer
+
+    got = S.read_pdfs(spark, str(tmp_path), decode).orderBy("stem", "page").collect()
+    assert [(r.stem, r.page, r.kind, r.error is None) for r in got] == [("bad", None, None, False), ("good", 1, "text", True), ("good", 2, "scan", True)]
+    assert got[0].error.startswith("ValueError") and bytes(got[2].gray) == b"\xf0\x00" and got[2].layer is None
