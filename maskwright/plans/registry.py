@@ -698,12 +698,11 @@ n AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY y0,
 
 
 def _recognized_lines(spark, sf_dir):
-    words = F.posexplode(F.regexp_extract_all("html", F.lit(r"[^\x00-\x20]+"), F.lit(0)))
-    grid = table(spark, sf_dir, "pages").select("page_id", words.alias("i", "t"))
-    grid = grid.withColumn("n", F.expr("i div 3 * 2 + if(i % 3 = 2, 1, 0)")).groupBy("page_id", "n").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("w"))
-    row = F.array_join(F.transform("w", lambda x: x["t"]), "|").alias("text")
+    words = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit(r"[^\x00-\x20]+"), F.lit(0)).alias("w")).where("size(w) > 0")
+    cells = F.expr("transform(sequence(0, int(size(w) div 3 * 2 + if(size(w) % 3 > 0, 0, -1))), n -> array_join(slice(w, n div 2 * 3 + 1 + n % 2 * 2, 2 - n % 2), '|'))")
+    grid = words.select("page_id", F.posexplode(cells).alias("n", "text"))
     place = ("int(n div 6) as line_num", "int(10 + 100 * (n % 6) + if(n % 6 > 2, 60, 0)) as left", "int(10 + 20 * (n div 6)) as top")
-    read = grid.select("page_id", F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), *map(F.expr, place), F.lit(90).alias("width"), F.lit(12).alias("height"), row)
+    read = grid.select("page_id", F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), *map(F.expr, place), F.lit(90).alias("width"), F.lit(12).alias("height"), "text")
     return S.group_lines(S.words(read, ["page_id"]), ["page_id"])
 
 

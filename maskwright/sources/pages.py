@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from maskwright.functions import boxes as B
+from maskwright.functions.arrays import once
 
 # What readers make of cell borders, and the suffixes that are read as images.
 JUNK = "|[]\\{}"
@@ -50,6 +51,8 @@ def group_lines(found: DataFrame, keys: list[str], gap_factor: float = 3.0) -> D
     whole = Window.partitionBy(*row)
     tall = F.sort_array(F.collect_list(F.col("box.y1") - F.col("box.y0")).over(whole))
     height = F.greatest(F.lit(1), F.get(tall, F.floor(F.size(tall) / 2).cast("int")))
+    # Dealt out by page once; rows, lines and their order all are within a page.
+    found = found.repartition(*keys)
     cut = F.col("box.x0") - F.lag("box.x1").over(order) > gap_factor * height
     own = found.withColumn("cut", F.coalesce(cut, F.lit(False)).cast("int"))
     own = own.withColumn("part", F.sum("cut").over(order))
@@ -70,22 +73,29 @@ def text_layer(layers: DataFrame, keys: list[str], xml: str = "xml", scale: floa
     Boxes go from points to pixels; empty words and lines without words are left out.
     """
     flat = F.regexp_replace(xml, r"[\r\n]+", " ")
-    pages = layers.select(*keys, F.posexplode(F.regexp_extract_all(flat, F.lit("(?s)<page\\b.*?</page>"), F.lit(0))).alias("p", "page_xml"))
-    lines = pages.select(*keys, (F.col("p") + 1).alias("page"), F.posexplode(F.regexp_extract_all("page_xml", F.lit("(?s)<line\\b.*?</line>"), F.lit(0))).alias("l", "line_xml"))
-    found = lines.select(*keys, "page", "l", F.posexplode(F.regexp_extract_all("line_xml", F.lit("(?s)<word\\b.*?</word>"), F.lit(0))).alias("k", "word"))
-    number = lambda name: F.regexp_extract("word", f'{name}="([0-9.eE+-]+)"', 1).cast("double")
-    text = F.regexp_extract("word", "(?s)>(.*)</word>", 1)
-    for written, meant in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(written), F.lit(meant))
-    found = found.select(*keys, "page", "l", "k", F.trim(text).alias("text"), B.scaled(number("xMin"), number("yMin"), number("xMax"), number("yMax"), scale).alias("box"))
-    rows = found.where("text <> ''").groupBy(*keys, "page", "l").agg(
-        F.array_sort(F.collect_list(F.struct("k", "text", "box"))).alias("w"),
-        B.box(F.min("box.x0"), F.min("box.y0"), F.max("box.x1"), F.max("box.y1")).alias("box"),
-    )
-    place = F.row_number().over(Window.partitionBy(*keys, "page").orderBy("box.y0", "box.x0", "l")) - 1
-    return rows.select(
-        *keys, "page", place.alias("line"), F.transform("w", lambda x: x["text"]).alias("words"), F.transform("w", lambda x: x["box"]).alias("word_boxes"), "box"
-    )
+    parts = lambda text, name: F.regexp_extract_all(text, F.lit(rf"(?s)<{name}\b.*?</{name}>"), F.lit(0))
+
+    def word(w: Column) -> Column:
+        number = lambda name: F.regexp_extract(w, f'{name}="([0-9.eE+-]+)"', 1).cast("double")
+        text = F.regexp_extract(w, "(?s)>(.*)</word>", 1)
+        for written, meant in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            text = F.replace(text, F.lit(written), F.lit(meant))
+        return F.struct(F.trim(text).alias("text"), B.scaled(number("xMin"), number("yMin"), number("xMax"), number("yMax"), scale).alias("box"))
+
+    def line(told: Column, place: Column) -> Column:
+        found = F.filter(F.transform(parts(told, "word"), word), lambda w: w["text"] != "")
+        side = lambda words, name, pick: pick(F.transform(words, lambda w: w["box"][name])).alias(name)
+        edges = (("y0", F.array_min), ("x0", F.array_min), ("x1", F.array_max), ("y1", F.array_max))
+        # In order of the upper left corner, then as they are written.
+        return once(found, lambda w: F.struct(*[side(w, *e) for e in edges[:2]], place.alias("l"), *[side(w, *e) for e in edges[2:]], w.alias("w")))
+
+    # A page is one row from its text to its lines, so nothing is shuffled.
+    pages = layers.select(*keys, F.posexplode(parts(flat, "page")).alias("p", "page_xml"))
+    lines = F.array_sort(F.filter(F.transform(parts(F.col("page_xml"), "line"), line), lambda x: F.size(x["w"]) > 0))
+    rows = pages.select(*keys, (F.col("p") + 1).alias("page"), F.posexplode(lines).alias("line", "t"))
+    texts = F.transform("t.w", lambda x: x["text"]).alias("words")
+    boxes = F.transform("t.w", lambda x: x["box"]).alias("word_boxes")
+    return rows.select(*keys, "page", "line", texts, boxes, B.box(*[F.col(f"t.{x}") for x in B.SIDES]).alias("box"))
 
 
 def scanned_pages(listings: DataFrame, keys: list[str], listing: str = "listing") -> DataFrame:
