@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwright.functions.arrays import once
 from maskwright.functions.text import characters
 
 # Bar and space widths of the symbols 0 to 105 and of the stop pattern (ISO/IEC 15417).
@@ -33,7 +34,8 @@ def symbols(number: Column) -> Column:
     pairs = F.coalesce(pairs, F.array().cast(_INTS))
     odd = F.when(n % 2 == 1, F.array(F.lit(CODE_B), F.ascii(F.substring(number, -1, 1)) - 32)).otherwise(F.array().cast(_INTS))
     body = F.concat(F.array(F.lit(START_C)), pairs, odd)
-    return F.when(number.rlike("^[0-9]+$"), F.concat(body, F.array(_check(body))))
+    whole = once(body, lambda b: F.concat(b, F.array(_check(b))))
+    return F.when(number.rlike("^[0-9]+$"), whole)
 
 
 def _check(body: Column) -> Column:
@@ -50,12 +52,21 @@ def widths(number: Column) -> Column:
 
 def decode(modules: Column) -> Column:
     """The digits of module widths; null unless they are symbols of sets C and B with a right check and stop."""
-    text = F.array_join(F.transform(modules, lambda m: m.cast("string")), "")
+    return once(modules, lambda m: once(F.array_join(F.transform(m, lambda x: x.cast("string")), ""), lambda text: _read(m, text)))
+
+
+def _read(modules: Column, text: Column) -> Column:
+    """The digits of ``modules``, whose widths are written one after another in ``text``."""
     n = F.size(modules)
     known = F.create_map(*[F.lit(x) for k, w in enumerate(WIDTHS) for x in (w, k)])
     count = F.floor((n - 7) / 6).cast("int")
     got = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.element_at(known, F.substring(text, i * 6 + 1, F.lit(6))))
     shaped = (n >= 13) & ((n - 7) % 6 == 0) & (F.length(text) == n) & (F.substring(text, n - 6, F.lit(7)) == STOP)
+    return once(got, lambda found: F.when(shaped, _said(found)))
+
+
+def _said(got: Column) -> Column:
+    """The digits of symbols; null if one is none or the check symbol isn't right."""
     body = F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(0)))
     right = (F.size(got) >= 2) & F.get(got, F.lit(0)).isin(START_B, START_C) & (_check(body) == F.element_at(got, -1))
     begin = F.struct((F.get(got, F.lit(0)) == START_C).alias("c"), F.lit("").alias("out"))
@@ -65,4 +76,4 @@ def decode(modules: Column) -> Column:
         return F.struct((s["c"] & (x != CODE_B)).alias("c"), F.concat(s["out"], said).alias("out"))
 
     read = F.aggregate(F.slice(body, 2, F.greatest(F.size(body) - 1, F.lit(0))), begin, step, lambda s: s["out"])
-    return F.when(shaped & ~F.exists(got, lambda x: x.isNull()) & right, read)
+    return F.when(~F.exists(got, lambda x: x.isNull()) & right, read)

@@ -57,8 +57,13 @@ def matches(text: Column, pattern: str) -> Column:
 
 def characters(s: Column) -> Column:
     """The characters of a text, in an array."""
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.substring(s, i, F.lit(1)))
-    return F.when(F.length(s) > 0, every).when(s.isNotNull(), F.array().cast("array<string>"))
+
+    def every(s: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.substring(s, i, F.lit(1)))
+        return F.when(F.length(s) > 0, cut).when(s.isNotNull(), F.array().cast("array<string>"))
+
+    # What a function of the elements mentions is computed anew for each element.
+    return once(s, every)
 
 
 def norm(s: Column) -> Column:
@@ -227,11 +232,16 @@ def same_shape(old: Column, *seed: Column) -> Column:
     The first digit that changes isn't zero. Each character has two digits of an MD5 hash, so one
     hash is enough for sixteen of them.
     """
-    open_ = rewrite(old, "[Xx]{2,}", lambda m: F.regexp_replace(m, "[Xx]", "*"))
-    first = F.regexp_instr(open_, F.lit("[0-9]"))
+    open_ = F.when(old.rlike("[Xx]{2}"), rewrite(old, "[Xx]{2,}", lambda m: F.regexp_replace(m, "[Xx]", "*"))).otherwise(old)
     digest = lambda k: F.md5(F.concat_ws("\u001f", *[p.cast("string") for p in (*seed, k)]))
     drawn = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(old) / 16).cast("int")), digest), "")
-    return once(drawn, lambda d: F.array_join(F.transform(characters(open_), lambda c, i: _shaped(c, i, d, old, first)), ""))
+    given = F.struct(old.alias("old"), open_.alias("open"), drawn.alias("drawn"))
+
+    def shaped(g: Column) -> Column:
+        first = F.regexp_instr(g["open"], F.lit("[0-9]"))
+        return once(first, lambda n: F.array_join(F.transform(characters(g["open"]), lambda c, i: _shaped(c, i, g["drawn"], g["old"], n)), ""))
+
+    return once(given, shaped)
 
 
 def card_like(old: Column, *seed: Column) -> Column:
