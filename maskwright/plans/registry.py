@@ -472,7 +472,7 @@ def ink_lines(spark, sf_dir):
     x1 = x0 + 20 + F.col("p_size")
     line = F.concat(F.repeat(F.lit("F0"), x0.cast("int")), F.repeat(F.lit("00"), (x1 - x0).cast("int")), F.repeat(F.lit("F0"), (200 - x1).cast("int")))
     gray = F.unhex(F.concat(F.repeat(F.lit("F0"), F.lit(10 * 200)), F.repeat(line, F.lit(8)), F.repeat(F.lit("F0"), F.lit(12 * 200))))
-    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.lit(200).alias("width"), F.lit(30).alias("height"), gray.alias("gray"))
+    pages = dealt(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").alias("page"), F.lit(200).alias("width"), F.lit(30).alias("height"), gray.alias("gray"))
     return pixels.ink_lines(pages, ["page"])
 
 
@@ -531,10 +531,11 @@ def values_erased(spark, sf_dir):
     blank, text, rule = _row(200, line), _row(200, value, beside, line), _row(200, ("0", "200"))
     gray = _drawn([(blank, 10), (text, 8), (blank, 12), (rule, 2), (blank, 8)])
     x1 = F.col("p_size") + 20
-    pages = table(spark, sf_dir, "part").select("p_partkey", F.lit(200).alias("width"), F.lit(40).alias("height"), gray.alias("gray"), F.array(B.box(F.lit(20), F.lit(10), x1, F.lit(18))).alias("boxes"))
+    pages = dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", F.lit(200).alias("width"), F.lit(40).alias("height"), gray.alias("gray"), F.array(B.box(F.lit(20), F.lit(10), x1, F.lit(18))).alias("boxes"))
     dark = lambda c: (F.length(F.hex(c)) / 2 - F.length(F.replace(F.hex(c), F.lit("00"), F.lit(""))) / 2).cast("long")
-    done = pixels.values_erased(pages, ["p_partkey"]).select("p_partkey", dark("gray").alias("kept"))
-    return pages.select("p_partkey", dark("gray").alias("all")).join(done, "p_partkey").select("p_partkey", (F.col("all") - F.col("kept")).alias("gone"), "kept")
+    # What was there before goes along as a key, so no page is drawn or dealt out twice.
+    done = pixels.values_erased(pages.withColumn("all", dark("gray")), ["p_partkey", "all"]).select("p_partkey", "all", dark("gray").alias("kept"))
+    return done.select("p_partkey", (F.col("all") - F.col("kept")).alias("gone"), "kept")
 
 
 @query("""

@@ -25,3 +25,8 @@ def test_barcodes_are_read_from_widths_computed_once(spark):
 
 def test_barcodes_are_dealt_out(spark, sf_dir):
     assert registry.queries()["barcodes"](spark, sf_dir).rdd.getNumPartitions() > 8
+
+
+def test_erased_pages_are_dealt_out_and_drawn_once(spark, sf_dir):
+    done = registry.queries()["values_erased"](spark, sf_dir)
+    assert done.rdd.getNumPartitions() > 8 and "Join" not in done._jdf.queryExecution().optimizedPlan().toString()
