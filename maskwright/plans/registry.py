@@ -545,7 +545,7 @@ def barcodes_redrawn(spark, sf_dir):
     """Bars beside a changed number, redrawn with the new number and read back from their pixels; the number's own are kept."""
     key = F.col("p_partkey")
     old, new = F.lpad(key.cast("string"), 8, "1"), F.lpad((key + 7).cast("string"), 8, "2")
-    own = table(spark, sf_dir, "part").select("p_partkey", barcode.widths(old).alias("w"), barcode.widths(new).alias("modules"))
+    own = dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", barcode.widths(old).alias("w"), barcode.widths(new).alias("modules"))
     bars = F.array_join(F.transform("w", lambda n, i: F.repeat(F.when(i % 2 == 0, "00").otherwise("F0"), 2 * n)), "")
     own = own.withColumn("bars", F.concat(F.repeat(F.lit("F0"), F.lit(20)), bars))
     own = own.withColumn("bars", F.concat("bars", F.repeat(F.lit("F0"), (400 - F.length("bars") / 2).cast("int"))))
@@ -554,13 +554,13 @@ def barcodes_redrawn(spark, sf_dir):
     edit = F.array(F.struct("b.x0", "b.y0", "b.x1", "b.y1", key.alias("seed"), "modules"))
     pages = own.withColumn("gray", _drawn([(_row(400), 10), ("bars", 30), (_row(400), 4), (number, 10), (_row(400), 6)])).select("*", run["b"].alias("b"))
     pages = pages.select("p_partkey", F.lit(400).alias("width"), F.lit(60).alias("height"), F.lit(10).alias("line_height"), "gray", edit.alias("numbers"))
-    done = pixels.redrawn(pages, ["p_partkey"]).withColumn("bar", F.get("bars", F.lit(0)))
+    rows = lambda c: F.substring(F.col(c), 44 * 400 + 1, 10 * 400)
+    # The number's rows as they were go along as a key, so no page is drawn or dealt out twice.
+    done = pixels.redrawn(pages.withColumn("old", rows("gray")), ["p_partkey", "old"]).withColumn("bar", F.get("bars", F.lit(0)))
     line = F.hex(F.substring(F.col("gray"), F.lit(25 * 400 + 1) + F.col("bar.x0"), F.col("bar.x1") - F.col("bar.x0")))
     dark = F.transform(F.regexp_extract_all(line, F.lit(".."), F.lit(0)), lambda x: x == "14")
     back = A.once(F.transform(A.once(dark, A.runs), lambda n: (n / 2).cast("int")), barcode.decode)
-    rows = lambda c: F.substring(F.col(c), 44 * 400 + 1, 10 * 400)
-    both = done.join(pages.select("p_partkey", F.col("gray").alias("old")), "p_partkey")
-    return both.select("p_partkey", back.alias("back"), "bar.valid", (rows("gray") == rows("old")).alias("number_kept"))
+    return done.select("p_partkey", back.alias("back"), "bar.valid", (rows("gray") == F.col("old")).alias("number_kept"))
 
 
 def _counting(images: list) -> list[str]:

@@ -30,3 +30,8 @@ def test_barcodes_are_dealt_out(spark, sf_dir):
 def test_erased_pages_are_dealt_out_and_drawn_once(spark, sf_dir):
     done = registry.queries()["values_erased"](spark, sf_dir)
     assert done.rdd.getNumPartitions() > 8 and "Join" not in done._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_redrawn_barcodes_are_dealt_out_and_drawn_once(spark, sf_dir):
+    done = registry.queries()["barcodes_redrawn"](spark, sf_dir)
+    assert done.rdd.getNumPartitions() > 8 and "Join" not in done._jdf.queryExecution().optimizedPlan().toString()
