@@ -575,7 +575,7 @@ def places_by_pixels(spark, sf_dir):
     """Numbers that no text layer has, placed by the ink of drawn pages with a reader that is passed in."""
     text = _row(200, ("10", "20"), ("30", "35 + p_size % 20"), ("43 + p_size % 20", "55 + p_size % 20"))
     gray = _drawn([(_row(200), 20), (text, 10), (_row(200), 30)])
-    own = table(spark, sf_dir, "part").withColumn("gray", gray)
+    own = dealt(spark, sf_dir, "part", "p_partkey").withColumn("gray", gray)
     pages = own.select("p_partkey", F.lit(200).alias("width"), F.lit(60).alias("height"), F.lit(10).alias("line_height"), "gray")
     wanted = own.select("p_partkey", (F.col("p_size") % 20 + 1000027).cast("string").alias("value"), B.box(F.lit(0), F.lit(0), F.lit(200), F.lit(60)).alias("hint"))
     lines = spark.createDataFrame([], "p_partkey bigint, word_boxes array<struct<x0:int,y0:int,x1:int,y1:int>>")

@@ -35,3 +35,12 @@ def test_erased_pages_are_dealt_out_and_drawn_once(spark, sf_dir):
 def test_redrawn_barcodes_are_dealt_out_and_drawn_once(spark, sf_dir):
     done = registry.queries()["barcodes_redrawn"](spark, sf_dir)
     assert done.rdd.getNumPartitions() > 8 and "Join" not in done._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["places_by_pixels", "ink_measures", "ink_lines", "same_shapes"])
+def test_rows_of_parts_are_dealt_out_before_pages_are_drawn(spark, sf_dir, name, monkeypatch):
+    seen = []
+    keep = registry.dealt
+    monkeypatch.setattr(registry, "dealt", lambda *a: seen.append(a[2:]) or keep(*a))
+    registry.queries()[name](spark, sf_dir)
+    assert seen == [("part", "p_partkey")]
