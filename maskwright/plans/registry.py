@@ -766,7 +766,7 @@ def ink_measures(spark, sf_dir):
     drawn = [(row(), f"(13 - {gap})"), (row(("20", "21")), 1), (row(), gap), (ink, 8), (row(), 30)]
     box = f"named_struct('x0', 20, 'y0', 12, 'x1', int({value}), 'y1', 24)"
     values = F.expr(f"array(named_struct('value', 'v', 'line', {box}, 'run', {box}))").alias("values")
-    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.lit(200).alias("width"), F.lit(52).alias("height"), _drawn(drawn).alias("gray"), values)
+    own = dealt(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").alias("page"), F.lit(200).alias("width"), F.lit(52).alias("height"), _drawn(drawn).alias("gray"), values)
     return measures.measured(own, ["page"])
 
 
