@@ -183,7 +183,7 @@ SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(p_name || ' ' ||
 def same_shapes(spark, sf_dir):
     """The layout of invented codes is the layout of the old."""
     old = F.concat_ws(" ", "p_name", "p_brand")
-    own = table(spark, sf_dir, "part").select("p_partkey", T.same_shape(old, F.col("p_partkey")).alias("new"))
+    own = dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", T.same_shape(old, F.col("p_partkey")).alias("new"))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("new", "[0-9]", "9"), "[A-Z]", "A"), "[a-z]", "a")
     return own.select("p_partkey", shape.alias("shape"), F.length("new").cast("long").alias("n"))
 
