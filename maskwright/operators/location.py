@@ -9,29 +9,69 @@ from maskwright.functions import boxes as B
 from maskwright.functions.text import one_slip, strip_edges
 from maskwright.operators import matching, pixels, reading
 
-#: Side of the grid cells by which boxes of one page are brought together.
-CELL = 256
 SEARCH_LINES = 6
+#: Names of lines with one box that a row holds.
+NAMES = 256
 
 
-def _cells(b: Column) -> Column:
-    column = F.sequence(F.floor(b["x0"] / CELL), F.floor(F.greatest(b["x1"] - 1, b["x0"]) / CELL))
-    row = F.sequence(F.floor(b["y0"] / CELL), F.floor(F.greatest(b["y1"] - 1, b["y0"]) / CELL))
-    return F.flatten(F.transform(column, lambda x: F.transform(row, lambda y: F.struct(x.alias("x"), y.alias("y")))))
+def _steps(least: Column, greatest: Column, side: Column) -> Column:
+    return F.explode(F.sequence(F.floor(least / side), F.floor(F.greatest(greatest - 1, least) / side)))
+
+
+def _sides(*boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, wide, high): the sides of a page's cells, root mean squares of its boxes' sides, so boxes have few cells on the average."""
+    every = boxes[0]
+    for more in boxes[1:]:
+        every = every.union(more)
+    mean = lambda a, b: F.greatest(F.ceil(F.sqrt(F.avg(F.pow((F.col(f"box.{b}") - F.col(f"box.{a}")).cast("double"), F.lit(2))))), F.lit(1))
+    return every.groupBy(*keys).agg(mean("x0", "x1").alias("wide"), mean("y0", "y1").alias("high"))
+
+
+def _dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt out by columns to a number of tasks that doesn't go by its bytes: pairs are many more than rows."""
+    conf = df.sparkSession.conf
+    return df.repartition(max(int(conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism), *columns)
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], least: float = 0.3) -> DataFrame:
     """Pairs of ``left(*keys, a)`` and ``right(*keys, b)`` boxes of a page that overlap, each pair once.
 
-    Boxes meet in grid cells; a pair counts in the first cell that both cover.
+    Boxes meet in grid cells of their usual size; a pair counts in the first cell that both cover.
     """
-    l = left.select("*", F.explode(_cells(F.col("a"))).alias("cell"))
-    r = right.select("*", F.explode(_cells(F.col("b"))).alias("cell"))
-    first = F.struct(
-        F.floor(F.greatest("a.x0", "b.x0") / CELL).alias("x"), F.floor(F.greatest("a.y0", "b.y0") / CELL).alias("y")
-    )
-    both = l.join(r, [*keys, "cell"]).where(F.col("cell") == first).where(B.overlaps(F.col("a"), F.col("b"), least))
-    return both.drop("cell")
+    sides = _sides(left.select(*keys, F.col("a").alias("box")), right.select(*keys, F.col("b").alias("box")), keys=keys)
+
+    def celled(df: DataFrame, b: str) -> DataFrame:
+        own = df.join(sides.withColumnsRenamed({"wide": "__w", "high": "__h"}), keys)
+        own = own.withColumn("__x", _steps(F.col(f"{b}.x0"), F.col(f"{b}.x1"), F.col("__w")))
+        return own.withColumn("__y", _steps(F.col(f"{b}.y0"), F.col(f"{b}.y1"), F.col("__h")))
+
+    cell = [*keys, "__x", "__y"]
+    l, r = _dealt(celled(left, "a"), *cell), _dealt(celled(right, "b").drop("__w", "__h"), *cell)
+    first = (F.col("__x") == F.floor(F.greatest("a.x0", "b.x0") / F.col("__w"))) & (F.col("__y") == F.floor(F.greatest("a.y0", "b.y0") / F.col("__h")))
+    both = l.join(r, cell).where(first & B.overlaps(F.col("a"), F.col("b"), least))
+    return both.drop("__x", "__y", "__w", "__h")
+
+
+def _named(boxes: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(*keys, box, part, names): the boxes of a page once each, with up to ``NAMES`` of their sorted names a row."""
+    n = F.row_number().over(Window.partitionBy(*keys, "box").orderBy(name))
+    own = boxes.select(*keys, name, "box").withColumn("part", F.floor((n - 1) / NAMES))
+    return own.groupBy(*keys, "box", "part").agg(F.array_sort(F.collect_list(name)).alias("names"))
+
+
+def overlapping_pairs(boxes: DataFrame, keys: list[str], name: str = "id", least: float = 0.3) -> DataFrame:
+    """(*keys, a, b): names of ``boxes(*keys, name, box)`` of a page that overlap, the lesser one first.
+
+    Equal boxes are compared once, with all of their names; names are written out in pairs afterwards.
+    """
+    own = _named(boxes, keys, name)
+    one = own.select(*keys, F.col("box").alias("a"), F.col("part").alias("__p"), F.col("names").alias("__i"))
+    two = own.select(*keys, F.col("box").alias("b"), F.col("part").alias("__q"), F.col("names").alias("__j"))
+    order = lambda box, part: F.struct(*[F.col(f"{box}.{n}") for n in B.SIDES], F.col(part).alias("part"))
+    met = overlapping(one, two, keys, least).where(order("a", "__p") <= order("b", "__q"))
+    same = (order("a", "__p") == order("b", "__q")).alias("__same")
+    pairs = met.select(*keys, "__j", same, F.explode("__i").alias("i")).select(*keys, "__same", "i", F.explode("__j").alias("j"))
+    return pairs.where(~F.col("__same") | (F.col("i") < F.col("j"))).where("i <> j").select(*keys, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
 def snap(runs: DataFrame, ink: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,12 +86,34 @@ def snap(runs: DataFrame, ink: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def next_lines(lines: DataFrame, keys: list[str], line_height: int) -> DataFrame:
-    """(*keys, upper, lower): lines that go on in a later line below; a band join on the height of lines."""
-    a = lines.select(*keys, F.col("line").alias("upper"), F.col("box").alias("a"), F.floor(F.col("box.y1") / line_height).alias("band"))
-    b = lines.select(*keys, F.col("line").alias("lower"), F.col("box").alias("b"), F.floor(F.col("box.y0") / line_height).alias("band"))
-    near = a.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    both = near.join(b, [*keys, "band"]).where(F.col("lower") > F.col("upper"))
-    return both.where(B.below(F.col("a"), F.col("b"), line_height)).select(*keys, "upper", "lower").distinct()
+    """(*keys, upper, lower): lines that go on in a later line below; a join on bands of a line's height and columns of a usual width.
+
+    Equal boxes are compared once, with all of their lines.
+    """
+    own = lines.select(*keys, "line", "box").distinct()
+    boxes = F.count(F.lit(1)).over(Window.partitionBy(*keys, "line"))
+    own = own.withColumn("__many", boxes > 1)
+    one, many = own.where("not __many"), own.where("__many")
+    # Only lines that stand in several boxes can meet another line several times.
+    twice = _below(many, own, keys, line_height).union(_below(one, many, keys, line_height)).distinct()
+    return _below(one, one, keys, line_height).union(twice)
+
+
+def _below(upper: DataFrame, lower: DataFrame, keys: list[str], line_height: int) -> DataFrame:
+    """(*keys, upper, lower) of ``upper`` and ``lower(*keys, line, box)``, for each pair of boxes that go on in one another."""
+    a, b = _named(upper, keys, "line"), _named(lower, keys, "line")
+    sides = _sides(upper.select(*keys, "box"), lower.select(*keys, "box"), keys=keys).drop("high")
+    column = lambda c: _steps(F.col(f"{c}.x0"), F.col(f"{c}.x1"), F.col("wide"))
+    band = lambda edge: F.floor(F.col(edge) / line_height)
+    a = a.select(*keys, F.col("box").alias("a"), F.col("names").alias("__i")).join(sides, keys).withColumn("x", column("a"))
+    a = a.withColumn("band", F.explode(F.array(band("a.y1") - 1, band("a.y1"), band("a.y1") + 1)))
+    b = b.select(*keys, F.col("box").alias("b"), F.col("names").alias("__j")).join(sides, keys).withColumn("x", column("b")).drop("wide")
+    cell = [*keys, "x", "band"]
+    both = _dealt(a, *cell).join(_dealt(b.withColumn("band", band("b.y0")), *cell), cell)
+    first = F.col("x") == F.floor(F.greatest("a.x0", "b.x0") / F.col("wide"))
+    met = both.where(first & B.below(F.col("a"), F.col("b"), line_height) & (F.get("__i", F.lit(0)) < F.element_at("__j", -1)))
+    pairs = met.select(*keys, "__j", F.explode("__i").alias("upper")).select(*keys, "upper", F.explode("__j").alias("lower"))
+    return pairs.where("lower > upper")
 
 
 def nearest_blank(cuts: DataFrame, blanks: DataFrame, keys: list[str]) -> DataFrame:

@@ -411,11 +411,7 @@ WITH b AS ({_BOXES}), j AS (
 SELECT page, a, b FROM j WHERE w > 0 AND h > 0 AND w * h >= 0.3 * smaller
 """)
 def overlapping_boxes(spark, sf_dir):
-    boxes = _part_boxes(spark, sf_dir)
-    left = boxes.select("page", F.col("id").alias("i"), F.col("box").alias("a"))
-    right = boxes.select("page", F.col("id").alias("j"), F.col("box").alias("b"))
-    met = location.overlapping(left, right, ["page"]).where("i < j")
-    return met.select("page", F.col("i").alias("a"), F.col("j").alias("b"))
+    return location.overlapping_pairs(_part_boxes(spark, sf_dir), ["page"])
 
 
 @query(f"""
