@@ -33,3 +33,15 @@ def test_equal_boxes_are_compared_once(spark):
     rows = [(0, k, (3, 3, 30, 15)) for k in range(2 * L.NAMES)]
     held = L._named(spark.createDataFrame(rows, SCHEMA.format("id")), ["page"], "id").collect()
     assert sorted((x["part"], len(x["names"])) for x in held) == [(0, L.NAMES), (1, L.NAMES)]
+
+
+def test_next_lines_are_those_of_brute_force_each_once(spark):
+    rows = drawn(150, 2) + [(0, 200, (3, 3, 30, 15)), (0, 200, (3, 40, 30, 52)), (0, 200, (40, 3, 60, 15))] + [(0, 300 + k, (3, 16, 50, 28)) for k in range(L.NAMES + 5)]
+    got = sorted(tuple(x) for x in L.next_lines(spark.createDataFrame(rows, SCHEMA.format("line")), ["page"], 12).collect())
+    below = lambda a, b: -6 <= b[1] - a[3] <= 12 and b[0] < a[2] and a[0] < b[2]
+    assert got == sorted({(p, i, j) for p, i, a in rows for q, j, b in rows if p == q and i < j and below(a, b)})
+
+
+def test_next_lines_of_one_box_are_not_told_apart_as_pairs(spark):
+    found = L.next_lines(spark.createDataFrame(drawn(20), SCHEMA.format("line")), ["page"], 12)
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
