@@ -127,7 +127,7 @@ def nearest_blank(cuts: DataFrame, blanks: DataFrame, keys: list[str]) -> DataFr
 def nearest_lines(values: DataFrame, lines: DataFrame, keys: list[str], most: int = 2 * SEARCH_LINES) -> DataFrame:
     """The ``most`` lines of a page whose centres are nearest to each value's hint.
 
-    Of lines with one centre only the first ``most`` can count. The rest lies in grid cells, sized by
+    Equal hints are looked up once, whatever values have them. Of lines with one centre only the first ``most`` can count. The rest lies in grid cells, sized by
     how close a page's lines are; rings of cells around a hint are widened until enough lines are
     certain, and where they never are, on sparse pages, the whole page is tried.
     """
@@ -141,29 +141,38 @@ def nearest_lines(values: DataFrame, lines: DataFrame, keys: list[str], most: in
     sides = own.groupBy(*keys).agg(F.greatest(F.ceil(F.sqrt(area * most / F.count(F.lit(1)))), F.lit(1)).alias("side"))
     cell = lambda c, n: F.floor(F.col(f"{c}.{n}") / F.col("side")).alias(f"c{n}")
     placed = own.join(sides, keys).select(*keys, "line", "box", cell("mid", "x"), cell("mid", "y"))
-    # Equal hints of one value are looked up once for each row, as a join does.
-    left = values.select(*keys, "value", "hint").withColumn("__row", F.struct(*keys, "value", "hint"))
-    left = left.groupBy("__row").agg(F.count(F.lit(1)).alias("__times")).select("__row.*", "__times")
-    left = left.withColumn("mid", middle(F.col("hint"))).join(sides, keys)
-    found, d = [], B.centre_distance(F.col("hint"), F.col("box"))
-    for reach in (1, 3, None):
-        if reach is None:
-            both = left.join(placed.select(*keys, "line", "box"), keys)
-        else:
-            around = lambda c: F.explode(F.sequence(c - reach, c + reach))  # noqa: B023, E731
-            near = left.withColumn("cx", around(F.floor(F.col("mid.x") / F.col("side")))).withColumn("cy", around(F.floor(F.col("mid.y") / F.col("side"))))
-            both = near.join(placed, [*keys, "cx", "cy"])
-        both = both.withColumn("distance", d)
-        if reach is not None:
-            # Whatever is no farther than so many sides lies in the cells; a hair less for rounding.
-            sure = F.count(F.when(F.col("distance") * 2 < F.col("side") * (reach - 1e-9), 1)) >= most
-            enough = both.groupBy(*keys, "value", "hint").agg(sure.alias("sure")).where("sure").drop("sure")
-            both = both.join(enough, [*keys, "value", "hint"], "left_semi")
-            left = left.join(enough, [*keys, "value", "hint"], "left_anti")
-        found.append(both.select(*keys, "value", "line", "box", "distance", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))).alias("__copy")))
-    rank = F.row_number().over(Window.partitionBy(*keys, "value").orderBy("distance", "line"))
-    met = found[0].union(found[1]).union(found[2]).drop("__copy")
-    return met.withColumn("rank", rank).where(F.col("rank") <= most)
+    # Equal hints are looked up once, whatever values have them.
+    hints = values.select(*keys, "hint").distinct().withColumn("mid", middle(F.col("hint"))).join(sides, keys)
+    near = reading.once(_ranked(hints, placed, keys, most, 1))
+    far = _ranked(near.where("not sure").select(*hints.columns), placed, keys, most, 3)
+    rest = _ranked(far.where("not sure").select(*hints.columns), placed, keys, most, None)
+    best = near.where("sure").unionByName(far.where("sure")).unionByName(rest).select(*keys, "hint", "best")
+    # A value with several hints has the nearest to any of them; equal rows count once each, as a join does.
+    told = values.select(*keys, "value", "hint").join(best, [*keys, "hint"]).groupBy(*keys, "value").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
+    rows = told.select(*keys, "value", F.posexplode(F.slice("best", 1, most)).alias("n", "b"))
+    return rows.select(*keys, "value", "b.line", "b.box", "b.distance", (F.col("n") + 1).alias("rank"))
+
+
+def _ranked(hints: DataFrame, placed: DataFrame, keys: list[str], most: int, reach: int | None) -> DataFrame:
+    """``hints`` with ``best``, the nearest lines in the cells around as (distance, line, box), and whether they are ``sure``.
+
+    Without a ``reach`` the whole page is looked at, and what is found is sure.
+    """
+    if reach is None:
+        both = hints.join(placed.select(*keys, "line", "box"), keys)
+    else:
+        around = lambda c: F.explode(F.sequence(c - reach, c + reach))
+        cell = lambda n: around(F.floor(F.col(f"mid.{n}") / F.col("side")))
+        own = [*keys, "cx", "cy"]
+        both = _dealt(hints.withColumn("cx", cell("x")).withColumn("cy", cell("y")), *own).join(_dealt(placed, *own), own, "left")
+    distance = B.centre_distance(F.col("hint"), F.col("box"))
+    n = F.row_number().over(Window.partitionBy(*keys, "hint").orderBy(F.asc_nulls_last("distance"), "line"))
+    first = both.withColumn("distance", distance).withColumn("__n", n).where(F.col("__n") <= most)
+    found = F.collect_list(F.when(F.col("distance").isNotNull(), F.struct("distance", "line", "box")))
+    out = first.groupBy(*keys, "hint").agg(F.first("mid").alias("mid"), F.first("side").alias("side"), F.array_sort(found).alias("best"))
+    # Whatever is no farther than so many sides lies in the cells; a hair less for rounding.
+    sure = F.lit(True) if reach is None else (F.size("best") >= most) & (F.coalesce(F.array_max(F.transform("best", lambda x: x["distance"])), F.lit(0.0)) * 2 < F.col("side") * (reach - 1e-9))
+    return out.withColumn("sure", sure)
 
 
 def wrapped(values: DataFrame, lines: DataFrame, keys: list[str], line_height: int) -> DataFrame:

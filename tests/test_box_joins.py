@@ -45,3 +45,24 @@ def test_next_lines_are_those_of_brute_force_each_once(spark):
 def test_next_lines_of_one_box_are_not_told_apart_as_pairs(spark):
     found = L.next_lines(spark.createDataFrame(drawn(20), SCHEMA.format("line")), ["page"], 12)
     assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
+def test_nearest_lines_look_equal_hints_up_once(spark, monkeypatch):
+    lines = [(p, k, b) for p, k, b in drawn(60, 3) if b[3] > b[1]]
+    values = [(p, k % 20, lines[k % 7][2]) for k, (p, _, _) in enumerate(lines)]
+    asked, ranked = [], L._ranked
+
+    def counted(hints, placed, keys, most, reach):
+        if reach == 1:
+            asked.append(hints.count())
+        return ranked(hints, placed, keys, most, reach)
+
+    monkeypatch.setattr(L, "_ranked", counted)
+    own = spark.createDataFrame(values, SCHEMA.format("value").replace("box struct", "hint struct"))
+    got = sorted((x.page, x.value, x["rank"], x.line) for x in L.nearest_lines(own, spark.createDataFrame(lines, SCHEMA.format("line")), ["page"]).collect())
+    want, centre = [], lambda b: ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
+    for p, v in sorted({x[:2] for x in values}):
+        near = sorted((((centre(h)[0] - centre(b)[0]) ** 2 + (centre(h)[1] - centre(b)[1]) ** 2) ** 0.5, k) for q, w, h in values if (q, w) == (p, v) for r, k, b in lines if r == p)
+        want += [(p, v, n + 1, k) for n, (_, k) in enumerate(near[:12])]
+    assert got == want
+    assert asked == [len({(p, h) for p, _, h in values})]
