@@ -293,7 +293,9 @@ def pieces(value: Column, kind: Column) -> Column:
     words = F.transform(F.regexp_extract_all(v, F.lit("[A-Za-zÄÖÜäöüß]{4,}"), F.lit(0)), norm)
     runs = F.regexp_extract_all(F.regexp_replace(v, r"[.\- ]", ""), F.lit("[0-9]{4,}"), F.lit(0))
     every = F.concat(F.array(norm(v)), F.when(kind.isin(*NUMBER_TYPES), none).otherwise(words), runs)
-    return F.array_sort(F.array_distinct(F.filter(every, lambda p: F.length(p) >= PIECE_LENGTH)))
+    parts = F.array_sort(F.array_distinct(F.filter(every, lambda p: F.length(p) >= PIECE_LENGTH)))
+    # A plain word is its only part.
+    return F.when(value.rlike(f"^[A-Za-z]{{{PIECE_LENGTH},}}\\z"), F.array(F.upper(value))).otherwise(parts)
 
 
 def digit_runs(text: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import text as T
+from maskwright.functions.arrays import once
 
 
 def leaks(pages: DataFrame, old: DataFrame, keys: list[str], new: DataFrame | None = None, unchanged: bool = False) -> DataFrame:
@@ -15,23 +16,37 @@ def leaks(pages: DataFrame, old: DataFrame, keys: list[str], new: DataFrame | No
     new value are meant to be there; pieces of a city or street that the context holds are excused.
     With ``unchanged``, values that are among the new ones themselves leak as a whole.
     """
-    seen = pages.select(*keys, T.norm(F.col("text")).alias("__norm"), T.number_line(F.col("text")).alias("__numbers"), T.norm(F.col("context")).alias("__shared"))
+    none = F.array().cast("array<string>")
+    seen = pages.groupBy(*keys).agg(F.collect_set(F.struct("text", "context")).alias("__pages"))
     if new is not None:
         listed = new.groupBy(*keys).agg(F.collect_set(T.norm(F.col("new"))).alias("__fresh"))
-        seen = seen.join(listed, keys, "left")
+        seen = seen.join(listed, keys, "left").withColumn("__fresh", F.coalesce("__fresh", none))
     else:
-        seen = seen.withColumn("__fresh", F.array().cast("array<string>"))
-    seen = seen.withColumn("__fresh", F.coalesce("__fresh", F.array().cast("array<string>")))
-    parts = old.select(*keys, "type", "text").distinct().withColumn("__piece", F.explode_outer(T.pieces(F.col("text"), F.col("type"))))
-    both = parts.where("__piece is not null").join(seen, keys)
-    piece = F.col("__piece")
-    excused = F.col("type").isin(*T.PLACE_TYPES) & F.contains("__shared", piece)
-    meant = F.exists("__fresh", lambda n: F.contains(n, piece))
-    found = both.where(T.on_page(piece, F.col("__norm"), F.col("__numbers")) & ~meant & ~excused).select(*keys, "type", "text", "__piece")
-    if unchanged and new is not None:
-        same = old.select(*keys, "type", "text").distinct().join(new.select(*keys, F.col("new").alias("text")).distinct(), [*keys, "text"], "left_semi")
-        found = found.union(same.select(*keys, "type", "text", T.norm(F.col("text")).alias("__piece")))
-    return found.groupBy(*keys, "type", "text").agg(F.array_sort(F.collect_set("__piece")).alias("pieces"))
+        seen = seen.withColumn("__fresh", none)
+    # A page meets its values once, and only pages that have some are brought to their normal forms.
+    values = old.groupBy(*keys).agg(F.collect_set(F.struct("type", "text")).alias("__old"))
+
+    def normal(p: Column) -> Column:
+        numbers = F.when(F.exists("__old", lambda v: v["text"].rlike("[0-9]")), T.number_line(p["text"]))
+        return F.struct(T.norm(p["text"]).alias("norm"), numbers.alias("numbers"), T.norm(p["context"]).alias("shared"))
+
+    def left(p: Column, v: Column) -> Column:
+        excused = lambda piece: v["type"].isin(*T.PLACE_TYPES) & F.contains(p["shared"], piece)
+        meant = lambda piece: F.exists("__fresh", lambda n: F.contains(n, piece))
+        return F.filter(T.pieces(v["text"], v["type"]), lambda piece: T.on_page(piece, p["norm"], p["numbers"]) & ~meant(piece) & ~excused(piece))
+
+    def told(ps: Column) -> Column:
+        pieces = lambda v: F.sort_array(F.array_distinct(F.flatten(F.transform(ps, lambda p: left(p, v)))))
+        return F.transform("__old", lambda v: F.struct(v["type"].alias("type"), v["text"].alias("text"), pieces(v).alias("pieces")))
+
+    # Outer, or what is unfolded would be computed for a filter on its size as well.
+    both = seen.join(values, keys).select(*keys, F.inline_outer(once(F.transform("__pages", normal), told)))
+    found = both.where(F.size("pieces") > 0).select(*keys, "type", "text", "pieces")
+    if not unchanged or new is None:
+        return found
+    same = old.select(*keys, "type", "text").distinct().join(new.select(*keys, F.col("new").alias("text")).distinct(), [*keys, "text"], "left_semi")
+    found = found.union(same.select(*keys, "type", "text", F.array(T.norm(F.col("text"))).alias("pieces")))
+    return found.groupBy(*keys, "type", "text").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pieces")))).alias("pieces"))
 
 
 def verdicts(pages: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

@@ -291,7 +291,7 @@ def leaks_of_words(spark, sf_dir):
     """All long words of every text, searched for on its own page."""
     docs = table(spark, sf_dir, "documents")
     pages = docs.select("doc_id", "text", F.lit("").alias("context"))
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("text"))
+    words = docs.select("doc_id", F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0)))).alias("text")).where("text is not null")
     found = leak.leaks(pages, words.select("doc_id", F.lit("person").alias("type"), "text"), ["doc_id"])
     return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pieces")))).alias("pieces"))
 
