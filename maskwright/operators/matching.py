@@ -50,15 +50,18 @@ def _tries(values: DataFrame, lines: DataFrame, keys: list[str], least: float, s
     most = F.greatest(F.size(F.filter(F.split(F.trim(F.col("value")), r"\s+"), lambda w: w != "")), F.lit(1)) + 2
     v = values.select(*keys, "value").distinct()
     v = v.select(*keys, "value", most.alias("most"), T.norm(F.col("value")).alias("nv"), T.digits(F.col("value")).alias("dv"))
-    forms = F.transform("words", T.norm)
-    own = lines.select(*keys, "line", "words", forms.alias("forms")).where(F.size("words") > 0)
+    v = v.where("nv <> ''").groupBy(*keys).agg(F.collect_list(F.struct("value", "most", "nv", "dv")).alias("v"))
+    # Only lines of pages that have a value are brought to their normal forms.
+    own = lines.select(*keys, "line", "words").where(F.size("words") > 0).join(v, keys)
+    own = own.withColumn("forms", F.transform("words", T.norm))
     own = own.withColumn("upto", running(F.transform("forms", F.length)))
-    tried = own.join(v.where("nv <> ''"), keys).withColumn("first", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
+    tried = own.select(*keys, "line", "words", "forms", "upto", F.inline("v")).withColumn("first", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
     # How long a normal form can be that reaches the score.
     size, wide = F.length("nv"), F.lit((2 - least) / least)
     begin = F.coalesce(F.get("upto", F.col("first") - 1), F.lit(0))
     ends = F.filter(F.sequence(F.lit(1), F.col("most")), lambda n: (F.get("upto", F.col("first") + n - 1) - begin).between(F.floor(size / wide), F.ceil(size * wide)))
-    both = tried.withColumn("n", F.explode(ends)).withColumn("nr", F.array_join(F.slice("forms", F.col("first") + 1, F.col("n")), ""))
+    # Outer, or what is unfolded would be computed for a filter on its size as well.
+    both = tried.withColumn("n", F.explode_outer(ends)).where("n is not null").withColumn("nr", F.array_join(F.slice("forms", F.col("first") + 1, F.col("n")), ""))
     if strict:
         # Equal digits, if the value has any.
         both = both.where((F.col("dv") == "") | (T.digits(F.col("nr")) == F.col("dv")))
