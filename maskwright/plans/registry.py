@@ -678,7 +678,7 @@ def text_layers(spark, sf_dir):
     safe = F.expr("""transform(w, t -> replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))""")
     rows = F.expr("""transform(sequence(0, int((size(s) - 1) div 8)), r -> concat('<line>\n', array_join(transform(slice(s, r * 8 + 1, 8), (t, k) -> concat(
       '<word xMin="', 72 + 40 * k, '" yMin="', 40 + 12 * r, '" xMax="', 102 + 40 * k, '.5" yMax="', 50 + 12 * r, '.25">', t, '</word>')), '\n'), '</line>'))""")
-    own = table(spark, sf_dir, "pages").select("page_id", words.alias("w")).where("size(w) > 0").select("page_id", safe.alias("s"))
+    own = dealt(spark, sf_dir, "pages", "page_id").select("page_id", words.alias("w")).where("size(w) > 0").select("page_id", safe.alias("s"))
     layers = own.select("page_id", F.concat(F.lit("<page>"), F.array_join(rows, "\n"), F.lit("</page>")).alias("xml"))
     found = S.text_layer(layers, ["page_id"])
     return found.select("page_id", "line", F.array_join("words", " ").alias("text"), "box.x0", "box.y0", "box.x1", "box.y1")

@@ -44,3 +44,7 @@ def test_rows_of_parts_are_dealt_out_before_pages_are_drawn(spark, sf_dir, name,
     monkeypatch.setattr(registry, "dealt", lambda *a: seen.append(a[2:]) or keep(*a))
     registry.queries()[name](spark, sf_dir)
     assert seen == [("part", "p_partkey")]
+
+
+def test_raw_pages_are_dealt_out_before_their_layers_are_made(spark, sf_dir):
+    assert registry.queries()["text_layers"](spark, sf_dir).rdd.getNumPartitions() > 8
