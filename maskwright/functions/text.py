@@ -329,3 +329,12 @@ def on_page(piece: Column, page_norm: Column, numbers: Column) -> Column:
     spread = F.array_join(characters(piece), r"\|?")
     pattern = F.when(F.length(piece) >= LONG_DIGITS, spread).otherwise(F.concat(F.lit("[|#]"), spread, F.lit("[|#]")))
     return F.when(piece.rlike("^[0-9]+$"), F.regexp_like(numbers, pattern)).otherwise(F.contains(page_norm, piece))
+
+
+def windows(number: Column, size: Column, page_norm: Column, numbers: Column) -> Column:
+    """All pieces of ``size`` characters that are on a page as :func:`on_page` has it, by one match at each place; ``number`` tells pieces of digits from words."""
+    spread = F.concat(F.lit(r"[0-9](?:\|?[0-9]){"), (size - 1).cast("string"), F.lit("}"))
+    pattern = F.when(size >= LONG_DIGITS, F.concat(F.lit("(?=("), spread, F.lit("))"))).otherwise(F.concat(F.lit("(?<=[|#])(?=("), spread, F.lit(")[|#])")))
+    digits_ = F.transform(F.regexp_extract_all(numbers, pattern, F.lit(1)), lambda x: F.replace(x, F.lit("|"), F.lit("")))
+    letters = F.regexp_extract_all(page_norm, F.concat(F.lit("(?=(.{"), size.cast("string"), F.lit("}))")), F.lit(1))
+    return F.when(number, digits_).otherwise(letters)

@@ -122,7 +122,7 @@ def page_keys(changed: DataFrame, spots: DataFrame, pages: DataFrame, old: DataF
     read = pages.where("text is not null").select(*keys, "text", F.coalesce("context", F.lit("")).alias("context"))
     sought = read.select(*keys).join(old.select(*doc, "page", "type", "text").distinct(), [*doc, "page"]).select(*keys, "type", "text")
     fresh = changed.where("new <> old").select(*keys, "new")
-    found = leak.leaks(read, sought, keys, fresh).select(*keys, "type", "pieces")
+    found = leak.leaks(read, sought, keys, fresh, crowded=True).select(*keys, "type", "pieces")
     stuck = changed.where("new = old").join(read.select(*keys), keys, "left_semi").select(*keys, "type", F.array(F.lit(copies.UNCHANGED)).alias("pieces"))
     leaks = found.union(stuck).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("type", "pieces"))).alias("leaks"))
     out = pages.join(by_page, keys, "left").join(leaks, keys, "left")

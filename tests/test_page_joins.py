@@ -35,3 +35,15 @@ def test_lines_of_pages_without_values_have_no_forms(spark):
     below = _below_join(found).split("words#")
     assert all("lambdafunction(regexp_replace(upper(" not in part for part in below)
     assert [(r.page, r.value, r.line, r["first"], r["last"]) for r in found.collect()] == [(1, "Anna Berg", 0, 0, 1)]
+
+
+def test_crowded_pages_are_joined_and_told_the_same(spark, monkeypatch):
+    text = "Anna Berg 12 34-56 78 tel 4711, 99 A123456 Meier 4 7 1 2 and 1234"
+    pages = spark.createDataFrame([(1, text, "Berg"), (1, "Karl 5555 Berg", "")], "page int, text string, context string")
+    words = ["Anna Berg", "12345678", "345678", "2345", "4711", "4712", "1234", "123456", "5555", "Karl Meier", "Otto", "47 11", "A123456", "nna"]
+    old = spark.createDataFrame([(1, t, w) for t in ("person", "id", "city") for w in words], "page int, type string, text string")
+    new = spark.createDataFrame([(1, "Karlsson")], "page int, new string")
+    told = lambda: sorted((r.type, r.text, r.pieces) for r in leak.leaks(pages, old, ["page"], new, crowded=True).collect())
+    searched = told()
+    monkeypatch.setattr(leak, "MANY", 0)
+    assert told() == searched and len(searched) > 20
