@@ -19,6 +19,7 @@ that covers another one step by step occurs no less often at each step, so compa
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -125,8 +126,8 @@ class _Shard:
     """Words of one language's texts: their numbers, a row for each piece, and hashes that all tasks agree on."""
 
     def __init__(self) -> None:
-        self.vocab: dict[bytes, int] = defaultdict()
-        self.vocab.default_factory = self.vocab.__len__
+        # A counter of its own: with its length for a factory the table would hold itself and outlive its shard.
+        self.vocab: dict[bytes, int] = defaultdict(itertools.count().__next__)
         for mark in (b"\n", b""):  # 0 between pieces; 1 is dropped
             self.vocab[mark]
         self.parts: list[np.ndarray] = []
