@@ -5,15 +5,17 @@ a unit is encoded and aligned once and a bounded memo keeps it. Where a vocabula
 ends in spaces, whole texts are encoded.
 
 How often an id pair is linked in the corpus is a cogroup of postings. Documents give their own pair multiplicities;
-these are packed into blocks of one side id, dealt by that id and, for ids with many postings, by a number of the block
-too. Sorted within its partition, a side id brings the summed counts of its pairs first and its postings after them, so
-a task streams: it holds the counts of one side id (no more than the other vocabulary has ids), looks postings up in
-them and gives out what each document gains. Spark's external sort spills what does not fit.
+these are packed into blocks of one side id and dealt to a grid: by ``SIDES`` groups of side ids, and by as many sets of
+documents as there is work for. Sorted within its partition, a side id brings the summed counts of its pairs first and
+its postings after them, so a task streams: it holds the counts of one side id (no more than the other vocabulary has
+ids), looks postings up in them and sums what its documents gain. A document stands in one set, so it has ``SIDES`` sums
+at most, however many tasks there are. Spark's external sort spills what does not fit.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,15 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.tables import cut, small, stored
+from maskwright.llm.tables import cut, stored
 
-#: Units that a worker remembers at most, and bytes of text that it aligns at a time.
+#: Units that a worker remembers and that it aligns together, and bytes of text that it works on at a time.
 MEMO_UNITS = 250_000
+LEARNT_UNITS = 4096
 CHUNK_BYTES = 2 << 20
-#: Postings that are sorted together, that stand in one block, and that one task streams for one side id.
+#: Postings that are sorted together, that stand in one block, and that one place of the grid has, about.
 SORTED_POSTINGS = 2_000_000
 BLOCK_POSTINGS = 1024
-SPLIT_POSTINGS = 1_000_000
+SPLIT_POSTINGS = 4_000_000
+#: Groups of side ids that postings are dealt by.
+SIDES = 16
+#: Blocks that are worked on together, and documents whose sums a task holds.
+STREAMED_BLOCKS = 1024
+HELD_SUMS = 1_000_000
 
 #: A blank before a space, or spaces at the end: what stands between such blanks is not cut.
 _BLANKS = re.compile(r"\s ")
@@ -47,6 +55,8 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        # Tasks are what runs side by side; threads of the library's own would spin between short batches.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(path_a)
         self.a.no_truncation()
         self.a.no_padding()
@@ -55,8 +65,8 @@ class Aligner:
         self.n_a, self.n_b = self.a.get_vocab_size(), self.b.get_piece_size()
         self.bytes_a = _byte_level(self.a.get_vocab(), self.n_a)
         self.bytes_b = [self._piece(k) for k in range(self.n_b)]
-        self.len_a, self.len_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
-        self.said = [str(k) for k in range(max(self.n_a, self.n_b))]
+        self.len_a, self.len_b = (np.array([len(x) for x in held], np.int64) for held in (self.bytes_a, self.bytes_b))
+        self.said = np.array([[f"{k}{mark}" for k in range(max(self.n_a, self.n_b))] for mark in ",|;\n"], object)
         # Cuts hold for the first vocabulary by its pattern; for the second if no piece has a space after another character.
         inner = re.compile("[^▁]▁")
         self.units = not any(inner.search(self.b.id_to_piece(k)) for k in range(self.n_b))
@@ -69,6 +79,22 @@ class Aligner:
         # For each unit: tokens of A, of B, groups, and whether the bytes are the text's; its pairs stand in one array.
         self.numbers = np.zeros((4, 0), np.int64)
         self.pairs, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        # How often each was met since the memo was last thinned out.
+        self.used = np.zeros(0, np.int64)
+
+    def thin(self) -> None:
+        """Keep the units that were met repeatedly, half of what the memo may hold at most."""
+        kept = np.flatnonzero(self.used > 1)
+        if len(kept) > MEMO_UNITS // 2:
+            kept = kept[np.sort(np.argsort(-self.used[kept], kind="stable")[: MEMO_UNITS // 2])]
+        units, groups, numbers, pairs, at = list(self.index), self.groups, self.numbers, self.pairs, self.at
+        self.clear()
+        for k in kept.tolist():
+            self.index[units[k]]
+        self.groups = [groups[k] for k in kept.tolist()]
+        width = at[kept + 1] - at[kept]
+        self.numbers, self.pairs = numbers[:, kept], pairs[_spread(at[kept], width)]
+        self.at, self.used = np.concatenate(([0], np.cumsum(width))), np.zeros(len(kept), np.int64)
 
     def _piece(self, k: int) -> bytes:
         piece = self.b.id_to_piece(k)
@@ -87,45 +113,47 @@ class Aligner:
     def learn(self) -> None:
         """Align the units that the index has and that were not aligned yet."""
         units = list(islice(self.index, len(self.groups), None))
-        numbers: list[tuple[int, int, int, int]] = []
-        pairs: list[list[int]] = []
-        for start in range(0, len(units), 4096):
-            part = units[start : start + 4096]
-            found_a = self.a.encode_batch_fast([" " + x for x in part], add_special_tokens=False)
-            found_b = self.b.encode(part, num_threads=1)
-            for unit, a, b in zip(part, found_a, found_b, strict=True):
-                told, links, written = self._align(unit, a.ids, b)
-                numbers.append(told)
-                pairs.append(links)
-                self.groups.append(written)
-        if units:
-            self.numbers = np.hstack([self.numbers, np.array(numbers, np.int64).T])
-            self.pairs = np.concatenate((self.pairs, np.fromiter(chain.from_iterable(pairs), np.int64)))
-            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(x) for x in pairs])))
-
-    def _align(self, unit: str, a: list[int], b: list[int]) -> tuple[tuple[int, int, int, int], list[int], str]:
-        """Numbers, links and groups of one unit: tokens overlap once between any two neighbouring token ends."""
-        raw = b" " + unit.encode()
-        if b"".join([self.bytes_a[k] for k in a]) != raw or b"".join([self.bytes_b[k] for k in b]) != raw:
-            return (0, 0, 0, 0), [], ""
-        said, wide = self.said, self.n_a
-        i, j, end_a, end_b = 0, 0, self.len_a[a[0]], self.len_b[b[0]]
-        links, groups, first_a, first_b = [b[0] * wide + a[0]], [], 0, 0
-        while True:
-            if end_a == end_b:
-                i, j = i + 1, j + 1
-                groups.append(",".join([said[k] for k in a[first_a:i]]) + "|" + ",".join([said[k] for k in b[first_b:j]]))
-                if i == len(a):
-                    return (len(a), len(b), len(groups), 1), links, ";".join(groups)
-                first_a, first_b = i, j
-                end_a, end_b = end_a + self.len_a[a[i]], end_b + self.len_b[b[j]]
-            elif end_a < end_b:
-                i += 1
-                end_a += self.len_a[a[i]]
-            else:
-                j += 1
-                end_b += self.len_b[b[j]]
-            links.append(b[j] * wide + a[i])
+        told = [self._align(units[start : start + LEARNT_UNITS]) for start in range(0, len(units), LEARNT_UNITS)]
+        if told:
+            numbers, pairs, widths = zip(*told, strict=True)
+            self.numbers = np.hstack([self.numbers, *numbers])
+            self.pairs = np.concatenate((self.pairs, *pairs))
+            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(np.concatenate(widths))))
+            self.used = np.concatenate((self.used, np.zeros(len(units), np.int64)))
+
+    def _align(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of units, their links and how many each has; what they are cut into goes to ``groups``.
+
+        Units are laid end to end. Tokens overlap once between any two neighbouring token ends.
+        """
+        raw = [b" " + x.encode() for x in units]
+        tokens_a = [x.ids for x in self.a.encode_batch_fast([" " + x for x in units], add_special_tokens=False)]
+        tokens_b = self.b.encode(units, num_threads=1)
+        good = self._whole(raw, tokens_a, self.bytes_a) & self._whole(raw, tokens_b, self.bytes_b)
+        kept = np.flatnonzero(good)
+        (a, of_a), (b, of_b) = ((_joined([x[k] for k in kept.tolist()]), np.repeat(kept, [len(x[k]) for k in kept.tolist()])) for x in (tokens_a, tokens_b))
+        end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        ends = np.union1d(end_a, end_b)
+        i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        widths = np.bincount(of_a[i], minlength=len(units))
+        both_a, both_b = np.isin(end_a, end_b), np.isin(end_b, end_a)
+        counts = [np.bincount(x, minlength=len(units)) for x in (of_a, of_b, of_a[both_a])]
+        # A token is written with what follows it: another of its side, the other side, the next group or the next unit.
+        last = np.concatenate((of_b[1:] != of_b[:-1], np.ones(min(1, len(b)), bool)))
+        written = np.concatenate((self.said[both_a.astype(int), a], self.said[np.where(last, 3, 2 * both_b), b]))
+        group = np.concatenate((2 * (np.cumsum(both_a) - both_a), 2 * (np.cumsum(both_b) - both_b) + 1))
+        lines = iter("".join(written[np.argsort(group, kind="stable")].tolist()).split("\n"))
+        self.groups += [next(lines) if ok else "" for ok in good.tolist()]
+        return np.array([*counts, good.astype(np.int64)], np.int64), b[j] * self.n_a + a[i], widths
+
+    @staticmethod
+    def _whole(raw: list[bytes], tokens: list[list[int]], held: list[bytes]) -> np.ndarray:
+        """Of which units the tokens give the bytes back."""
+        return np.fromiter((b"".join([held[k] for k in x]) == y for x, y in zip(tokens, raw, strict=True)), bool, len(raw))
+
+
+def _joined(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
 
 
 def _byte_level(vocab: dict[str, int], size: int) -> list[bytes]:
@@ -165,6 +193,11 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def _spread(start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The places of ranges, one range after the other."""
+    return np.arange(int(width.sum())) + np.repeat(start - np.cumsum(width) + width, width)
+
+
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order with the exact sums of their values."""
     order = np.argsort(keys, kind="stable")
@@ -176,13 +209,14 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _aligned(texts: list[str | None], own: Aligner) -> pa.RecordBatch:
     """What each text's alignment gives, in the columns of ``_ALIGNED``."""
     if len(own.groups) > MEMO_UNITS:
-        own.clear()
+        own.thin()
     number = own.index.__getitem__
     met = [list(map(number, own.cut(x))) if x else [] for x in texts]
     own.learn()
     sizes = np.array([len(x) for x in met], np.int64)
     ends = np.cumsum(sizes)
-    units = np.fromiter(chain.from_iterable(met), np.int64, int(sizes.sum()))
+    units = _joined(met)
+    own.used += np.bincount(units, minlength=len(own.used))
     sums = np.hstack([np.zeros((4, 1), np.int64), np.cumsum(own.numbers[:, units], axis=1)])
     told = sums[:, ends] - sums[:, ends - sizes]
     good = (sizes > 0) & (told[3] == sizes)
@@ -195,7 +229,7 @@ def _aligned(texts: list[str | None], own: Aligner) -> pa.RecordBatch:
     held, often = _summed(of[kept] * many + units[kept], np.ones(int(kept.sum()), np.int64))
     of, unit = held // many, held % many
     width = own.at[unit + 1] - own.at[unit]
-    place = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width) + np.repeat(own.at[unit], width)
+    place = _spread(own.at[unit], width)
     space = own.n_a * own.n_b
     held, times = _summed(np.repeat(of, width) * space + own.pairs[place], np.repeat(often, width))
     of, pair = held // space, held % space
@@ -243,7 +277,7 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-_BLOCK = "b int, block long, a array<int>, row array<long>, times array<int>"
+_BLOCK = "b int, pack long, a array<int>, row array<long>, times array<int>"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,22 +308,25 @@ def _packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
     start = np.flatnonzero(since % BLOCK_POSTINGS == 0)
     at = np.append(start, len(keys)).astype(np.int32)
     lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in ((keys & 0xFFFFFFFF).astype(np.int32), rows, times)]
-    # Blocks of a side id are told apart by the documents they begin with.
-    number = rows[start] + since[start]
-    return pa.RecordBatch.from_arrays([pa.array(side[start].astype(np.int32)), pa.array(number), *lists], names=["b", "block", "a", "row", "times"])
+    # All postings of a document are in one pack, which its first document tells from others.
+    pack = np.full(len(start), held[0][1][0])
+    return pa.RecordBatch.from_arrays([pa.array(side[start].astype(np.int32)), pa.array(pack), *lists], names=["b", "pack", "a", "row", "times"])
 
 
 def _gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What documents gain, from rows in order of (b, split, kind, first a): counts of pairs, then blocks of postings."""
+    """What documents gain, from rows in order of (b, split, kind, first a): counts of pairs, then blocks of postings.
+
+    Gains of a document are summed over the whole task, unless it has more than ``HELD_SUMS`` documents.
+    """
     last: tuple[int, int] | None = None
     seen_a, seen_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in (x.slice(k, STREAMED_BLOCKS) for x in batches for k in range(0, x.num_rows, STREAMED_BLOCKS)):
         b, split, kind = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
         ids, sizes = _flat(batch, "a")
         times, _ = _flat(batch, "times")
-        rows, _ = _flat(batch, "row")
+        rows, _ = _flat(batch, "row")  # of postings; counts have none
         change = np.concatenate(([(b[0], split[0]) != last], (b[1:] != b[:-1]) | (split[1:] != split[:-1])))
         group = np.cumsum(change)  # 0: the group that the batch before ended with
         of, posting = np.repeat(group, sizes), np.repeat(kind == 1, sizes)
@@ -304,57 +341,72 @@ def _gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = of[posting]
             found = np.searchsorted((count_g << 32) | count_a, (mine << 32) | ids[posting].astype(np.int64))
             f, m = count_f[found], times[posting].astype(np.int64)
-            held = rows[posting]
-            row, n_best = _summed(held, np.where(f == best[mine], m, 0))
-            _, count_sum = _summed(held, f * m)
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(n_best), pa.array(count_sum)], names=["row", "n_best", "count_sum"])
+            held.append(_gained(rows, np.where(f == best[mine], m, 0), f * m))
+            size += len(held[-1][0])
+            if size > 2 * HELD_SUMS:
+                held = [_gained(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size > HELD_SUMS:
+                    yield _sums(held)
+                    held, size = [], 0
         last = int(b[-1]), int(split[-1])
         mine = count_g == group[-1]
         seen_a, seen_f = count_a[mine], count_f[mine]
+    if held:
+        yield _sums(held)
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's alignment between a byte-level vocabulary A (``.json``) and pieces B (``.model``).
+def _gained(rows: np.ndarray, n_best: np.ndarray, count_sum: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows with their sums."""
+    row, best = _summed(rows, n_best)
+    return row, best, _summed(rows, count_sum)[1]
 
-    Returns ``doc_id`` (the id, of any type), ``n_a`` and ``n_b`` (tokens), ``n_groups`` (cuts where tokens of both end),
-    ``n_links`` (token pairs whose bytes overlap), ``n_best`` (links whose pair is linked most often of all pairs of its B
-    id, corpus-wide, ties included), ``count_sum`` (the counts of its links' pairs, summed) and ``groups_sha256``.
 
-    Null and empty texts, and texts whose tokens do not give their bytes back, have no tokens: zeros and an empty digest.
-    Rows with equal or null ids stay rows of their own; repeated rows count as often as they stand. No rows give no rows.
-    Texts of any length are aligned whole. Columns other than the two named are not read.
-    """
-    read = stored(_tokenized(docs, path_a, path_b, id_col, text_col))
-    pairs = read.select("row", "pairs", "times")
-    counts = pairs.mapInArrow(_pair_counts, "b int, a int, links long, held long")
-    counts = cut(counts.groupBy("b", "a").agg(F.sum("links").alias("links"), F.sum("held").alias("held")))
-    # One row for each id of B: at most its vocabulary.
-    splits = F.ceil(F.sum("held") / F.lit(SPLIT_POSTINGS)).cast("int")
-    wide = counts.groupBy("b").agg(splits.alias("splits")).where("splits > 1")
-    wide = small(cut(wide))
+def _sums(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in _gained(*map(np.concatenate, zip(*held, strict=True)))], names=["row", "n_best", "count_sum"])
 
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.join(wide, "b", "left").withColumn("splits", F.coalesce("splits", F.lit(1)))
 
-    told = dealt(counts).select(
+def _streamed(pairs: DataFrame) -> DataFrame:
+    """(row, n_best, count_sum): up to ``SIDES`` rows for each document of ``pairs(row, pairs, times)``, to be summed."""
+    counts = pairs.mapInArrow(_pair_counts, "b int, a int, links long, held long")
+    counts = cut(counts.groupBy("b", "a").agg(F.sum("links").alias("links"), F.sum("held").alias("held")))
+    many = counts.agg(F.sum("held").alias("n")).first().n or 0
+    sets = max(1, -(-many // (SIDES * SPLIT_POSTINGS)))
+    # One row for each id of B, with no more ids than A has.
+    told = counts.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("a", "links"))).alias("x")).select(
         "b",
-        F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"),
+        F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("split"),
         F.lit(0).alias("kind"),
-        F.array("a").alias("a"),
-        F.array(F.lit(0).cast("long")).alias("row"),
-        F.array("links").alias("times"),
-    )
-    postings = dealt(pairs.mapInArrow(_blocks, _BLOCK)).select(
+        F.col("x.a").alias("a"),
+        F.array().cast("array<long>").alias("row"),
+        F.col("x.links").alias("times"),
+    )
+    postings = pairs.mapInArrow(_blocks, _BLOCK).select(
         "b",
-        F.pmod(F.hash("block"), F.col("splits")).alias("split"),
+        F.pmod(F.hash("pack"), F.lit(sets)).alias("split"),
         F.lit(1).alias("kind"),
         "a",
         "row",
         F.col("times").cast("array<long>").alias("times"),
     )
-    dealt_out = told.unionByName(postings).repartition("b", "split")
-    streams = dealt_out.sortWithinPartitions("b", "split", "kind", F.col("a")[0])
-    gains = streams.mapInArrow(_gains, "row long, n_best long, count_sum long")
+    side = F.pmod(F.hash("b"), F.lit(SIDES))
+    streams = told.unionByName(postings).repartition(side, "split").sortWithinPartitions("b", "split", "kind", F.col("a")[0])
+    return streams.mapInArrow(_gains, "row long, n_best long, count_sum long")
+
+
+def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document's alignment between a byte-level vocabulary A (``.json``) and pieces B (``.model``).
+
+    Returns ``doc_id`` (the id, of any type), ``n_a`` and ``n_b`` (tokens), ``n_groups`` (cuts where tokens of both end),
+    ``n_links`` (token pairs whose bytes overlap), ``n_best`` (links whose pair is linked most often of all pairs of its B
+    id, corpus-wide, ties included), ``count_sum`` (the counts of its links' pairs, summed) and ``groups_sha256``.
+
+    Null and empty texts, and texts whose tokens do not give their bytes back, have no tokens: zeros and an empty digest.
+    Rows with equal or null ids stay rows of their own; repeated rows count as often as they stand. No rows give no rows.
+    Texts of any length are aligned whole. Columns other than the two named are not read.
+    """
+    read = stored(_tokenized(docs, path_a, path_b, id_col, text_col))
+    gains = _streamed(read.select("row", "pairs", "times"))
     gains = gains.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     none = F.lit(0).cast("long")
     return read.drop("pairs", "times").join(gains, "row", "left").select(

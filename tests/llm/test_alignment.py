@@ -111,6 +111,28 @@ def test_split_side_ids_equal_whole_ones(spark, libraries, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_a_document_has_a_sum_for_each_group_of_side_ids_at_most(spark, monkeypatch):
+    for name, value in (("BLOCK_POSTINGS", 2), ("SPLIT_POSTINGS", 40), ("SORTED_POSTINGS", 50), ("SIDES", 2), ("STREAMED_BLOCKS", 2)):
+        monkeypatch.setattr(alignment, name, value)
+    docs = spark.createDataFrame([(k, f"the thing number {k % 7} of all these other things, ends") for k in range(60)], "doc_id long, text string")
+    read = alignment._tokenized(docs, A, B, "doc_id", "text").select("row", "pairs", "times").cache()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = alignment._streamed(read).groupBy("row").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 60 and max(r["count"] for r in got) <= 2
+
+
+def test_a_thinned_memo_keeps_what_was_met_repeatedly(libraries, monkeypatch):
+    monkeypatch.setattr(alignment, "MEMO_UNITS", 6)
+    own = alignment.Aligner(A, B)
+    for text in ("one two one three four five six seven two", "one eight two eight"):
+        found = alignment._aligned([text], own)
+        assert tuple(found.column(c)[0].as_py() for c in ("n_a", "groups_sha256")) == (brute(libraries, [text])[0][0], brute(libraries, [text])[0][-1])
+    assert list(own.index) == ["one", "two", "eight"]
+
+
 def test_memo_may_be_cleared(libraries, monkeypatch):
     monkeypatch.setattr(alignment, "MEMO_UNITS", 4)
     own = alignment.Aligner(A, B)
