@@ -105,6 +105,13 @@ def hypergeometric(good: Column, total: Column, draws: Column, uniform: Column)
     deviation = F.sqrt(mean * (1 - share) * (total - draws) / F.greatest(total - 1, F.lit(1)))
     first = F.greatest(low, F.floor(mean - 10 * deviation) - 5).cast("long")
     last = F.least(high, F.ceil(mean + 10 * deviation) + 5).cast("long")
+    # Each use of these two would write all of their parts into the plan, which the driver holds.
+    drawn = once(F.struct(first.alias("first"), last.alias("last")), lambda r: _inverse(good, total, draws, uniform, r["first"], r["last"]))
+    return F.when(low >= high, low).otherwise(drawn)
+
+
+def _inverse(good: Column, total: Column, draws: Column, uniform: Column, first: Column, last: Column) -> Column:
+    """The least number from ``first`` to ``last`` at which the sum of the chances reaches ``uniform``."""
     choose = lambda n, k: _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
     start = F.exp(choose(good, first) + choose(total - good, draws - first) - choose(total, draws))
     state = F.struct(start.alias("p"), F.lit(0.0).alias("below"), first.alias("x"))
@@ -116,8 +123,7 @@ def hypergeometric(good: Column, total: Column, draws: Column, uniform: Column)
         go = (s["x"] == x) & (below < uniform) & (x < last)
         return F.struct(more.alias("p"), below.alias("below"), F.when(go, x + 1).otherwise(s["x"]).alias("x"))
 
-    drawn = F.aggregate(F.sequence(first, last), state, step, lambda s: s["x"])
-    return F.when(low >= high, low).otherwise(drawn)
+    return F.aggregate(F.sequence(first, last), state, step, lambda s: s["x"])
 
 
 def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:

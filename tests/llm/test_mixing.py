@@ -96,3 +96,12 @@ def test_shards_split_every_quota_exactly(spark):
     assert all(len(p) == 6 and min(p) >= 0 for p in parts.values())
     whole = [sum(p[k] for p in parts.values()) for k in range(6)]
     assert max(whole) - min(whole) <= 3
+
+
+def test_the_plan_of_the_tree_is_small(spark, monkeypatch):
+    """The driver holds the plan of all draws: bounds of a draw's sum are not written out for each of their uses."""
+    seen = []
+    keep = mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda df: seen.append(len(df._jdf.queryExecution().optimizedPlan().toString())) or keep(df))
+    mixing.shard_quotas(spark.createDataFrame([("a", 10), ("b", 7)], "source string, quota long"), shards=2).collect()
+    assert seen[0] < 25_000
