@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -261,11 +262,12 @@ def _may_be_frequent(texts: DataFrame, least: int, bits: int, lengths: range, sh
     return texts.sparkSession.sparkContext.broadcast(bytes(out))
 
 
-_GRAMS = "lang string, k int, phrase string, f long"
+#: A phrase and its language as one string, so that a row that is shuffled has little besides. No phrase holds a line feed.
+_GRAMS = "key string, f long"
 
 
 def _grams(short: Broadcast[bytes], long: Broadcast[bytes], bits: int, depth: int):
-    """Per shard: the strings of its automaton with their counts, and with k = 0 how many words it has."""
+    """Per shard: the strings of its automaton with their counts, and by an empty phrase how many words it has."""
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, shard in _shards(batches):
@@ -276,7 +278,7 @@ def _grams(short: Broadcast[bytes], long: Broadcast[bytes], bits: int, depth: in
 
 def _mined(lang: str, shard: _Shard, short: _Filter, long: _Filter, depth: int) -> Iterator[pa.RecordBatch]:
     words, hashes = shard.words(), shard.hashes(lang)
-    yield _told(lang, 0, [b""], np.array([(words > 0).sum()]))
+    yield _told(lang, [b""], np.array([(words > 0).sum()]))
     found = automaton(short.fragments(hashes, words), depth)
     names = np.array(list(shard.vocab), object)
     often = np.zeros(len(found.words), bool)
@@ -289,13 +291,12 @@ def _mined(lang: str, shard: _Shard, short: _Filter, long: _Filter, depth: int)
             end = ends[start : start + 100_000]
             parts = [names[found.words[end - j]] for j in range(k - 1, -1, -1)]
             phrases = parts[0].tolist() if k == 1 else list(map(b" ".join, zip(*parts, strict=True)))
-            yield _told(lang, k, phrases, counts[start : start + 100_000])
+            yield _told(lang, phrases, counts[start : start + 100_000])
 
 
-def _told(lang: str, k: int, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
-    n = len(phrases)
-    columns = [pa.array([lang] * n, pa.string()), pa.array(np.full(n, k, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "f"])
+def _told(lang: str, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+    keys = pc.binary_join_element_wise(pa.array(phrases, pa.binary()), lang.encode(), b"\n")
+    return pa.RecordBatch.from_arrays([keys.cast(pa.string()), pa.array(counts.astype(np.int64))], names=["key", "f"])
 
 
 def counted(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, bits: int | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -307,7 +308,11 @@ def counted(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, bits: int |
     short = _may_be_frequent(texts, least, bits, range(1, 3))
     long = _may_be_frequent(texts, least, bits, range(3, depth + 1), short)
     grams = texts.mapInArrow(_grams(short, long, bits, depth), _GRAMS)
-    return grams.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where((F.col("k") == 0) | (F.col("f") >= least))
+    summed = grams.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("key").startswith("\n") | (F.col("f") >= least))
+    phrase = F.substring_index("key", "\n", 1)
+    spaces = F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit("")))
+    k = F.when(phrase == "", 0).otherwise(spaces + 1).cast("int")
+    return summed.select(F.col("key").substr(F.length(phrase) + 2, F.length("key")).alias("lang"), k.alias("k"), phrase.alias("phrase"), "f")
 
 
 def _parents(grams: DataFrame) -> DataFrame:

@@ -121,3 +121,12 @@ def test_query_takes_whole_texts(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang").collect()
     found = queries.op12_collocations(spark, sf_dir)
     assert sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in found.collect()) == brute(rows, 30, 2000)
+
+
+def test_phrases_are_shuffled_under_one_key_that_gives_back_their_language(spark):
+    docs = spark.createDataFrame([("A b a b", "x\ny "), ("a b", None), ("é c.é c", "")], "text string, lang string")
+    done = C.counted(docs, least=2)
+    assert "hashpartitioning(key" in done._jdf.queryExecution().toString()
+    want = {("x\ny ", 0, "", 4), ("x\ny ", 1, "a", 2), ("x\ny ", 1, "b", 2), ("x\ny ", 2, "a b", 2), ("und", 0, "", 2)}
+    want |= {("", 0, "", 4), ("", 1, "é", 2), ("", 1, "c", 2), ("", 2, "é c", 2)}
+    assert {tuple(r) for r in done.collect()} == want
